@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.tables import (
-    GAPPY_SQL, MESSY_SQL, TEXT_SQL, as_text, cells, fences, from_sql, gappy, messy, r, rounded,
+    GAPPY_SQL, MESSY_SQL, TEXT_SQL, as_doubles, as_text, cells, fences, from_sql, gappy, messy, r, rounded,
     table, union,
 )
 from dqspark.operators import dedup, profile, relations, schema
@@ -341,9 +341,13 @@ _MESSY_DATA = ["o_custkey", "o_totalprice", "o_rank", "o_orderstatus", "o_orderp
 _MESSY_LIST = ", ".join(_MESSY_DATA)
 
 
-@query(f"SELECT min(o_orderkey) AS o_orderkey, {_MESSY_LIST} FROM ({MESSY_SQL}) m GROUP BY {_MESSY_LIST}")
+@query(f"""
+SELECT min(o_orderkey) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_totalprice,
+  CAST(o_rank AS DOUBLE) AS o_rank, o_orderstatus, o_orderpriority, o_flag, o_empty
+FROM ({MESSY_SQL}) m GROUP BY {_MESSY_LIST}
+""")
 def drop_duplicate_rows(spark, folder):
-    return dedup.drop_duplicate_rows(messy(spark, folder), "o_orderkey")
+    return as_doubles(dedup.drop_duplicate_rows(messy(spark, folder), "o_orderkey"), "o_custkey", "o_rank")
 
 
 @query(f"""

@@ -36,7 +36,7 @@ TEXT_COLUMNS = {
     "c_custkey": "CAST(c_custkey AS VARCHAR(20))",
     "c_name": "CASE WHEN c_custkey % 9 = 2 THEN '   ' WHEN c_custkey % 9 = 5 THEN NULL ELSE c_name END",
     "c_balance": "CASE WHEN c_custkey % 6 = 1 THEN 'unknown' WHEN c_custkey % 6 = 2 THEN NULL "
-                 "ELSE CAST(CAST(c_acctbal * 100 AS BIGINT) AS VARCHAR(20)) END",
+                 "ELSE CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS VARCHAR(20)) END",
     "c_units": "CASE WHEN c_custkey % 8 = 1 THEN CONCAT(CAST(c_nationkey AS VARCHAR(20)), ' units') "
                "ELSE CAST(c_nationkey AS VARCHAR(20)) END",
     "c_age": "CASE WHEN c_custkey % 20 = 0 THEN CAST(c_nationkey AS VARCHAR(20)) ELSE 'n.a.' END",
@@ -110,6 +110,11 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     ])
 
 
+def as_doubles(df: DataFrame, *names: str) -> DataFrame:
+    """Whole numbers with gaps as doubles, the same type on both sides."""
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
+
+
 # -- SQL pieces --------------------------------------------------------------
 
 def r(expression: str, digits: int = 6) -> str:

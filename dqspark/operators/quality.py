@@ -24,7 +24,8 @@ WEIGHTS = {
 
 
 def _capped(c: Column) -> Column:
-    return F.least(c, F.lit(CAP))
+    """At most the cap; NULL stays NULL (``least`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(c, F.lit(CAP)))
 
 
 def size_guard(df: DataFrame) -> DataFrame:

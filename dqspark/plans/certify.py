@@ -42,29 +42,23 @@ def scout(df: DataFrame, row_id: str, approx: bool = False) -> DataFrame:
     data = [c for c in df.columns if c != row_id]
     names = F.map_from_arrays(F.array(*[F.lit(c) for c in data]),
                               F.array(*[F.lit(types[c]) for c in data]))
-    sample = explore.preview(df, row_id).select(F.struct(
-        col(row_id).cast("bigint").alias("id"),
-        F.map_from_arrays(F.array(*[F.lit(c) for c in data]), F.array(*[col(c) for c in data])).alias("cells")
-    ).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    rows = [r["cells"] for r in sample.first()["rows"]]
-    shown = df.sparkSession.createDataFrame([(rows,)], "sample_data ARRAY<MAP<STRING,STRING>>").first()[0]
+    sample = [r.asDict() for r in explore.preview(df, row_id).select(*[col(c) for c in data]).collect()]
     scores = quality.quality_scores(df, row_id=row_id, approx=approx)
     fits = (F.col("num_rows") >= quality.MIN_ROWS) & F.lit(len(data) >= quality.MIN_COLS)
     return scores.select(
         fits.alias("is_dataset"), "num_rows", F.lit(len(data)).alias("num_columns"),
-        names.alias("dtypes"), _samples(shown).alias("sample_data"),
+        names.alias("dtypes"), _samples(sample).alias("sample_data"),
         "completeness", "consistency", "accuracy", "uniqueness", "outliers",
         F.round("confidence", 2).alias("confidence_score"),
     )
 
 
-def _samples(rows) -> Column:
-    def cell(v):
-        return F.lit(v).cast("string")
+def _samples(rows: list[dict[str, str | None]]) -> Column:
     return F.array(*[
-        F.map_from_arrays(F.array(*[F.lit(k) for k in r]), F.array(*[cell(v) for v in r.values()]))
+        F.map_from_arrays(F.array(*[F.lit(k) for k in r]),
+                          F.array(*[F.lit(v).cast("string") for v in r.values()]))
         for r in rows
-    ])
+    ]).cast("array<map<string,string>>")
 
 
 def certify(df: DataFrame, row_id: str, profile_: K.CleaningProfile = K.CleaningProfile(), *,
