@@ -18,8 +18,9 @@ FEATURE_COUNT = 8
 LOW_SCORE, HIGH_SCORE = 50, 70
 
 
-def is_valid(score: Column = F.col("predicted_score"), label: Column = F.col("actual_label")) -> Column:
+def is_valid() -> Column:
     """Label 0..3 and a finite score within 0..100."""
+    score, label = F.col("predicted_score"), F.col("actual_label")
     finite = score.isNotNull() & ~F.isnan(score)
     return F.coalesce(
         finite & (score >= 0) & (score <= 100) & label.isNotNull() & label.between(0, 3), F.lit(False))
@@ -30,7 +31,7 @@ def gate(rows: DataFrame) -> DataFrame:
     score, label = F.col("predicted_score"), F.col("actual_label")
     low = (label >= 2) & (score < LOW_SCORE)
     high = (label == 0) & (score > HIGH_SCORE)
-    valid = is_valid(score, label)
+    valid = is_valid()
     reason = (
         F.when(~valid, "invalid").when(label == 1, "neutral")
         .when(low, "good_data_low_score").when(high, "bad_data_high_score").otherwise("agrees"))
