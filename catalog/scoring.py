@@ -10,6 +10,7 @@ from catalog.profiling import LINE_NUMBERS, ORDER_NUMBERS, ORDER_TEXTS, counts_s
 from catalog.tables import (
     GAPPY_SQL, MESSY_SQL, TEXT_SQL, as_text, cells, fences, gappy, messy, r, rounded, table, union,
 )
+from dqspark.functions.settle import settle
 from dqspark.operators import checks as C, insights as N, profile, quality as Q, relations
 from dqspark.operators.charts import chart_plan
 from dqspark.plans.certify import certify as run_certify, scout as run_scout
@@ -179,21 +180,21 @@ def insight_classes(spark, folder):
 def _profiled(spark, folder):
     df = gappy(spark, folder)
     data = df.select(*ORDER_NUMBERS, *ORDER_TEXTS)
-    stats = profile.column_stats(df, row_id="o_orderkey")
-    pairs = relations.pearson_pairs(data)
-    return df, data, stats, pairs
+    stats = settle(profile.column_stats(df, row_id="o_orderkey"))
+    return df, data, stats, settle(relations.pearson_pairs(data))
 
 
 @query()
 def key_insights(spark, folder):
     df, data, stats, pairs = _profiled(spark, folder)
-    return N.key_insights(data, stats, pairs, profile.anomalies(df, ORDER_NUMBERS, "o_orderkey"))
+    found = settle(profile.anomalies(df, ORDER_NUMBERS, "o_orderkey"))
+    return N.key_insights(data, stats, pairs, found)
 
 
 @query()
 def chart_explanations(spark, folder):
     _, data, stats, pairs = _profiled(spark, folder)
-    categories = profile.categorical_insights(data)
+    categories = settle(profile.categorical_insights(data))
     specs = chart_plan(data, stats, pairs, categories)
     return N.chart_explanations(specs, stats, pairs, categories)
 

@@ -10,10 +10,12 @@ bucket needs no sort, and it is spread over tasks by a salt.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dqspark.functions.scalars import col
 
@@ -22,9 +24,13 @@ ROWS_PER_TASK = 1_000_000
 # Bounds on the cut points kept as literals, and so on every broadcast below.
 MAX_BUCKETS = 20_000
 MAX_CUTS = 100_000
-# Up to this many rows the built-in exact percentile fits one task's memory.
-EXACT_ROWS = 2_000_000
-SALTS = 64
+# Up to this many rows the built-in exact percentile is cheap in one task.
+EXACT_ROWS = 1_000_000
+# Beyond it, values gathered at the end of a selection.
+SELECT_ROWS = 20_000
+SKETCH_ACCURACY = 10_000
+# Enough cut points to meet every value of a column with few values.
+RANK_BUCKETS = 64
 
 
 def bucket_count(rows: int, columns: int = 1) -> int:
@@ -106,40 +112,52 @@ def unpivot_numbers(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (
 
 def average_ranks(df: DataFrame, names: Sequence[str], row_id: str,
                   buckets: int | None = None) -> DataFrame:
-    """Long rows ``(column, row_id, value, avg_rank, position)``.
+    """Long rows ``(column, row_id, value, avg_rank, position, known)``.
 
     ``avg_rank`` is the 1-based average rank of the value in its column and
     ``position`` the 0-based place of the row among the column's known values.
+    Positions are counted on the wide rows, one running count per column.  Only
+    values that lie between cut points are sorted: a value on a cut point has
+    its rank from the bucket sizes alone, however many rows hold it.
     """
-    buckets = buckets or bucket_count(df.count(), len(names) + 1)
-    points = cut_points(df, [*names, row_id], buckets)
-    placed, outs = with_buckets(df.select(*[col(c) for c in dict.fromkeys([*names, row_id])]), points)
-    cells = unpivot_numbers(
-        placed.withColumnRenamed(outs[row_id], "row_bucket"), names, [row_id, "row_bucket"],
-        outs,
-    )
-
-    by_value = F.broadcast(_before(cells, ["column"], "bucket"))
+    names = [n for n in dict.fromkeys(names)]
+    buckets = buckets or max(RANK_BUCKETS, bucket_count(df.count(), len(names) + 1))
+    wanted = list(dict.fromkeys([*names, row_id]))
+    points = cut_points(df, wanted, buckets)
+    placed, outs = with_buckets(df.select(*[col(c) for c in wanted]), points)
+    row_bucket = outs[row_id]
+
+    sizes = placed.groupBy(row_bucket).agg(
+        *[F.count(col(n)).alias(f"__n{i}") for i, n in enumerate(names)])
+    earlier = Window.partitionBy(F.lit(0)).orderBy(row_bucket).rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = F.broadcast(sizes.select(row_bucket, *[
+        F.coalesce(F.sum(f"__n{i}").over(earlier), F.lit(0)).alias(f"__start{i}")
+        for i in range(len(names))]))
+    running = Window.partitionBy(row_bucket).orderBy(col(row_id)).rowsBetween(
+        Window.unboundedPreceding, 0)
+    counted = placed.select("*", *[F.count(col(n)).over(running).alias(f"__run{i}")
+                                   for i, n in enumerate(names)]).join(starts, row_bucket)
+    cells = F.array(*[
+        F.struct(F.lit(n).alias("column"), col(n).cast("double").alias("value"),
+                 F.col(outs[n]).alias("bucket"),
+                 (F.col(f"__start{i}") + F.col(f"__run{i}") - 1).alias("position"))
+        for i, n in enumerate(names)])
+    long = counted.select(col(row_id), F.inline(cells)).where(F.col("value").isNotNull())
+
+    before = _before(unpivot_numbers(placed, names, buckets=outs), ["column"], "bucket")
+    sized = long.join(F.broadcast(before), ["column", "bucket"])
+    kept = ["column", row_id, "value", "position", F.col("__total").alias("known")]
     single = F.col("bucket") % 2 == 1
-    salted = cells.join(by_value, ["column", "bucket"]).withColumn(
-        "salt", F.when(single, F.pmod(F.xxhash64(col(row_id)), F.lit(SALTS))).otherwise(F.lit(0))
-    )
-    inside = ["column", "bucket", "salt"]
+    on_cut = sized.where(single).select(
+        *kept, (F.col("__before") + (F.col("__size") + 1) / 2.0).alias("avg_rank"))
+    inside = ["column", "bucket"]
     rank = F.rank().over(Window.partitionBy(*inside).orderBy("value"))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*inside, "value"))
-    ranked = salted.select(
-        "column", row_id, "row_bucket", "value",
-        (F.col("__before") + F.when(single, (F.col("__size") + 1) / 2.0)
-         .otherwise(rank + (ties - 1) / 2.0)).alias("avg_rank"),
-    )
-
-    by_row = F.broadcast(_before(cells, ["column"], "row_bucket"))
-    place = F.row_number().over(Window.partitionBy("column", "row_bucket").orderBy(row_id))
-    return ranked.join(by_row, ["column", "row_bucket"]).select(
-        "column", row_id, "value", "avg_rank",
-        (F.col("__before") + place - 1).alias("position"),
-        F.col("__total").alias("known"),
-    )
+    between = sized.where(~single).select(
+        *kept, (F.col("__before") + rank + (ties - 1) / 2.0).alias("avg_rank"))
+    return on_cut.unionByName(between).select(
+        "column", row_id, "value", "avg_rank", "position", "known")
 
 
 def row_positions(df: DataFrame, key: str, out: str = "position",
@@ -198,46 +216,161 @@ def forward_fill(df: DataFrame, names: Sequence[str], order: str,
     return joined.select(*[filled.get(c, col(c)) for c in df.columns])
 
 
-def _ranked_quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[float],
-                      buckets: int) -> dict[str, list[float | None]]:
-    placed, outs = with_buckets(
-        df.select(*[col(n) for n in names]), cut_points(df, names, buckets)
-    )
-    counted = (
-        unpivot_numbers(placed, names, buckets=outs)
-        .groupBy("column", "bucket", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    inside = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = F.broadcast(_before(counted, ["column"], "bucket", F.col("n")))
-    ranked = counted.join(offsets, ["column", "bucket"]).withColumn(
-        "below", F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+@dataclass
+class _Target:
+    """One order statistic: the ``rank``-th smallest value of a column, from 0.
+
+    It is known to lie strictly between ``low`` and ``high``, with ``below``
+    values at or under ``low`` and ``inside`` values in between.
+    """
+
+    name: str
+    rank: int
+    below: int
+    inside: int
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    def within(self) -> Column:
+        c = col(self.name).cast("double")
+        test = c.isNotNull()
+        if self.low is not None:
+            test = test & (c > F.lit(self.low))
+        if self.high is not None:
+            test = test & (c < F.lit(self.high))
+        return F.when(test, c)
+
+
+def _counts_at(df: DataFrame, points: dict[str, list[float]]) -> dict[tuple[str, float], tuple[int, int]]:
+    """How many values lie under, and at or under, each point of a column."""
+    names = list(points)
+    placed, outs = with_buckets(df.select(*[col(n) for n in names]), points)
+    sizes = unpivot_numbers(placed, names, buckets=outs).groupBy("column", "bucket").count().collect()
+    held = {(r["column"], r["bucket"]): r["count"] for r in sizes}
+    found = {}
+    for n in names:
+        total = held.get((n, 0), 0)
+        for i, v in enumerate(points[n]):
+            upto = total + held.get((n, 2 * i + 1), 0)
+            found[(n, v)] = (total, upto)
+            total = upto + held.get((n, 2 * i + 2), 0)
+    return found
+
+
+def _settle_at(df: DataFrame, spots: list[tuple[_Target, list[float]]]) -> None:
+    """Use exact counts at candidate values to hit each target or close in on it."""
+    points: dict[str, set[float]] = {}
+    for t, values in spots:
+        points.setdefault(t.name, set()).update(values)
+    under = _counts_at(df, {n: sorted(v) for n, v in points.items()})
+    for t, values in spots:
+        for v in sorted(values):
+            less, upto = under[(t.name, v)]
+            if less <= t.rank < upto:
+                t.value = v
+            elif upto <= t.rank:
+                t.low, t.inside, t.below = v, t.inside - (upto - t.below), upto
+            elif t.high is None or v < t.high:
+                t.high, t.inside = v, less - t.below
+
+
+def _narrow(df: DataFrame, targets: list[_Target]) -> None:
+    """One more round: two fresh candidates inside each target's interval."""
+    reach = 2.0 / SKETCH_ACCURACY
+    row = df.agg(*[
+        F.percentile_approx(
+            t.within(),
+            [max(0.0, (t.rank - t.below) / t.inside - reach),
+             min(1.0, (t.rank - t.below + 1) / t.inside + reach)],
+            SKETCH_ACCURACY,
+        ).alias(f"s{i}")
+        for i, t in enumerate(targets)
+    ]).first()
+    _settle_at(df, [(t, list(row[i])) for i, t in enumerate(targets)])
+
+
+def _gather(df: DataFrame, targets: list[_Target]) -> None:
+    """Fetch the few values left between the bounds of each target."""
+    points: dict[str, set[float]] = {}
+    for t in targets:
+        points.setdefault(t.name, set()).update(v for v in (t.low, t.high) if v is not None)
+    cuts = {n: sorted(v) for n, v in points.items()}
+    placed, outs = with_buckets(df.select(*[col(n) for n in cuts]), cuts)
+    # An interval is a run of buckets: bounds of other targets may fall inside it.
+    runs = {}
+    for t in targets:
+        at = cuts[t.name]
+        first = 0 if t.low is None else 2 * at.index(t.low) + 2
+        last = 2 * len(at) if t.high is None else 2 * at.index(t.high)
+        runs[(t.name, t.rank)] = range(first, last + 1)
+    asked = {(name, b) for (name, _), run in runs.items() for b in run}
+    hits = F.lit(False)
+    for name, b in asked:
+        hits = hits | ((F.col("column") == name) & (F.col("bucket") == b))
+    rows = (
+        unpivot_numbers(placed, list(cuts), buckets=outs).where(hits)
+        .groupBy("column", "bucket").agg(F.array_sort(F.collect_list("value")).alias("vs")).collect()
     )
-    picks = []
-    for i, share in enumerate(shares):
-        spot = (F.col("__total") - 1) * F.lit(float(share))
-        for side, at in (("low", F.floor(spot)), ("high", F.ceil(spot))):
-            hit = (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
-            picks.append(F.max(F.when(hit, F.col("value"))).alias(f"{side}{i}"))
-    found: dict[str, list[float | None]] = {n: [None] * len(shares) for n in names}
-    for row in ranked.groupBy("column").agg(F.max("__total").alias("total"), *picks).collect():
-        for i, share in enumerate(shares):
-            spot = (row["total"] - 1) * share
-            low, high = row[f"low{i}"], row[f"high{i}"]
-            found[row["column"]][i] = low + (high - low) * (spot - int(spot))
+    held = {(r["column"], r["bucket"]): r["vs"] for r in rows}
+    for t in targets:
+        values = [v for b in runs[(t.name, t.rank)] for v in held.get((t.name, b), [])]
+        t.value = values[t.rank - t.below]
+
+
+def _narrowed_quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[float],
+                        limit: int) -> dict[str, list[float | None]]:
+    """Exact order statistics by narrowing intervals until few values are left.
+
+    Every round is a plain aggregate whose result has a few rows per column.  A
+    value with many copies turns up as a candidate and is settled by its exact
+    counts, so each round leaves a fixed small share of the rows.
+    """
+    reach = 2.0 / SKETCH_ACCURACY
+    ask = [p for s in shares for p in (max(0.0, s - reach), min(1.0, s + reach))]
+    row = df.agg(*[e for i, n in enumerate(names) for e in (
+        F.count(col(n)).alias(f"k{i}"),
+        F.percentile_approx(col(n).cast("double"), ask, SKETCH_ACCURACY).alias(f"p{i}"),
+    )]).first()
+    targets: dict[tuple[str, int], _Target] = {}
+    spots = []
+    for i, n in enumerate(names):
+        for j, share in enumerate(shares):
+            if not row[f"k{i}"]:
+                continue
+            spot = (row[f"k{i}"] - 1) * share
+            for rank in {math.floor(spot), math.ceil(spot)}:
+                if (n, rank) not in targets:
+                    targets[(n, rank)] = _Target(n, rank, 0, row[f"k{i}"])
+                    spots.append((targets[(n, rank)], sorted(set(row[f"p{i}"][2 * j : 2 * j + 2]))))
+    if spots:
+        _settle_at(df, spots)
+    while wide := [t for t in targets.values() if t.value is None and t.inside > limit]:
+        _narrow(df, wide)
+    if left := [t for t in targets.values() if t.value is None]:
+        _gather(df, left)
+
+    found: dict[str, list[float | None]] = {}
+    for i, n in enumerate(names):
+        found[n] = []
+        for share in shares:
+            if not row[f"k{i}"]:
+                found[n].append(None)
+                continue
+            spot = (row[f"k{i}"] - 1) * share
+            low, high = targets[(n, math.floor(spot))].value, targets[(n, math.ceil(spot))].value
+            found[n].append(low + (high - low) * (spot - math.floor(spot)))
     return found
 
 
 def quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[float], *,
-              approx: bool = False, rows: int | None = None,
-              exact_rows: int = EXACT_ROWS) -> dict[str, list[float | None]]:
+              approx: bool = False, rows: int | None = None, exact_rows: int = EXACT_ROWS,
+              limit: int = SELECT_ROWS) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column, as driver-side numbers.
 
-    Small tables use one built-in aggregate.  Beyond ``exact_rows`` the
-    built-in would hold every distinct value of a column in one task, so the
-    counts of distinct values are ranked bucket by bucket instead.
+    Small tables use one built-in aggregate.  Beyond ``exact_rows`` that would
+    hold every distinct value of a column in one task; there the values are
+    found by narrowing intervals, with at most ``limit`` values gathered.
     """
     names = list(names)
     if not names:
@@ -245,10 +378,10 @@ def quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[float], *,
     if not approx:
         rows = df.count() if rows is None else rows
         if rows > exact_rows:
-            return _ranked_quantiles(df, names, shares, bucket_count(rows, len(names)))
+            return _narrowed_quantiles(df, names, shares, limit)
     wanted = F.array(*[F.lit(float(s)) for s in shares])
     row = df.agg(*[
-        (F.percentile_approx(col(n).cast("double"), list(shares), 10_000) if approx
+        (F.percentile_approx(col(n).cast("double"), list(shares), SKETCH_ACCURACY) if approx
          else F.percentile(col(n).cast("double"), wanted)).alias(f"q{i}")
         for i, n in enumerate(names)
     ]).first()

@@ -192,12 +192,12 @@ def _staged(df: DataFrame, plan: CleaningPlan) -> DataFrame:
     return named.select(*[col(c) for c in plan.kept])
 
 
-def fit(df: DataFrame, profile: CleaningProfile = CleaningProfile(), row_id: str | None = None,
-        sample_fraction: float | None = None, seed: int = 42) -> CleaningPlan:
-    """Learn names, types, fill values and fences.
+def fit_staged(df: DataFrame, profile: CleaningProfile = CleaningProfile(),
+               row_id: str | None = None, sample_fraction: float | None = None,
+               seed: int = 42) -> tuple[CleaningPlan, DataFrame]:
+    """The plan, and the renamed and de-duplicated table it was learned from.
 
-    ``sample_fraction`` takes fill values and fences from a sample, as the
-    reference does for big files; the default is exact.
+    The table is cached because several passes read it; the caller frees it.
     """
     names = standard_names(df.columns) if profile.standardize_column_names else list(df.columns)
     id_name = names[df.columns.index(row_id)] if row_id else None
@@ -219,12 +219,24 @@ def fit(df: DataFrame, profile: CleaningProfile = CleaningProfile(), row_id: str
     staged = _staged(df, plan)
     if profile.drop_duplicates:
         staged = drop_duplicate_rows(staged, id_name)
-    # Several passes follow; without this each would repeat the de-duplication.
     staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _fit_values(staged, plan, sample_fraction, seed)
-    finally:
+    except Exception:
         staged.unpersist()
+        raise
+    return plan, staged
+
+
+def fit(df: DataFrame, profile: CleaningProfile = CleaningProfile(), row_id: str | None = None,
+        sample_fraction: float | None = None, seed: int = 42) -> CleaningPlan:
+    """Learn names, types, fill values and fences.
+
+    ``sample_fraction`` takes fill values and fences from a sample, which
+    saves passes on big tables; the default is exact.
+    """
+    plan, staged = fit_staged(df, profile, row_id, sample_fraction, seed)
+    staged.unpersist()
     return plan
 
 
@@ -275,11 +287,16 @@ def _fit_values(staged: DataFrame, plan: CleaningPlan, fraction: float | None, s
 def transform(df: DataFrame, plan: CleaningPlan, *, drop_copies: bool | None = None,
               handle_outliers: bool | None = None) -> DataFrame:
     """Apply a plan.  With ``drop_copies=False`` it is a projection and fits a stream."""
-    profile = plan.profile
     out = _staged(df, plan)
-    if profile.drop_duplicates if drop_copies is None else drop_copies:
+    if plan.profile.drop_duplicates if drop_copies is None else drop_copies:
         out = drop_duplicate_rows(out, plan.row_id)
-    out = convert_to_numbers(out, plan.numbers) if plan.numbers else out
+    return finish(out, plan, handle_outliers)
+
+
+def finish(staged: DataFrame, plan: CleaningPlan, handle_outliers: bool | None = None) -> DataFrame:
+    """The steps after de-duplication: types, filling, outlier filter."""
+    profile = plan.profile
+    out = convert_to_numbers(staged, plan.numbers) if plan.numbers else staged
     data = [n for n in plan.kept if n != plan.row_id]
     if profile.fill_missing_strategy == "drop":
         out = out.dropna(how="any", subset=data)

@@ -73,16 +73,23 @@ def missing_report(df: DataFrame, names: Sequence[str] | None = None,
     return long_report(df.agg(*aggs), structs)
 
 
+def quartiles(df: DataFrame, names: Sequence[str], approx: bool = False,
+              rows: int | None = None) -> dict[str, list[float | None]]:
+    return quantiles(df, names, [0.25, 0.5, 0.75], approx=approx, rows=rows)
+
+
 def column_stats(df: DataFrame, names: Sequence[str] | None = None, *, approx: bool = False,
-                 row_id: str | None = None, pct_digits: int = 2) -> DataFrame:
+                 row_id: str | None = None, pct_digits: int = 2,
+                 marks: dict[str, list[float | None]] | None = None) -> DataFrame:
     """One row per column: missing share, moments, quartiles, outliers and trend.
 
     The trend needs an explicit row order and stays NULL without ``row_id``.
+    ``marks`` are quartiles that are already known.
     """
     names = [n for n in (names or df.columns) if n != row_id]
     types = logical_types(df)
     numbers = [n for n in numeric_columns(df) if n in names]
-    marks = quantiles(df, numbers, [0.25, 0.5, 0.75], approx=approx)
+    marks = marks or quartiles(df, numbers, approx)
     fences = fences_from(marks)
 
     aggs = [F.count(F.lit(1)).alias("rows")]
@@ -125,6 +132,17 @@ def column_stats(df: DataFrame, names: Sequence[str] | None = None, *, approx: b
     return stats.join(F.broadcast(found), "column", "left").select(*stats.columns, "trend")
 
 
+def moments(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Mean, deviation, minimum and maximum per numeric column, in one pass."""
+    aggs, structs = [], []
+    for i, n in enumerate(names):
+        c = col(n).cast("double")
+        parts = {"mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c)}
+        aggs += [e.alias(f"{m}{i}") for m, e in parts.items()]
+        structs.append(F.struct(F.lit(n).alias("column"), *[rounded(F.col(f"{m}{i}")).alias(m) for m in parts]))
+    return long_report(df.agg(*aggs), structs)
+
+
 def value_modes(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Most frequent number per column, the smallest one on a tie."""
     counted = unpivot_numbers(df, names).groupBy("column", "value").agg(
@@ -229,8 +247,14 @@ def variation(mean: Column, std: Column) -> Column:
 
 def unpivot_texts(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Rows ``(*keep, column, value)`` with values as text, NULLs included."""
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("value"))
-                      for n in names])
+    types = dict(df.dtypes)
+
+    def text(n: str) -> Column:
+        # Minus zero and zero are one value but two texts.
+        plain = col(n) + F.lit(0.0) if types[n] in ("double", "float") else col(n)
+        return plain.cast("string").alias("value")
+
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), text(n)) for n in names])
     return df.select(*[col(k) for k in keep], F.inline(cells))
 
 
@@ -345,8 +369,7 @@ def anomalies(df: DataFrame, names: Sequence[str], row_id: str, *,
     """Per column with outliers: fences, count and the first row ids."""
     names = [n for n in names if n != row_id]
     fences = fences or iqr_fences(df, names, approx)
-    known = df.agg(*[F.count(col(n)).alias(f"k{i}") for i, n in enumerate(names)]).first()
-    usable = [n for i, n in enumerate(names) if known[i] >= FENCE_MIN_ROWS]
+    usable = [n for n in names if fences[n][0] is not None]
     spark = df.sparkSession
     limits = spark.createDataFrame(
         [(n, *fences[n]) for n in usable], "column STRING, lower_fence DOUBLE, upper_fence DOUBLE"
@@ -355,6 +378,7 @@ def anomalies(df: DataFrame, names: Sequence[str], row_id: str, *,
         return limits.select("column", F.array().cast("array<bigint>").alias("row_indices"),
                              "lower_fence", "upper_fence", F.lit(0).cast("bigint").alias("outlier_count"))
     cells = outlier_cells(df, usable, row_id, fences)
+    # Three values cannot lie outside their own fences, so no size test is needed.
     counts = cells.groupBy("column").agg(F.count(F.lit(1)).alias("outlier_count"))
     first = Window.partitionBy("column").orderBy("row_id")
     ids = (

@@ -53,11 +53,13 @@ def _parses(name: str, kind: str) -> Column:
 
 
 def outlier_parts(df: DataFrame, row_id: str | None = None, approx: bool = False,
-                  rows: int | None = None) -> tuple[list[str], Fences, list[Column]]:
+                  rows: int | None = None,
+                  marks: dict[str, list[float | None]] | None = None,
+                  ) -> tuple[list[str], Fences, list[Column]]:
     """Fences where the middle half has a width, and the aggregates that use them."""
     numbers = [n for n in numeric_columns(df) if n != row_id]
-    marks = quantiles(df, numbers, [0.25, 0.75], approx=approx, rows=rows)
-    fences = fences_from({n: m if None not in m and m[1] > m[0] else [None, None]
+    marks = marks or quantiles(df, numbers, [0.25, 0.75], approx=approx, rows=rows)
+    fences = fences_from({n: m if None not in m and m[-1] > m[0] else [None, None]
                           for n, m in marks.items()})
     aggs = []
     for i, n in enumerate(numbers):

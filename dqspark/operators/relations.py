@@ -16,7 +16,7 @@ TREND_MIN_ROWS = 5
 TREND_LEVEL = 0.3
 FLAT_BAND = 0.05
 PAIRS_KEPT = 50
-PAIRS_PER_PASS = 200
+WIDE_PAIRS = 10
 
 # Two-sided 5 % critical points of Student's t for 3..41 degrees
 # of freedom.  From 42 degrees on, |r| > 0.3 is always significant.
@@ -48,26 +48,34 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def pearson_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Every pair ``(col_a, col_b, r)`` of numeric columns, unrounded.
+    """Every pair ``(i, j, col_a, col_b, r)`` of numeric columns, unrounded.
 
-    One pass handles up to ``PAIRS_PER_PASS`` pairs; all sums combine in each
-    task, so only one row per task is shuffled.
+    One scan, whatever the number of columns.  A few pairs are one wide
+    aggregate; beyond that the generated code would outgrow the compiler, so
+    each row hands its pairs to a grouping by pair, combined inside each task.
     """
     names = list(names or numeric_columns(df))
     pairs = list(combinations(range(len(names)), 2))
-    schema = "i INT, j INT, col_a STRING, col_b STRING, r DOUBLE"
-    result = df.sparkSession.createDataFrame([], schema)
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[at : at + PAIRS_PER_PASS]
-        aggs = [pearson(col(names[i]), col(names[j])).alias(f"r{k}")
-                for k, (i, j) in enumerate(part)]
-        structs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                            F.lit(names[i]).alias("col_a"), F.lit(names[j]).alias("col_b"),
-                            F.col(f"r{k}").alias("r"))
-                   for k, (i, j) in enumerate(part)]
-        chunk = long_report(df.agg(*aggs), structs)
-        result = chunk if at == 0 else result.unionByName(chunk)
-    return result
+    spark = df.sparkSession
+    labels = spark.createDataFrame(
+        [(k, i, j, names[i], names[j]) for k, (i, j) in enumerate(pairs)],
+        "k INT, i INT, j INT, col_a STRING, col_b STRING")
+    if not pairs:
+        return labels.select("i", "j", "col_a", "col_b", F.lit(None).cast("double").alias("r"))
+    if len(pairs) <= WIDE_PAIRS:
+        aggs = [pearson(col(names[i]), col(names[j])).alias(f"r{k}") for k, (i, j) in enumerate(pairs)]
+        structs = [F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("r")) for k in range(len(pairs))]
+        found = long_report(df.agg(*aggs), structs)
+    else:
+        cells = F.array(*[
+            F.struct(F.lit(k).alias("k"), col(names[i]).cast("double").alias("x"),
+                     col(names[j]).cast("double").alias("y"))
+            for k, (i, j) in enumerate(pairs)])
+        both = df.select(F.inline(cells)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        spread = F.sqrt(F.var_pop("x")) * F.sqrt(F.var_pop("y"))
+        found = both.groupBy("k").agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("r"))
+    # The labels have one row per pair of columns.
+    return found.join(F.broadcast(labels), "k").select("i", "j", "col_a", "col_b", "r")
 
 
 def pearson_pairs(df: DataFrame, names: Sequence[str] | None = None,

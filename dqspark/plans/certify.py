@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.scalars import col
+from dqspark.functions.settle import settle
 from dqspark.operators import checks as C, clean as K, dedup, explore, features as X, insights
 from dqspark.operators import model as M, profile, quality, relations, schema
 from dqspark.operators.charts import chart_plan
@@ -66,33 +67,40 @@ def certify(df: DataFrame, row_id: str, profile_: K.CleaningProfile = K.Cleaning
             trend: bool = True) -> Certificate:
     """Run every stage.  The cleaned table is cached once; results stay lazy."""
     intake = scout(df, row_id, approx)
-    cleaned, plan = K.clean(df, profile_, row_id)
-    cleaned = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
+    plan, staged = K.fit_staged(df, profile_, row_id)
+    cleaned = K.finish(staged, plan)
+    if cleaned is not staged:       # nothing to fill or filter leaves the cached table itself
+        cleaned = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = cleaned.count()
+        staged.unpersist()
+    else:
+        rows = plan.rows_distinct
     rid = plan.row_id
     data = cleaned.drop(rid)
     numbers = [n for n in schema.numeric_columns(cleaned) if n != rid]
+    marks = profile.quartiles(cleaned, numbers, approx, rows)
 
-    stats = profile.column_stats(cleaned, approx=approx, row_id=rid if trend else None)
-    stats = stats.where(F.col("column") != rid).cache()
-    categories = profile.categorical_insights(cleaned, schema.categorical_columns(cleaned, [rid]))
-    pairs = relations.pearson_pairs(cleaned, numbers)
-    found = profile.anomalies(cleaned, numbers, rid, approx=approx)
+    stats = settle(profile.column_stats(
+        cleaned, data.columns, row_id=rid if trend else None, marks=marks))
+    categories = settle(profile.categorical_insights(data))
+    pairs = settle(relations.pearson_pairs(data, numbers))
+    found = settle(profile.anomalies(cleaned, numbers, rid, fences=profile.fences_from(marks)))
     charts = chart_plan(data, stats, pairs, categories)
     words = insights.key_insights(data, stats, pairs, found)
 
-    rows = cleaned.count()
     tests = C.sanity_checks(cleaned, rows, len(data.columns), rid)
-    tests = tests.unionByName(C.consistency_checks(stats, profile.column_stats(cleaned, approx=approx)))
-    tests = tests.unionByName(C.correlation_checks(pairs, relations.pearson_pairs(cleaned, numbers, None)))
-    tests = tests.unionByName(C.outlier_check(cleaned, rid, approx))
+    tests = tests.unionByName(C.consistency_checks(
+        stats.where(F.col("mean").isNotNull()), profile.moments(data, numbers)))
+    tests = tests.unionByName(C.correlation_checks(pairs, relations.pearson_pairs(data, numbers, None)))
+    tests = tests.unionByName(C.outlier_check(cleaned, rid, approx, marks))
     tests = tests.unionByName(C.chart_check(charts))
     tests = tests.unionByName(C.required_outputs(
         {"analysis": (stats, "error"), "charts": (charts, "error"), "cleaned": (data, "error")}, data))
     if classifier is not None:
         tests = tests.unionByName(C.model_check(
             M.score(classifier, X.features8(X.measures(data)))))
-    tests = tests.cache()
-    dimensions = C.dimension_scores(tests)
+    tests = settle(tests)
+    dimensions = settle(C.dimension_scores(tests))
     return Certificate(
         intake, cleaned, plan, K.clean_metrics(cleaned, plan), stats, categories, pairs, found,
         words, charts, tests, dimensions, C.verdict(tests, dimensions),
