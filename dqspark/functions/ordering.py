@@ -3,9 +3,9 @@
 A window ordered over a whole column pulls that column into one task.  Here a
 key is first cut into buckets at approximate quantiles.  The cut points are a
 bounded list of literals, so a lost task recomputes the same buckets; they only
-steer balance and never the result.  A value that equals a cut point gets a
-bucket of its own: a value that holds a third of all rows is such a point, its
-bucket needs no sort, and it is spread over tasks by a salt.
+steer balance and never the result.  Values are counted before they are ranked,
+so a value that holds a third of all rows is one row by then, and row order is
+taken from a unique key.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ EXACT_ROWS = 1_000_000
 # Beyond it, values gathered at the end of a selection.
 SELECT_ROWS = 20_000
 SKETCH_ACCURACY = 10_000
-# Enough cut points to meet every value of a column with few values.
-RANK_BUCKETS = 64
 
 
 def bucket_count(rows: int, columns: int = 1) -> int:
@@ -110,30 +108,27 @@ def unpivot_numbers(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (
     )
 
 
-def average_ranks(df: DataFrame, names: Sequence[str], row_id: str,
-                  buckets: int | None = None) -> DataFrame:
-    """Long rows ``(column, row_id, value, avg_rank, position, known)``.
+def known_positions(df: DataFrame, names: Sequence[str], row_id: str,
+                    buckets: int | None = None) -> DataFrame:
+    """Long rows ``(column, row_id, value, bucket, position, known)`` of all known values.
 
-    ``avg_rank`` is the 1-based average rank of the value in its column and
-    ``position`` the 0-based place of the row among the column's known values.
-    Positions are counted on the wide rows, one running count per column.  Only
-    values that lie between cut points are sorted: a value on a cut point has
-    its rank from the bucket sizes alone, however many rows hold it.
+    ``position`` is the 0-based place of the row among the column's known
+    values, ``known`` their number and ``bucket`` an order-preserving bucket of
+    the value.  Positions are running counts on the wide rows: one window for
+    all columns.
     """
-    names = [n for n in dict.fromkeys(names)]
-    buckets = buckets or max(RANK_BUCKETS, bucket_count(df.count(), len(names) + 1))
+    names = list(dict.fromkeys(names))
+    buckets = buckets or bucket_count(df.count(), len(names) + 1)
     wanted = list(dict.fromkeys([*names, row_id]))
-    points = cut_points(df, wanted, buckets)
-    placed, outs = with_buckets(df.select(*[col(c) for c in wanted]), points)
+    placed, outs = with_buckets(df.select(*[col(c) for c in wanted]), cut_points(df, wanted, buckets))
     row_bucket = outs[row_id]
-
     sizes = placed.groupBy(row_bucket).agg(
         *[F.count(col(n)).alias(f"__n{i}") for i, n in enumerate(names)])
-    earlier = Window.partitionBy(F.lit(0)).orderBy(row_bucket).rowsBetween(
-        Window.unboundedPreceding, -1)
-    starts = F.broadcast(sizes.select(row_bucket, *[
-        F.coalesce(F.sum(f"__n{i}").over(earlier), F.lit(0)).alias(f"__start{i}")
-        for i in range(len(names))]))
+    everything = Window.partitionBy(F.lit(0))
+    earlier = everything.orderBy(row_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sizes.select(row_bucket, *[e for i in range(len(names)) for e in (
+        F.coalesce(F.sum(f"__n{i}").over(earlier), F.lit(0)).alias(f"__start{i}"),
+        F.sum(f"__n{i}").over(everything).alias(f"__known{i}"))]))
     running = Window.partitionBy(row_bucket).orderBy(col(row_id)).rowsBetween(
         Window.unboundedPreceding, 0)
     counted = placed.select("*", *[F.count(col(n)).over(running).alias(f"__run{i}")
@@ -141,23 +136,23 @@ def average_ranks(df: DataFrame, names: Sequence[str], row_id: str,
     cells = F.array(*[
         F.struct(F.lit(n).alias("column"), col(n).cast("double").alias("value"),
                  F.col(outs[n]).alias("bucket"),
-                 (F.col(f"__start{i}") + F.col(f"__run{i}") - 1).alias("position"))
+                 (F.col(f"__start{i}") + F.col(f"__run{i}") - 1).alias("position"),
+                 F.col(f"__known{i}").alias("known"))
         for i, n in enumerate(names)])
-    long = counted.select(col(row_id), F.inline(cells)).where(F.col("value").isNotNull())
-
-    before = _before(unpivot_numbers(placed, names, buckets=outs), ["column"], "bucket")
-    sized = long.join(F.broadcast(before), ["column", "bucket"])
-    kept = ["column", row_id, "value", "position", F.col("__total").alias("known")]
-    single = F.col("bucket") % 2 == 1
-    on_cut = sized.where(single).select(
-        *kept, (F.col("__before") + (F.col("__size") + 1) / 2.0).alias("avg_rank"))
-    inside = ["column", "bucket"]
-    rank = F.rank().over(Window.partitionBy(*inside).orderBy("value"))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*inside, "value"))
-    between = sized.where(~single).select(
-        *kept, (F.col("__before") + rank + (ties - 1) / 2.0).alias("avg_rank"))
-    return on_cut.unionByName(between).select(
-        "column", row_id, "value", "avg_rank", "position", "known")
+    return counted.select(col(row_id), F.inline(cells)).where(F.col("value").isNotNull())
+
+
+def rank_counts(counted: DataFrame, group: str = "column") -> DataFrame:
+    """Add ``below`` and ``total`` to rows ``(column, bucket, value, n)`` of distinct values.
+
+    Copies of a value are one row here, so no value can crowd a task.
+    """
+    offsets = F.broadcast(_before(counted, [group], "bucket", F.col("n")))
+    inside = Window.partitionBy(group, "bucket").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return counted.join(offsets, [group, "bucket"]).withColumn(
+        "below", F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    ).withColumnRenamed("__total", "total").drop("__before", "__size")
 
 
 def row_positions(df: DataFrame, key: str, out: str = "position",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from dqspark.functions.ordering import average_ranks
+from dqspark.functions.ordering import known_positions, rank_counts
 from dqspark.functions.scalars import col, rounded
 from dqspark.operators.schema import long_report, numeric_columns
 
@@ -106,26 +106,38 @@ def _critical_r(n: Column) -> Column:
 
 def trends(df: DataFrame, names: Sequence[str], row_id: str,
            buckets: int | None = None) -> DataFrame:
-    """Monotonic trend per column: Spearman of value against row order."""
-    ranks = average_ranks(df, list(names), row_id, buckets)
-    found = ranks.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), pearson(F.col("position"), F.col("avg_rank")).alias("rho")
-    )
-    n, rho = F.col("n"), F.col("rho")
+    """Monotonic trend per column: Spearman of value against row order.
+
+    Rows with the same value share a rank, so their positions are summed per
+    value first; ranks are then worked out on distinct values alone.
+    """
+    cells = known_positions(df, list(names), row_id, buckets)
+    counted = cells.groupBy("column", "bucket", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("position").cast("double")).alias("places"))
+    # Average rank minus the mean of all ranks.
+    centred = F.col("below") + (F.col("n") + 1) / 2.0 - (F.col("total") + 1) / 2.0
+    sums = rank_counts(counted).groupBy("column").agg(
+        F.max("total").alias("n"), F.sum(centred * F.col("places")).alias("together"),
+        F.sum(F.col("n") * centred * centred).alias("spread"))
+    rows = F.col("n").cast("double")
+    order_spread = rows * (rows * rows - 1) / 12.0
+    rho = F.try_divide("together", F.sqrt(F.col("spread")) * F.sqrt(order_spread))
+    n = F.col("n")
     label = (
         F.when(n < TREND_MIN_ROWS, F.lit(None).cast("string"))
-        .when(rho.isNull() | (F.abs(rho) <= TREND_LEVEL) | (F.abs(rho) < _critical_r(n)), "flat")
-        .when(rho > 0, "increasing").otherwise("decreasing")
+        .when(F.col("rho").isNull() | (F.abs("rho") <= TREND_LEVEL)
+              | (F.abs("rho") < _critical_r(n)), "flat")
+        .when(F.col("rho") > 0, "increasing").otherwise("decreasing")
     )
-    return found.select("column", "n", "rho", label.alias("trend"))
+    return sums.withColumn("rho", rho).select("column", "n", "rho", label.alias("trend"))
 
 
 def half_trends(df: DataFrame, names: Sequence[str], row_id: str,
                 buckets: int | None = None) -> DataFrame:
     """Simpler trend: mean of the first half of the rows against the second."""
-    ranks = average_ranks(df, list(names), row_id, buckets)
+    cells = known_positions(df, list(names), row_id, buckets)
     early = F.col("position") < F.floor(F.col("known") / 2)
-    found = ranks.groupBy("column").agg(
+    found = cells.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.when(early, F.col("value"))).alias("first_mean"),
         F.avg(F.when(~early, F.col("value"))).alias("second_mean"),
