@@ -25,10 +25,12 @@ ROWS_PER_TASK = 1_000_000
 MAX_BUCKETS = 20_000
 MAX_CUTS = 100_000
 # Up to this many rows the built-in exact percentile is cheap in one task.
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 200_000
 # Beyond it, values gathered at the end of a selection.
 SELECT_ROWS = 20_000
 SKETCH_ACCURACY = 10_000
+# Rows that propose cut points and first candidates; exact counts follow.
+STEER_ROWS = 100_000
 
 
 def bucket_count(rows: int, columns: int = 1) -> int:
@@ -36,7 +38,13 @@ def bucket_count(rows: int, columns: int = 1) -> int:
     return int(min(wanted, MAX_BUCKETS, max(8, MAX_CUTS // max(1, columns))))
 
 
-def cut_points(df: DataFrame, names: Sequence[str], buckets: int) -> dict[str, list[float]]:
+def _steering(df: DataFrame, rows: int) -> DataFrame:
+    """Some rows to guess from.  No result depends on which ones they are."""
+    return df.sample(fraction=STEER_ROWS / rows, seed=7) if rows > 2 * STEER_ROWS else df
+
+
+def cut_points(df: DataFrame, names: Sequence[str], buckets: int,
+               rows: int) -> dict[str, list[float]]:
     """Approximate, strictly increasing cut points per column.
 
     The sketch is merged task by task; the driver receives at most
@@ -45,8 +53,8 @@ def cut_points(df: DataFrame, names: Sequence[str], buckets: int) -> dict[str, l
     if not names:
         return {}
     shares = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, buckets * 8)
-    row = df.agg(
+    accuracy = max(SKETCH_ACCURACY, buckets * 8)
+    row = _steering(df, rows).agg(
         *[
             F.percentile_approx(col(n).cast("double"), shares, accuracy).alias(f"p{i}")
             for i, n in enumerate(names)
@@ -56,31 +64,36 @@ def cut_points(df: DataFrame, names: Sequence[str], buckets: int) -> dict[str, l
 
 
 def with_buckets(df: DataFrame, points: dict[str, list[float]]) -> tuple[DataFrame, dict[str, str]]:
-    """Add one order-preserving bucket number per column: odd on a cut point, even between."""
-    names = list(points)
-    inputs = [f"__k{i}" for i in range(len(names))]
-    slots = [f"__s{i}" for i in range(len(names))]
-    keyed = df.select("*", *[col(n).cast("double").alias(k) for n, k in zip(names, inputs)])
-    splits = [[float("-inf"), *(points[n] or [0.0]), float("inf")] for n in names]
-    placed = Bucketizer(
-        splitsArray=splits, inputCols=inputs, outputCols=slots, handleInvalid="keep"
-    ).transform(keyed)
-    outs = {}
+    """Add one order-preserving bucket number per column: odd on a cut point, even between.
+
+    A column without cut points is one bucket.
+    """
+    cut = [n for n in points if points[n]]
+    inputs = {n: f"__k{i}" for i, n in enumerate(cut)}
+    slots = {n: f"__s{i}" for i, n in enumerate(cut)}
+    placed = df.select("*", *[col(n).cast("double").alias(k) for n, k in inputs.items()])
+    if cut:
+        placed = Bucketizer(
+            splitsArray=[[float("-inf"), *points[n], float("inf")] for n in cut],
+            inputCols=list(inputs.values()), outputCols=list(slots.values()), handleInvalid="keep",
+        ).transform(placed)
+    outs = {n: f"__b{i}" for i, n in enumerate(points)}
     numbers = []
-    for i, n in enumerate(names):
+    for n, out in outs.items():
+        if not points[n]:
+            numbers.append(F.lit(0).alias(out))
+            continue
         # Slot s holds [cut s-1, cut s): its left end is told apart as "on the cut".
-        lefts = F.array(*[F.lit(p) for p in splits[i][1:-1]])
-        slot = F.col(slots[i]).cast("int")
-        on_cut = (slot > 0) & (F.col(inputs[i]) == F.get(lefts, slot - 1))
-        outs[n] = f"__b{i}"
-        numbers.append(F.when(on_cut, slot * 2 - 1).otherwise(slot * 2).alias(outs[n]))
+        lefts = F.array(*[F.lit(p) for p in points[n]])
+        slot = F.col(slots[n]).cast("int")
+        on_cut = (slot > 0) & (F.col(inputs[n]) == F.get(lefts, slot - 1))
+        numbers.append(F.when(on_cut, slot * 2 - 1).otherwise(slot * 2).alias(out))
     return placed.select(*[col(c) for c in df.columns], *numbers), outs
 
 
-def _before(cells: DataFrame, keys: Sequence[str], bucket: str, weight=None) -> DataFrame:
+def _before(cells: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
     """Rows before each bucket: one row per group and bucket, a bounded table."""
-    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    sizes = cells.groupBy(*keys, bucket).agg(size.alias("__size"))
+    sizes = cells.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__size"))
     groups = [F.col(k) for k in keys] or [F.lit(0)]
     earlier = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, -1
@@ -109,8 +122,9 @@ def unpivot_numbers(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (
 
 
 def known_positions(df: DataFrame, names: Sequence[str], row_id: str,
-                    buckets: int | None = None) -> DataFrame:
-    """Long rows ``(column, row_id, value, bucket, position, known)`` of all known values.
+                    buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Long rows ``(column, row_id, value, bucket, position, known)`` of all known values,
+    and the rows before each bucket of a column.
 
     ``position`` is the 0-based place of the row among the column's known
     values, ``known`` their number and ``bucket`` an order-preserving bucket of
@@ -118,9 +132,11 @@ def known_positions(df: DataFrame, names: Sequence[str], row_id: str,
     all columns.
     """
     names = list(dict.fromkeys(names))
-    buckets = buckets or bucket_count(df.count(), len(names) + 1)
+    rows = df.count()
+    buckets = buckets or bucket_count(rows, len(names) + 1)
     wanted = list(dict.fromkeys([*names, row_id]))
-    placed, outs = with_buckets(df.select(*[col(c) for c in wanted]), cut_points(df, wanted, buckets))
+    placed, outs = with_buckets(
+        df.select(*[col(c) for c in wanted]), cut_points(df, wanted, buckets, rows))
     row_bucket = outs[row_id]
     sizes = placed.groupBy(row_bucket).agg(
         *[F.count(col(n)).alias(f"__n{i}") for i, n in enumerate(names)])
@@ -139,18 +155,19 @@ def known_positions(df: DataFrame, names: Sequence[str], row_id: str,
                  (F.col(f"__start{i}") + F.col(f"__run{i}") - 1).alias("position"),
                  F.col(f"__known{i}").alias("known"))
         for i, n in enumerate(names)])
-    return counted.select(col(row_id), F.inline(cells)).where(F.col("value").isNotNull())
+    long = counted.select(col(row_id), F.inline(cells)).where(F.col("value").isNotNull())
+    return long, _before(unpivot_numbers(placed, names, buckets=outs), ["column"], "bucket")
 
 
-def rank_counts(counted: DataFrame, group: str = "column") -> DataFrame:
+def rank_counts(counted: DataFrame, before: DataFrame) -> DataFrame:
     """Add ``below`` and ``total`` to rows ``(column, bucket, value, n)`` of distinct values.
 
     Copies of a value are one row here, so no value can crowd a task.
+    ``before`` has one row per bucket, a bounded number.
     """
-    offsets = F.broadcast(_before(counted, [group], "bucket", F.col("n")))
-    inside = Window.partitionBy(group, "bucket").orderBy("value").rowsBetween(
+    inside = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(
         Window.unboundedPreceding, -1)
-    return counted.join(offsets, [group, "bucket"]).withColumn(
+    return counted.join(F.broadcast(before), ["column", "bucket"]).withColumn(
         "below", F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     ).withColumnRenamed("__total", "total").drop("__before", "__size")
 
@@ -158,10 +175,10 @@ def rank_counts(counted: DataFrame, group: str = "column") -> DataFrame:
 def row_positions(df: DataFrame, key: str, out: str = "position",
                   buckets: int | None = None) -> DataFrame:
     """Add the 0-based position of every row by one unique numeric or time key."""
-    buckets = buckets or bucket_count(df.count())
-    number = _as_number(df, key)
-    keyed = df.withColumn("__key", number)
-    placed, outs = with_buckets(keyed, cut_points(keyed, ["__key"], buckets))
+    rows = df.count()
+    keyed = df.withColumn("__key", _as_number(df, key))
+    points = cut_points(keyed, ["__key"], buckets or bucket_count(rows), rows)
+    placed, outs = with_buckets(keyed, points)
     bucket = outs["__key"]
     before = F.broadcast(_before(placed, [], bucket))
     place = F.row_number().over(Window.partitionBy(bucket).orderBy(col(key)))
@@ -184,9 +201,10 @@ def forward_fill(df: DataFrame, names: Sequence[str], order: str,
     Each bucket is filled on its own; the last known value of the buckets
     before it arrives through a table of one row per bucket.
     """
-    buckets = buckets or bucket_count(df.count())
+    rows = df.count()
     keyed = df.withColumn("__key", _as_number(df, order))
-    placed, outs = with_buckets(keyed, cut_points(keyed, ["__key"], buckets))
+    points = cut_points(keyed, ["__key"], buckets or bucket_count(rows), rows)
+    placed, outs = with_buckets(keyed, points)
     bucket = outs["__key"]
     lasts = placed.groupBy(bucket).agg(
         *[F.max_by(col(n), F.when(col(n).isNotNull(), col(order))).alias(f"__last{i}")
@@ -314,19 +332,22 @@ def _gather(df: DataFrame, targets: list[_Target]) -> None:
 
 
 def _narrowed_quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[float],
-                        limit: int) -> dict[str, list[float | None]]:
+                        limit: int, rows: int) -> dict[str, list[float | None]]:
     """Exact order statistics by narrowing intervals until few values are left.
 
     Every round is a plain aggregate whose result has a few rows per column.  A
     value with many copies turns up as a candidate and is settled by its exact
     counts, so each round leaves a fixed small share of the rows.
     """
-    reach = 2.0 / SKETCH_ACCURACY
+    # A guess from that many rows is off by less than this in nearly all cases;
+    # where it is not, the exact counts show it and narrowing goes on.
+    reach = 2.0 / SKETCH_ACCURACY + 2.0 / math.sqrt(min(rows, STEER_ROWS))
     ask = [p for s in shares for p in (max(0.0, s - reach), min(1.0, s + reach))]
-    row = df.agg(*[e for i, n in enumerate(names) for e in (
-        F.count(col(n)).alias(f"k{i}"),
-        F.percentile_approx(col(n).cast("double"), ask, SKETCH_ACCURACY).alias(f"p{i}"),
-    )]).first()
+    guess = _steering(df, rows).agg(*[
+        F.percentile_approx(col(n).cast("double"), ask, SKETCH_ACCURACY).alias(f"p{i}")
+        for i, n in enumerate(names)
+    ]).first()
+    row = df.agg(*[F.count(col(n)).alias(f"k{i}") for i, n in enumerate(names)]).first()
     targets: dict[tuple[str, int], _Target] = {}
     spots = []
     for i, n in enumerate(names):
@@ -337,7 +358,8 @@ def _narrowed_quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[fl
             for rank in {math.floor(spot), math.ceil(spot)}:
                 if (n, rank) not in targets:
                     targets[(n, rank)] = _Target(n, rank, 0, row[f"k{i}"])
-                    spots.append((targets[(n, rank)], sorted(set(row[f"p{i}"][2 * j : 2 * j + 2]))))
+                    candidates = (guess[i] or [])[2 * j : 2 * j + 2]
+                    spots.append((targets[(n, rank)], sorted(set(candidates))))
     if spots:
         _settle_at(df, spots)
     while wide := [t for t in targets.values() if t.value is None and t.inside > limit]:
@@ -373,7 +395,7 @@ def quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[float], *,
     if not approx:
         rows = df.count() if rows is None else rows
         if rows > exact_rows:
-            return _narrowed_quantiles(df, names, shares, limit)
+            return _narrowed_quantiles(df, names, shares, limit, rows)
     wanted = F.array(*[F.lit(float(s)) for s in shares])
     row = df.agg(*[
         (F.percentile_approx(col(n).cast("double"), list(shares), SKETCH_ACCURACY) if approx

@@ -111,12 +111,12 @@ def trends(df: DataFrame, names: Sequence[str], row_id: str,
     Rows with the same value share a rank, so their positions are summed per
     value first; ranks are then worked out on distinct values alone.
     """
-    cells = known_positions(df, list(names), row_id, buckets)
+    cells, before = known_positions(df, list(names), row_id, buckets)
     counted = cells.groupBy("column", "bucket", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("position").cast("double")).alias("places"))
     # Average rank minus the mean of all ranks.
     centred = F.col("below") + (F.col("n") + 1) / 2.0 - (F.col("total") + 1) / 2.0
-    sums = rank_counts(counted).groupBy("column").agg(
+    sums = rank_counts(counted, before).groupBy("column").agg(
         F.max("total").alias("n"), F.sum(centred * F.col("places")).alias("together"),
         F.sum(F.col("n") * centred * centred).alias("spread"))
     rows = F.col("n").cast("double")
@@ -135,7 +135,7 @@ def trends(df: DataFrame, names: Sequence[str], row_id: str,
 def half_trends(df: DataFrame, names: Sequence[str], row_id: str,
                 buckets: int | None = None) -> DataFrame:
     """Simpler trend: mean of the first half of the rows against the second."""
-    cells = known_positions(df, list(names), row_id, buckets)
+    cells, _ = known_positions(df, list(names), row_id, buckets)
     early = F.col("position") < F.floor(F.col("known") / 2)
     found = cells.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"),

@@ -28,6 +28,24 @@ def test_narrowed_quantiles_equal_pandas(skewed, limit):
         assert np.allclose(found[n], pdf[n].quantile(shares), rtol=1e-12)
 
 
+def test_wrong_guesses_only_cost_rounds(skewed, monkeypatch):
+    """Candidates from a handful of rows still lead to the exact values."""
+    df, pdf = skewed
+    monkeypatch.setattr(O, "STEER_ROWS", 20)
+    found = O.quantiles(df, ["v", "w"], [0.25, 0.5, 0.75], exact_rows=0, limit=100)
+    for n in ("v", "w"):
+        assert np.allclose(found[n], pdf[n].quantile([0.25, 0.5, 0.75]), rtol=1e-12)
+
+
+def test_column_that_no_guess_has_seen(spark, monkeypatch):
+    """A column with a few known values may be empty in the rows guessed from."""
+    monkeypatch.setattr(O, "STEER_ROWS", 5)
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 1000 = 7 THEN id * 1.0 - 2500 END AS rare")
+    found = O.quantiles(df, ["id", "rare"], [0.5], exact_rows=0, limit=50)
+    assert found == {"id": [2499.5], "rare": [-493.0]}
+    assert relations.trends(df, ["rare"], "id").first()["trend"] == "increasing"
+
+
 def test_quantiles_of_empty_and_single_value_columns(rows):
     df = rows("a DOUBLE, b DOUBLE, c BIGINT", (None, 4.0, 7), (None, 4.0, 9), (None, None, 8))
     found = O.quantiles(df, ["a", "b", "c"], [0.25, 0.5], exact_rows=0)
@@ -44,7 +62,7 @@ def test_positions_and_forward_fill(skewed):
 
 def test_known_positions_skip_gaps(skewed):
     df, pdf = skewed
-    found = O.known_positions(df, ["v", "w"], "id", buckets=16).toPandas()
+    found = O.known_positions(df, ["v", "w"], "id", buckets=16)[0].toPandas()
     for n in ("v", "w"):
         want = pdf[["id", n]].dropna().assign(position=lambda d: range(len(d)))
         got = found[found.column == n].sort_values("id")
