@@ -154,7 +154,7 @@ def test_damage_is_repeatable_and_grows(spark):
     assert D.duplicates(df, 10, "id").select("id").distinct().count() == D.duplicates(df, 10, "id").count()
 
 
-def test_features_match_the_reference_definition(spark):
+def test_features_match_pandas(spark):
     pdf = spark.createDataFrame([(1.0, "a", 10.0), (2.0, "b", 10.0), (None, "a", 10.0), (4.0, "a", 10.0), (9.0, None, 10.0), (9.0, None, 10.0)],
                                 "x DOUBLE, s STRING, k DOUBLE")
     got = X.features8(X.measures(pdf)).first()
