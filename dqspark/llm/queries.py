@@ -5,11 +5,14 @@ from __future__ import annotations
 from dqspark.llm.cuckoo import OP10_SQL, op10_exact_dedup
 from dqspark.llm.line_dedup import OP8_SQL, op8_line_dedup
 from dqspark.llm.simhash import op4_simhash_near_dedup
+from dqspark.llm.sketch import op2_document_fingerprints
+from dqspark.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
-    f.__name__: f for f in (op4_simhash_near_dedup, op8_line_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_url_filter, op2_document_fingerprints, op4_simhash_near_dedup, op8_line_dedup, op10_exact_dedup)
 }
 ORACLES = {
+    "op1_url_filter": OP1_SQL.strip(),
     "op8_line_dedup": OP8_SQL.strip(),
     "op10_exact_dedup": OP10_SQL.strip(),
 }
