@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dqspark.llm.bktree import Forest, hook
 from dqspark.llm.graph import components
@@ -35,6 +35,13 @@ SHARD_ROWS = 20_000
 BATCH_ROWS = 100_000
 SHINGLES_AT_ONCE = 1 << 16
 
+# Near copies: fingerprints of the distinct words link more widely than shingles allow,
+# and a link holds if the texts share enough shingles.
+COPY_RADIUS = 8
+COPY_SHINGLE = 5
+COPY_SIMILARITY = 0.8
+BINS = 256
+
 
 def words(text: bytes) -> list[bytes]:
     """A-Z lower-cased, cut at ASCII white space; on bytes both touch ASCII only."""
@@ -225,6 +232,83 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) ->
         "doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def bin_sketch(hashes: np.ndarray) -> bytes:
+    """Per bin (the top bits of a hash) one byte of the bin's least hash; 0 for an empty bin."""
+    out = np.zeros(BINS, np.uint8)
+    ordered = np.sort(hashes)
+    places = (ordered >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(places, prepend=-1))
+    out[places[first]] = ordered[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def shared_share(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The share of common shingles that the bins of two arrays of sketches show; 1 for two empty ones."""
+    either = ((one > 0) | (two > 0)).sum(1)
+    same = ((one == two) & (one > 0)).sum(1)
+    return np.where(either > 0, same / np.maximum(either, 1), 1.0)
+
+
+MARK = "doc_id LONG, th LONG, a LONG, b LONG, fp LONG, sketch BINARY"
+
+
+def copy_marks(docs: DataFrame) -> DataFrame:
+    """Per row a 128-bit hash of its words, the SimHash of its distinct words and a sketch of its shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(2).cast(pa.binary()):
+                parts = words(text.as_py())
+                whole = xxhash.xxh3_128_intdigest(b" ".join(parts), SEED)
+                single = np.array([xxhash.xxh64_intdigest(w, SEED) for w in sorted(set(parts))], np.uint64)
+                rows.append((signed(whole >> 64), signed(whole & (1 << 64) - 1), signed(fingerprint(single)),
+                             bin_sketch(shingle_hashes(parts, COPY_SHINGLE))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)],
+                 pa.array([r[3] for r in rows], pa.binary())], [f.split()[0] for f in MARK.split(", ")])
+
+    text = text_of()
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(
+        run, MARK)
+
+
+def first_of_near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY,
+                         radius: int = COPY_RADIUS) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the document with the least doc_id stays.
+
+    Texts with the same words in the same order (A-Z lower-cased, any white space) are
+    one class.  Classes link if the SimHashes of their distinct words differ in at most
+    ``radius`` bits, found in BK-trees, and if at least ``similarity`` of their shingles
+    of five words (the whole text if it has fewer) are shared, as estimated from
+    one-permutation sketches of ``BINS`` bins.  Groups are connected components.  Texts
+    without words are one class, so one of them stays.  A null text is empty; a null
+    doc_id goes before any other; of rows that repeat doc_id and text one stays.  All
+    columns are kept as they are.
+    """
+    marked = keep(copy_marks(docs), "copy-marks")
+    named = keep(
+        marked.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
+    lead = named.select("node", F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("first.doc_id").alias("cd"),
+                        F.col("first.th").alias("ct"))
+    prints = keep(
+        marked.join(lead, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb"))
+                    & F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("th") == F.col("ct")))
+        .select("node", "fp", "sketch"), "copy-prints")
+    found = components(links(
+        prints, radius, node="node", sketch="sketch",
+        agrees=lambda one, two: shared_share(one, two) >= similarity).select("src", "dst"))
+    grouped = keep(
+        named.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+        .select("first", F.coalesce("component", "node").alias("component")), "copy-groups")
+    stay = keep(grouped.groupBy("component").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th")), "stay")
+    th = F.xxhash64(text_of())
+    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("stay_id")) & (th == F.col("stay_th")))
+    turn = F.row_number().over(Window.partitionBy("stay_id", "stay_th").orderBy("stay_id"))
+    return kept.withColumn("__turn", turn).where("__turn = 1").select(*[docs[c] for c in docs.columns])
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -34,9 +34,9 @@ FACTORS = 4
 STEPS = 3_000
 BATCH = 128
 # Vectors join in the second half, so that a term which tells alone does so by its weight.
-RATE = 0.5
+RATE = 0.3
 PAIR_RATE = 0.03
-DECAY = 1e-4
+DECAY = 1e-6
 STARTS = (4, 5)
 # ASCII letters and any bytes of other letters; A-Z are lower-cased before.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -85,7 +85,10 @@ def telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Logistic loss by AdaGrad over small batches; ``texts`` are arrays of distinct buckets."""
+    """Logistic loss by AdaGrad over small batches; ``texts`` are arrays of distinct buckets.
+
+    Weights start at the smoothed log-odds of their bucket, vectors near nothing.
+    """
     n = len(texts)
     rate = float(labels.mean()) if n else 0.0
     bias = float(np.log((rate * n + 1) / ((1 - rate) * n + 1)))
@@ -101,6 +104,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     used = buckets[at] == flat
     owner, at = owner[used], at[used]
     ends = np.searchsorted(owner, np.arange(n + 1))
+    held, toxic = np.bincount(at, minlength=len(buckets)), np.bincount(at, labels[owner], len(buckets))
+    weights = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((held - toxic + 0.5) / (n - labels.sum() + 1))
     bias_sum, weight_sum, vector_sum = 1e-8, np.full(len(buckets), 1e-8), np.full(vectors.shape, 1e-8)
     for turn in range(STEPS):
         rows = random.integers(0, n, BATCH)
