@@ -24,13 +24,10 @@ ROWS_PER_TASK = 1_000_000
 # Bounds on the cut points kept as literals, and so on every broadcast below.
 MAX_BUCKETS = 20_000
 MAX_CUTS = 100_000
-# Up to this many rows the built-in exact percentile is cheap in one task.
-EXACT_ROWS = 200_000
-# Beyond it, values gathered at the end of a selection.
-SELECT_ROWS = 20_000
 SKETCH_ACCURACY = 10_000
-# Rows that propose cut points and first candidates; exact counts follow.
-STEER_ROWS = 100_000
+# Bins per scan of an exact quantile, and the octaves they span.
+BINS = 2_048
+BIN_OCTAVES = 40
 
 
 def bucket_count(rows: int, columns: int = 1) -> int:
@@ -38,13 +35,7 @@ def bucket_count(rows: int, columns: int = 1) -> int:
     return int(min(wanted, MAX_BUCKETS, max(8, MAX_CUTS // max(1, columns))))
 
 
-def _steering(df: DataFrame, rows: int) -> DataFrame:
-    """Some rows to guess from.  No result depends on which ones they are."""
-    return df.sample(fraction=STEER_ROWS / rows, seed=7) if rows > 2 * STEER_ROWS else df
-
-
-def cut_points(df: DataFrame, names: Sequence[str], buckets: int,
-               rows: int) -> dict[str, list[float]]:
+def cut_points(df: DataFrame, names: Sequence[str], buckets: int) -> dict[str, list[float]]:
     """Approximate, strictly increasing cut points per column.
 
     The sketch is merged task by task; the driver receives at most
@@ -54,7 +45,7 @@ def cut_points(df: DataFrame, names: Sequence[str], buckets: int,
         return {}
     shares = [i / buckets for i in range(1, buckets)]
     accuracy = max(SKETCH_ACCURACY, buckets * 8)
-    row = _steering(df, rows).agg(
+    row = df.agg(
         *[
             F.percentile_approx(col(n).cast("double"), shares, accuracy).alias(f"p{i}")
             for i, n in enumerate(names)
@@ -91,9 +82,10 @@ def with_buckets(df: DataFrame, points: dict[str, list[float]]) -> tuple[DataFra
     return placed.select(*[col(c) for c in df.columns], *numbers), outs
 
 
-def _before(cells: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+def _before(cells: DataFrame, keys: Sequence[str], bucket: str, size: Column | None = None) -> DataFrame:
     """Rows before each bucket: one row per group and bucket, a bounded table."""
-    sizes = cells.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__size"))
+    size = F.count(F.lit(1)) if size is None else size
+    sizes = cells.groupBy(*keys, bucket).agg(size.alias("__size"))
     groups = [F.col(k) for k in keys] or [F.lit(0)]
     earlier = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, -1
@@ -122,9 +114,8 @@ def unpivot_numbers(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (
 
 
 def known_positions(df: DataFrame, names: Sequence[str], row_id: str,
-                    buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Long rows ``(column, row_id, value, bucket, position, known)`` of all known values,
-    and the rows before each bucket of a column.
+                    buckets: int | None = None) -> DataFrame:
+    """Long rows ``(column, row_id, value, bucket, position, known)`` of all known values.
 
     ``position`` is the 0-based place of the row among the column's known
     values, ``known`` their number and ``bucket`` an order-preserving bucket of
@@ -136,7 +127,7 @@ def known_positions(df: DataFrame, names: Sequence[str], row_id: str,
     buckets = buckets or bucket_count(rows, len(names) + 1)
     wanted = list(dict.fromkeys([*names, row_id]))
     placed, outs = with_buckets(
-        df.select(*[col(c) for c in wanted]), cut_points(df, wanted, buckets, rows))
+        df.select(*[col(c) for c in wanted]), cut_points(df, wanted, buckets))
     row_bucket = outs[row_id]
     sizes = placed.groupBy(row_bucket).agg(
         *[F.count(col(n)).alias(f"__n{i}") for i, n in enumerate(names)])
@@ -155,16 +146,16 @@ def known_positions(df: DataFrame, names: Sequence[str], row_id: str,
                  (F.col(f"__start{i}") + F.col(f"__run{i}") - 1).alias("position"),
                  F.col(f"__known{i}").alias("known"))
         for i, n in enumerate(names)])
-    long = counted.select(col(row_id), F.inline(cells)).where(F.col("value").isNotNull())
-    return long, _before(unpivot_numbers(placed, names, buckets=outs), ["column"], "bucket")
+    return counted.select(col(row_id), F.inline(cells)).where(F.col("value").isNotNull())
 
 
-def rank_counts(counted: DataFrame, before: DataFrame) -> DataFrame:
+def rank_counts(counted: DataFrame) -> DataFrame:
     """Add ``below`` and ``total`` to rows ``(column, bucket, value, n)`` of distinct values.
 
-    Copies of a value are one row here, so no value can crowd a task.
-    ``before`` has one row per bucket, a bounded number.
+    Copies of a value are one row here, so no value can crowd a task.  The counts before each
+    bucket are a table of one row per bucket, summed from these rows.
     """
+    before = _before(counted, ["column"], "bucket", F.sum("n"))
     inside = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(
         Window.unboundedPreceding, -1)
     return counted.join(F.broadcast(before), ["column", "bucket"]).withColumn(
@@ -177,7 +168,7 @@ def row_positions(df: DataFrame, key: str, out: str = "position",
     """Add the 0-based position of every row by one unique numeric or time key."""
     rows = df.count()
     keyed = df.withColumn("__key", _as_number(df, key))
-    points = cut_points(keyed, ["__key"], buckets or bucket_count(rows), rows)
+    points = cut_points(keyed, ["__key"], buckets or bucket_count(rows))
     placed, outs = with_buckets(keyed, points)
     bucket = outs["__key"]
     before = F.broadcast(_before(placed, [], bucket))
@@ -203,7 +194,7 @@ def forward_fill(df: DataFrame, names: Sequence[str], order: str,
     """
     rows = df.count()
     keyed = df.withColumn("__key", _as_number(df, order))
-    points = cut_points(keyed, ["__key"], buckets or bucket_count(rows), rows)
+    points = cut_points(keyed, ["__key"], buckets or bucket_count(rows))
     placed, outs = with_buckets(keyed, points)
     bucket = outs["__key"]
     lasts = placed.groupBy(bucket).agg(
@@ -230,177 +221,100 @@ def forward_fill(df: DataFrame, names: Sequence[str], order: str,
 
 
 @dataclass
-class _Target:
-    """One order statistic: the ``rank``-th smallest value of a column, from 0.
-
-    It is known to lie strictly between ``low`` and ``high``, with ``below``
-    values at or under ``low`` and ``inside`` values in between.
-    """
+class _Interval:
+    """Values of a column from ``low`` to ``high``, with ``below`` known values under ``low``."""
 
     name: str
-    rank: int
+    low: float
+    high: float
     below: int
-    inside: int
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-
-    def within(self) -> Column:
-        c = col(self.name).cast("double")
-        test = c.isNotNull()
-        if self.low is not None:
-            test = test & (c > F.lit(self.low))
-        if self.high is not None:
-            test = test & (c < F.lit(self.high))
-        return F.when(test, c)
-
-
-def _counts_at(df: DataFrame, points: dict[str, list[float]]) -> dict[tuple[str, float], tuple[int, int]]:
-    """How many values lie under, and at or under, each point of a column."""
-    names = list(points)
-    placed, outs = with_buckets(df.select(*[col(n) for n in names]), points)
-    sizes = unpivot_numbers(placed, names, buckets=outs).groupBy("column", "bucket").count().collect()
-    held = {(r["column"], r["bucket"]): r["count"] for r in sizes}
-    found = {}
-    for n in names:
-        total = held.get((n, 0), 0)
-        for i, v in enumerate(points[n]):
-            upto = total + held.get((n, 2 * i + 1), 0)
-            found[(n, v)] = (total, upto)
-            total = upto + held.get((n, 2 * i + 2), 0)
-    return found
-
-
-def _settle_at(df: DataFrame, spots: list[tuple[_Target, list[float]]]) -> None:
-    """Use exact counts at candidate values to hit each target or close in on it."""
-    points: dict[str, set[float]] = {}
-    for t, values in spots:
-        points.setdefault(t.name, set()).update(values)
-    under = _counts_at(df, {n: sorted(v) for n, v in points.items()})
-    for t, values in spots:
-        for v in sorted(values):
-            less, upto = under[(t.name, v)]
-            if less <= t.rank < upto:
-                t.value = v
-            elif upto <= t.rank:
-                t.low, t.inside, t.below = v, t.inside - (upto - t.below), upto
-            elif t.high is None or v < t.high:
-                t.high, t.inside = v, less - t.below
-
-
-def _narrow(df: DataFrame, targets: list[_Target]) -> None:
-    """One more round: two fresh candidates inside each target's interval."""
-    reach = 2.0 / SKETCH_ACCURACY
-    row = df.agg(*[
-        F.percentile_approx(
-            t.within(),
-            [max(0.0, (t.rank - t.below) / t.inside - reach),
-             min(1.0, (t.rank - t.below + 1) / t.inside + reach)],
-            SKETCH_ACCURACY,
-        ).alias(f"s{i}")
-        for i, t in enumerate(targets)
-    ]).first()
-    _settle_at(df, [(t, list(row[i])) for i, t in enumerate(targets)])
-
-
-def _gather(df: DataFrame, targets: list[_Target]) -> None:
-    """Fetch the few values left between the bounds of each target."""
-    points: dict[str, set[float]] = {}
-    for t in targets:
-        points.setdefault(t.name, set()).update(v for v in (t.low, t.high) if v is not None)
-    cuts = {n: sorted(v) for n, v in points.items()}
-    placed, outs = with_buckets(df.select(*[col(n) for n in cuts]), cuts)
-    # An interval is a run of buckets: bounds of other targets may fall inside it.
-    runs = {}
-    for t in targets:
-        at = cuts[t.name]
-        first = 0 if t.low is None else 2 * at.index(t.low) + 2
-        last = 2 * len(at) if t.high is None else 2 * at.index(t.high)
-        runs[(t.name, t.rank)] = range(first, last + 1)
-    asked = {(name, b) for (name, _), run in runs.items() for b in run}
-    hits = F.lit(False)
-    for name, b in asked:
-        hits = hits | ((F.col("column") == name) & (F.col("bucket") == b))
-    rows = (
-        unpivot_numbers(placed, list(cuts), buckets=outs).where(hits)
-        .groupBy("column", "bucket").agg(F.array_sort(F.collect_list("value")).alias("vs")).collect()
-    )
-    held = {(r["column"], r["bucket"]): r["vs"] for r in rows}
-    for t in targets:
-        values = [v for b in runs[(t.name, t.rank)] for v in held.get((t.name, b), [])]
-        t.value = values[t.rank - t.below]
-
 
-def _narrowed_quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[float],
-                        limit: int, rows: int) -> dict[str, list[float | None]]:
-    """Exact order statistics by narrowing intervals until few values are left.
-
-    Every round is a plain aggregate whose result has a few rows per column.  A
-    value with many copies turns up as a candidate and is settled by its exact
-    counts, so each round leaves a fixed small share of the rows.
-    """
-    # A guess from that many rows is off by less than this in nearly all cases;
-    # where it is not, the exact counts show it and narrowing goes on.
-    reach = 2.0 / SKETCH_ACCURACY + 2.0 / math.sqrt(min(rows, STEER_ROWS))
-    ask = [p for s in shares for p in (max(0.0, s - reach), min(1.0, s + reach))]
-    guess = _steering(df, rows).agg(*[
-        F.percentile_approx(col(n).cast("double"), ask, SKETCH_ACCURACY).alias(f"p{i}")
-        for i, n in enumerate(names)
-    ]).first()
-    row = df.agg(*[F.count(col(n)).alias(f"k{i}") for i, n in enumerate(names)]).first()
-    targets: dict[tuple[str, int], _Target] = {}
-    spots = []
-    for i, n in enumerate(names):
-        for j, share in enumerate(shares):
-            if not row[f"k{i}"]:
-                continue
-            spot = (row[f"k{i}"] - 1) * share
-            for rank in {math.floor(spot), math.ceil(spot)}:
-                if (n, rank) not in targets:
-                    targets[(n, rank)] = _Target(n, rank, 0, row[f"k{i}"])
-                    candidates = (guess[i] or [])[2 * j : 2 * j + 2]
-                    spots.append((targets[(n, rank)], sorted(set(candidates))))
-    if spots:
-        _settle_at(df, spots)
-    while wide := [t for t in targets.values() if t.value is None and t.inside > limit]:
-        _narrow(df, wide)
-    if left := [t for t in targets.values() if t.value is None]:
-        _gather(df, left)
-
-    found: dict[str, list[float | None]] = {}
-    for i, n in enumerate(names):
-        found[n] = []
-        for share in shares:
-            if not row[f"k{i}"]:
-                found[n].append(None)
-                continue
-            spot = (row[f"k{i}"] - 1) * share
-            low, high = targets[(n, math.floor(spot))].value, targets[(n, math.ceil(spot))].value
-            found[n].append(low + (high - low) * (spot - math.floor(spot)))
-    return found
+    def slot(self) -> Column:
+        """Bin of a value, rising with it: the low end falls into the first bin, the high end into the last.
+
+        Bins are even on a logarithmic scale above ``low``, so that heavy tails narrow as fast as
+        even values do.  Very wide intervals are measured in halves to stay finite.
+        """
+        part = 0.5 if max(abs(self.low), abs(self.high)) > 1e300 else 1.0
+        width = self.high * part - self.low * part
+        share = (col(self.name).cast("double") * part - F.lit(self.low * part)) / F.lit(width)
+        height = F.log2(F.greatest(share, F.lit(0.0)) * float(1 << BIN_OCTAVES) + 1)
+        whole = math.log2((1 << BIN_OCTAVES) + 1)
+        return F.least(F.floor(height / whole * BINS), F.lit(BINS - 1)).cast("int")
+
+    def holds(self) -> Column:
+        return col(self.name).cast("double").between(F.lit(self.low), F.lit(self.high))
+
+
+def _narrowed(df: DataFrame, targets: dict[tuple[str, int], _Interval]) -> dict[tuple[str, int], _Interval]:
+    """One scan: every rank's interval shrinks to the least and largest value of the bin that holds the rank."""
+    open_ = {(t.name, t.low, t.high): t for t in targets.values() if t.low < t.high}
+    number = {key: k for k, key in enumerate(open_)}
+    cells = []
+    for n in dict.fromkeys(t.name for t in open_.values()):
+        spot = F.lit(None).cast("struct<k:int,bin:int,v:double>")
+        # Intervals of one column do not overlap: they are bins of one interval before.
+        for key, t in open_.items():
+            if t.name == n:
+                spot = F.when(t.holds(), F.struct(
+                    F.lit(number[key]).alias("k"), t.slot().alias("bin"), col(n).cast("double").alias("v"))
+                ).otherwise(spot)
+        cells.append(spot)
+    bins = (
+        df.select(F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL").groupBy("c.k", "c.bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("c.v").alias("low"), F.max("c.v").alias("high"))
+    )
+    before = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    wanted = {
+        (number[t.name, t.low, t.high], rank - t.below): (name, rank)
+        for (name, rank), t in targets.items() if t.low < t.high}
+    # At most ``BINS`` rows per interval; the rows that hold a rank come to the driver.
+    ranks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).cast("long").alias("r")) for k, r in wanted])
+    here = F.filter(ranks, lambda x: (x["k"] == F.col("k")) & (x["r"] >= F.col("before"))
+                    & (x["r"] < F.col("before") + F.col("n")))
+    out = dict(targets)
+    for row in placed.withColumn("hit", F.explode(here)).select("hit", "low", "high", "before").collect():
+        spot = wanted[row["hit"]["k"], row["hit"]["r"]]
+        out[spot] = _Interval(spot[0], row["low"], row["high"], targets[spot].below + row["before"])
+    return out
 
 
 def quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[float], *,
-              approx: bool = False, rows: int | None = None, exact_rows: int = EXACT_ROWS,
-              limit: int = SELECT_ROWS) -> dict[str, list[float | None]]:
+              approx: bool = False, rows: int | None = None) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column, as driver-side numbers.
 
-    Small tables use one built-in aggregate.  Beyond ``exact_rows`` that would
-    hold every distinct value of a column in one task; there the values are
-    found by narrowing intervals, with at most ``limit`` values gathered.
+    Exact ones are found the same way at every size: the interval that holds a rank is cut into
+    ``BINS`` bins and replaced by the bin that holds it, until its ends are one value.  Each round
+    is one scan whose counts combine inside the tasks, so no task gathers a column's values.
     """
-    names = list(names)
+    names = list(dict.fromkeys(names))
     if not names:
         return {}
-    if not approx:
-        rows = df.count() if rows is None else rows
-        if rows > exact_rows:
-            return _narrowed_quantiles(df, names, shares, limit, rows)
-    wanted = F.array(*[F.lit(float(s)) for s in shares])
-    row = df.agg(*[
-        (F.percentile_approx(col(n).cast("double"), list(shares), SKETCH_ACCURACY) if approx
-         else F.percentile(col(n).cast("double"), wanted)).alias(f"q{i}")
-        for i, n in enumerate(names)
-    ]).first()
-    return {n: list(row[i]) if row[i] is not None else [None] * len(shares)
-            for i, n in enumerate(names)}
+    if approx:
+        row = df.agg(*[
+            F.percentile_approx(col(n).cast("double"), list(shares), SKETCH_ACCURACY).alias(f"q{i}")
+            for i, n in enumerate(names)
+        ]).first()
+        return {n: list(row[i]) if row[i] is not None else [None] * len(shares) for i, n in enumerate(names)}
+    ends = df.agg(*[e for i, n in enumerate(names) for e in (
+        F.count(col(n)).alias(f"n{i}"), F.min(col(n).cast("double")).alias(f"low{i}"),
+        F.max(col(n).cast("double")).alias(f"high{i}"))]).first()
+    known = {n: ends[f"n{i}"] for i, n in enumerate(names)}
+    targets = {}
+    for i, n in enumerate(names):
+        for share in shares if known[n] else ():
+            spot = (known[n] - 1) * share
+            for rank in (math.floor(spot), math.ceil(spot)):
+                targets[n, rank] = _Interval(n, ends[f"low{i}"], ends[f"high{i}"], 0)
+    while any(t.low < t.high for t in targets.values()):
+        targets = _narrowed(df, targets)
+
+    def at(n: str, share: float) -> float | None:
+        if not known[n]:
+            return None
+        spot = (known[n] - 1) * share
+        low, high = targets[n, math.floor(spot)].low, targets[n, math.ceil(spot)].low
+        return low + (high - low) * (spot - math.floor(spot))
+
+    return {n: [at(n, share) for share in shares] for n in names}

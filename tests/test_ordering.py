@@ -19,36 +19,35 @@ def skewed(spark):
     return df, pdf.sort_values("id").reset_index(drop=True)
 
 
-@pytest.mark.parametrize("limit", [4, 500])
-def test_narrowed_quantiles_equal_pandas(skewed, limit):
+@pytest.mark.parametrize("bins", [200, 2048])
+def test_quantiles_equal_pandas(skewed, monkeypatch, bins):
     df, pdf = skewed
+    monkeypatch.setattr(O, "BINS", bins)
     shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    found = O.quantiles(df, ["v", "w"], shares, exact_rows=0, limit=limit)
+    found = O.quantiles(df, ["v", "w"], shares)
     for n in ("v", "w"):
         assert np.allclose(found[n], pdf[n].quantile(shares), rtol=1e-12)
 
 
-def test_wrong_guesses_only_cost_rounds(skewed, monkeypatch):
-    """Candidates from a handful of rows still lead to the exact values."""
-    df, pdf = skewed
-    monkeypatch.setattr(O, "STEER_ROWS", 20)
-    found = O.quantiles(df, ["v", "w"], [0.25, 0.5, 0.75], exact_rows=0, limit=100)
-    for n in ("v", "w"):
-        assert np.allclose(found[n], pdf[n].quantile([0.25, 0.5, 0.75]), rtol=1e-12)
+def test_quantiles_of_heavy_tails(spark):
+    """From the largest doubles to the least, rounds stay few because every one cuts the interval."""
+    values = [s * 10.0 ** e * (1 + k / 7) for s in (1, -1) for e in range(-300, 300, 40) for k in range(9)]
+    values += [0.0, -0.0, 5e-324, 1.7e308, -1.7e308]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    shares = [0.0, 0.03, 0.31, 0.5, 0.77, 1.0]
+    assert O.quantiles(df, ["v"], shares)["v"] == pytest.approx(pd.Series(values).quantile(shares).tolist(), rel=1e-12)
 
 
-def test_column_that_no_guess_has_seen(spark, monkeypatch):
-    """A column with a few known values may be empty in the rows guessed from."""
-    monkeypatch.setattr(O, "STEER_ROWS", 5)
+def test_column_with_few_values(spark):
     df = spark.range(5000).selectExpr("id", "CASE WHEN id % 1000 = 7 THEN id * 1.0 - 2500 END AS rare")
-    found = O.quantiles(df, ["id", "rare"], [0.5], exact_rows=0, limit=50)
+    found = O.quantiles(df, ["id", "rare"], [0.5])
     assert found == {"id": [2499.5], "rare": [-493.0]}
     assert relations.trends(df, ["rare"], "id").first()["trend"] == "increasing"
 
 
 def test_quantiles_of_empty_and_single_value_columns(rows):
     df = rows("a DOUBLE, b DOUBLE, c BIGINT", (None, 4.0, 7), (None, 4.0, 9), (None, None, 8))
-    found = O.quantiles(df, ["a", "b", "c"], [0.25, 0.5], exact_rows=0)
+    found = O.quantiles(df, ["a", "b", "c"], [0.25, 0.5])
     assert found == {"a": [None, None], "b": [4.0, 4.0], "c": [7.5, 8.0]}
 
 
@@ -62,7 +61,7 @@ def test_positions_and_forward_fill(skewed):
 
 def test_known_positions_skip_gaps(skewed):
     df, pdf = skewed
-    found = O.known_positions(df, ["v", "w"], "id", buckets=16)[0].toPandas()
+    found = O.known_positions(df, ["v", "w"], "id", buckets=16).toPandas()
     for n in ("v", "w"):
         want = pdf[["id", n]].dropna().assign(position=lambda d: range(len(d)))
         got = found[found.column == n].sort_values("id")
