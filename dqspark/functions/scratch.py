@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,13 +10,8 @@ SETTING = "spark.checkpoint.dir"
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared one.
-
-    Only a local session without the setting gets a folder of this machine.
-    """
+    """A fresh folder below the cluster's shared one, or below the warehouse where none is set."""
     base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="dqspark-")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-MAX_ROWS = 100_000
-
 
 def settle(result: DataFrame) -> DataFrame:
-    """Compute a small result table once and keep its rows.
-
-    For tables with a few rows per column (statistics, pairs, checks), so that
-    later steps do not scan the data again for them.  A table that turns out
-    larger is returned as it was.
-    """
-    rows = result.limit(MAX_ROWS + 1).collect()
-    if len(rows) > MAX_ROWS:
-        return result
-    return result.sparkSession.createDataFrame(rows, result.schema)
+    """Keep a result table that several later steps read; whoever settles it unpersists it."""
+    return result.persist(StorageLevel.MEMORY_AND_DISK)

@@ -47,10 +47,17 @@ def number_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key in which runs of digits compare as numbers."""
-    text = F.lower(c.cast("string"))
-    padded = F.regexp_replace(text, r"(\d+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, r"\d*(\d{20})", "$1")
+    """Sort key in which runs of digits, however long, compare as numbers.
+
+    A run goes without its leading zeros and after the number of its digits.
+    """
+    def part(piece: Column) -> Column:
+        digits = F.regexp_replace(piece, "^0+(?=.)", "")
+        return F.when(piece.rlike(r"^\d"), F.concat(
+            F.lpad(F.char_length(digits).cast("string"), 10, "0"), digits)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(F.lower(c.cast("string")), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    return F.array_join(F.transform(pieces, part), "")
 
 
 def natural_sort(df: DataFrame, name: str, row_id: str, descending: bool = False) -> DataFrame:

@@ -5,18 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.ordering import known_positions, rank_counts
 from dqspark.functions.scalars import col, rounded
-from dqspark.operators.schema import long_report, numeric_columns
+from dqspark.operators.schema import numeric_columns
 
 STRONG, MODERATE = 0.7, 0.4
 TREND_MIN_ROWS = 5
 TREND_LEVEL = 0.3
 FLAT_BAND = 0.05
 PAIRS_KEPT = 50
-WIDE_PAIRS = 10
+# A spread below this share of the sum of squares is a constant's rounding.
+CONSTANT = 1e-13
 
 # Two-sided 5 % critical points of Student's t for 3..41 degrees
 # of freedom.  From 42 degrees on, |r| > 0.3 is always significant.
@@ -50,32 +55,32 @@ def pearson(a: Column, b: Column) -> Column:
 def pearson_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Every pair ``(i, j, col_a, col_b, r)`` of numeric columns, unrounded.
 
-    One scan, whatever the number of columns.  A few pairs are one wide
-    aggregate; beyond that the generated code would outgrow the compiler, so
-    each row hands its pairs to a grouping by pair, combined inside each task.
+    One scan for the means and one for a Gram matrix over each row's centred values, their squares
+    and known marks (missing ones count 0): it holds the sums of every pair over the rows where
+    both are known.  Its size depends on the number of columns alone.
     """
     names = list(names or numeric_columns(df))
-    pairs = list(combinations(range(len(names)), 2))
-    spark = df.sparkSession
-    labels = spark.createDataFrame(
-        [(k, i, j, names[i], names[j]) for k, (i, j) in enumerate(pairs)],
-        "k INT, i INT, j INT, col_a STRING, col_b STRING")
-    if not pairs:
-        return labels.select("i", "j", "col_a", "col_b", F.lit(None).cast("double").alias("r"))
-    if len(pairs) <= WIDE_PAIRS:
-        aggs = [pearson(col(names[i]), col(names[j])).alias(f"r{k}") for k, (i, j) in enumerate(pairs)]
-        structs = [F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("r")) for k in range(len(pairs))]
-        found = long_report(df.agg(*aggs), structs)
-    else:
-        cells = F.array(*[
-            F.struct(F.lit(k).alias("k"), col(names[i]).cast("double").alias("x"),
-                     col(names[j]).cast("double").alias("y"))
-            for k, (i, j) in enumerate(pairs)])
-        both = df.select(F.inline(cells)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        spread = F.sqrt(F.var_pop("x")) * F.sqrt(F.var_pop("y"))
-        found = both.groupBy("k").agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("r"))
-    # The labels have one row per pair of columns.
-    return found.join(F.broadcast(labels), "k").select("i", "j", "col_a", "col_b", "r")
+    spark, k = df.sparkSession, len(names)
+    schema = "i INT, j INT, col_a STRING, col_b STRING, r DOUBLE"
+    if k < 2:
+        return spark.createDataFrame([], schema)
+    numbers = [col(n).cast("double") for n in names]
+    means = [m or 0.0 for m in df.agg(*[F.avg(c) for c in numbers]).first()]
+    centred = [F.coalesce(c - F.lit(m), F.lit(0.0)) for c, m in zip(numbers, means)]
+    known = [c.isNotNull().cast("double") for c in numbers]
+    rows = df.select(array_to_vector(F.array(*centred, *[c * c for c in centred], *known)).alias("v"))
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(rows), 0, 3 * k).computeGramianMatrix().toArray()
+    both, x, xx = gram[2 * k:, 2 * k:], gram[:k, 2 * k:], gram[k:2 * k, 2 * k:]
+    square = both * xx
+    spread = square - x * x
+    # What is left of rounding when all values are one is not a spread.
+    spread = np.where(spread > CONSTANT * square, spread, 0.0)
+    below = np.sqrt(spread * spread.T)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.where(below > 0, (both * gram[:k, :k] - x * x.T) / below, np.nan)
+    found = [(i, j, names[i], names[j], None if np.isnan(r[i, j]) else float(r[i, j]))
+             for i, j in combinations(range(k), 2)]
+    return spark.createDataFrame(found, schema)
 
 
 def pearson_pairs(df: DataFrame, names: Sequence[str] | None = None,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -17,7 +17,7 @@ from dqspark.operators.charts import chart_plan
 
 @dataclass
 class Certificate:
-    """Result tables of a run.  ``cleaned`` stays cached until ``release``."""
+    """Result tables of a run.  The cleaned table and what was settled stay cached until ``release``."""
 
     scout: DataFrame
     cleaned: DataFrame
@@ -32,9 +32,11 @@ class Certificate:
     checks: DataFrame
     dimensions: DataFrame
     verdict: DataFrame
+    settled: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
-        self.cleaned.unpersist()
+        for kept in (self.cleaned, *self.settled):
+            kept.unpersist()
 
 
 def scout(df: DataFrame, row_id: str, approx: bool = False) -> DataFrame:
@@ -104,6 +106,7 @@ def certify(df: DataFrame, row_id: str, profile_: K.CleaningProfile = K.Cleaning
     return Certificate(
         intake, cleaned, plan, K.clean_metrics(cleaned, plan), stats, categories, pairs, found,
         words, charts, tests, dimensions, C.verdict(tests, dimensions),
+        [stats, categories, pairs, found, tests, dimensions],
     )
 
 
