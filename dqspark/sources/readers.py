@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -14,9 +15,9 @@ MISSING_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+# Ids leave so many bits for the record within its split, or the row within its file.
 RECORD_BITS = 33
-MAX_CSV_COLUMNS = 512
-MAX_BROADCAST_FILES = 20_000
+ROW_BITS = 40
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:
@@ -27,36 +28,39 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     ])
 
 
-def with_file_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+def with_file_row_id(df: DataFrame, name: str = "row_id", parquet: bool = False) -> DataFrame:
     """Number rows of a file scan in file order, whatever the order of its splits.
 
-    The rank of the split (one row per split) goes in front of the record
-    number inside the task.
+    Parquet rows know their place in the file, so only files are ranked.  Of other formats the
+    rank of the split (one row per split) goes in front of the record number inside the task.
     """
-    tagged = df.select(
-        "*", F.col("_metadata.file_path").alias("__path"),
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << RECORD_BITS) - 1)).alias("__record"),
-    )
-    order = Window.partitionBy(F.lit(0)).orderBy("__path", "__start")
-    splits = df.select(
-        F.col("_metadata.file_path").alias("__path"),
-        F.col("_metadata.file_block_start").alias("__start"),
-    ).distinct().withColumn("__rank", F.row_number().over(order) - 1)
-    number = F.shiftleft(F.col("__rank").cast("bigint"), RECORD_BITS) + F.col("__record")
-    return tagged.join(F.broadcast(splits), ["__path", "__start"]).select(
-        number.alias(name), *[col(c) for c in df.columns])
+    if parquet:
+        place, bits = ["__path"], ROW_BITS
+        record = F.col("_metadata.row_index")
+    else:
+        place, bits = ["__path", "__start"], RECORD_BITS
+        record = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << RECORD_BITS) - 1))
+    tags = {"__path": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start")}
+    tagged = df.select("*", *[tags[t].alias(t) for t in place], record.alias("__record"))
+    # One row per file or split; no column of the data is read for it.
+    parts = df.select(*[tags[t].alias(t) for t in place]).distinct()
+    order = Window.partitionBy(F.lit(0)).orderBy(*place)
+    ranked = parts.withColumn("__rank", F.row_number().over(order) - 1)
+    number = F.shiftleft(F.col("__rank").cast("bigint"), bits) + F.col("__record")
+    return tagged.join(ranked, place).select(number.alias(name), *[col(c) for c in df.columns])
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], *, tolerant: bool = False,
              row_id: str | None = None) -> DataFrame:
     """All columns as text, missing tokens as NULL.
 
-    ``tolerant`` skips lines that do not fit and reads Latin-1.
+    ``tolerant`` skips lines that do not fit and reads Latin-1.  Lines are then judged by all their
+    cells, whichever columns are asked for.
     """
     reader = spark.read.option("header", True).option("escape", '"')
     if tolerant:
         reader = reader.option("mode", "DROPMALFORMED").option("encoding", "ISO-8859-1")
+        reader = reader.option("columnPruning", False)
     raw = reader.csv(path)
     if row_id is not None:
         raw = with_file_row_id(raw, row_id)
@@ -82,19 +86,43 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A root list gives its items; an object gives its first list, else itself."""
-    df = spark.read.option("multiLine", True).json(path)
-    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    keys = spark.read.text(path, wholetext=True).select(
-        F.json_object_keys("value").alias("keys")).first()["keys"]
-    if keys is None or not lists:      # a root list is already split into rows
+def _json_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Is the first written line a whole object, with another value after it?"""
+    head = [r[0] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    if len(head) < 2 or not head[0].lstrip().startswith("{"):
+        return False
+    try:
+        json.loads(head[0])
+    except ValueError:
+        return False
+    return True
+
+
+def read_json(spark: SparkSession, path: str | Sequence[str], row_id: str | None = None) -> DataFrame:
+    """One object per line gives a row per line; a root list gives its items; an object gives its
+    first list, else itself.
+    """
+    lines = _json_lines(spark, path)
+    df = spark.read.option("multiLine", not lines).json(path)
+    named = "__item" if row_id is None else row_id
+    lists = [] if lines else [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    keys = None
+    if lists:
+        # A root list is already split into rows and has no keys.
+        keys = spark.read.text(path, wholetext=True).select(
+            F.json_object_keys("value").alias("keys")).first()["keys"]
+    if row_id is not None:
+        df = with_file_row_id(df, row_id)
+    if keys is None:
         return flatten(df)
     first = next(k for k in keys if k in lists)
-    items = df.select(F.explode(col(first)).alias("item"))
+    items = df.select(*([] if row_id is None else [F.col(row_id)]), F.posexplode(col(first)).alias("__pos", "item"))
+    if row_id is not None:
+        items = items.withColumn(row_id, F.col(row_id) + F.col("__pos"))
+    kept = [] if row_id is None else [named]
     if isinstance(items.schema["item"].dataType, T.StructType):
-        return flatten(items.select("item.*"))
-    return items.withColumnRenamed("item", "value")
+        return flatten(items.select(*kept, "item.*"))
+    return items.select(*kept, F.col("item").alias("value"))
 
 
 def read(spark: SparkSession, path: str, fmt: str = "auto", *, tolerant: bool = False,
@@ -109,13 +137,15 @@ def read(spark: SparkSession, path: str, fmt: str = "auto", *, tolerant: bool =
     if kind == "csv":
         df = read_csv(spark, path, tolerant=tolerant, row_id=row_id)
     elif kind == "json":
-        df = read_json(spark, path)
+        df = read_json(spark, path, row_id)
     elif kind == "parquet":
         df = spark.read.parquet(path)
+        if row_id is not None:
+            df = with_file_row_id(df, row_id, parquet=True)
     elif kind == "unknown":
         df = read_csv(spark, path, tolerant=tolerant, row_id=row_id)
-        if len(df.columns) < 2:
-            df = read_json(spark, path)
+        if len(df.columns) - (row_id is not None) < 2:
+            df = read_json(spark, path, row_id)
     else:
         raise ValueError(f"unsupported format: {kind}")
     if max_rows is not None:
@@ -125,20 +155,19 @@ def read(spark: SparkSession, path: str, fmt: str = "auto", *, tolerant: bool =
     return df
 
 
-def read_labelled(spark: SparkSession, folders: Mapping[int, str | Sequence[str]], *,
-                  max_columns: int = MAX_CSV_COLUMNS) -> DataFrame:
+def read_labelled(spark: SparkSession, folders: Mapping[int, str | Sequence[str]]) -> DataFrame:
     """Cells ``(dataset_id, label, row_id, col_name, value)`` of many CSV files in one job.
 
     ``folders`` maps a label (1 good, 0 bad) to paths.  Files may have different
     headers: each file's first record names its cells.  Files below the minimum
-    size are left out; one wider than ``max_columns - 1`` stops the read.
+    size are left out.  The widest line over all files sets how many cells a record may have.
     """
-    names = [f"_c{i}" for i in range(max_columns)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     out = None
     for label, paths in folders.items():
-        raw = spark.read.schema(schema).option("escape", '"').csv(paths)
-        files = len(raw.inputFiles())
+        widest = spark.read.text(paths).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+        names = [f"_c{i}" for i in range(widest)]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = spark.read.schema(schema).option("escape", '"').option("maxColumns", widest + 1).csv(paths)
         numbered = with_file_row_id(
             raw.select(F.col("_metadata.file_name").alias("dataset_id"),
                        F.array(*[F.col(n) for n in names]).alias("cells"), "_metadata")
@@ -148,16 +177,11 @@ def read_labelled(spark: SparkSession, folders: Mapping[int, str | Sequence[str]
             F.array_compact(F.min_by("cells", "row_id")).alias("header"),
             (F.count(F.lit(1)) - 1).alias("rows"),
         ).where((F.col("rows") >= MIN_ROWS) & (F.size("header") >= MIN_COLS))
-        # One row per file: broadcast while the number of files is known to be small.
-        heads = F.broadcast(heads) if files <= MAX_BROADCAST_FILES else heads
-        width = F.when(
-            F.size("header") < max_columns, F.size("header")
-        ).otherwise(F.raise_error(F.concat(F.lit("too many columns in "), F.col("dataset_id"))).cast("int"))
         body = numbered.join(heads, "dataset_id").where(F.col("row_id") != F.col("header_id"))
         part = body.select(
             "dataset_id", F.lit(label).alias("label"), "row_id",
             F.inline(F.arrays_zip(F.col("header").alias("col_name"),
-                                  F.slice("cells", F.lit(1), width).alias("value"))),
+                                  F.slice("cells", F.lit(1), F.size("header")).alias("value"))),
         ).toDF("dataset_id", "label", "row_id", "col_name", "value")
         part = part.withColumn(
             "value", F.when(~F.col("value").isin(*MISSING_TOKENS), F.col("value")))

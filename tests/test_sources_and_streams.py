@@ -35,8 +35,9 @@ def test_file_row_ids_follow_the_file_over_many_splits(spark, tmp_path):
 def test_tolerant_csv(spark, tmp_path):
     f = tmp_path / "bad.csv"
     f.write_bytes("a,b\n1,caf\xe9\n2,y,z,q\n3,w\n".encode("latin-1"))
-    got = R.read_csv(spark, str(f), tolerant=True).collect()
-    assert [(r["a"], r["b"]) for r in got] == [("1", "café"), ("3", "w")]
+    read = R.read_csv(spark, str(f), tolerant=True)
+    assert [(r["a"], r["b"]) for r in read.collect()] == [("1", "café"), ("3", "w")]
+    assert read.count() == 2 and [r["a"] for r in read.select("a").collect()] == ["1", "3"]
 
 
 def test_json_shapes(spark, tmp_path):
@@ -70,17 +71,47 @@ def test_labelled_folder_as_cells(spark, tmp_path):
     (tmp_path / "good" / "g.csv").write_text("a,b,c\n" + "".join(f"{i},{i * i},t{i}\n" for i in range(1, 9)))
     (tmp_path / "bad" / "b.csv").write_text("x,y\n1,\n1,\n1,\nq,5\n")
     (tmp_path / "bad" / "tiny.csv").write_text("x,y\n1,2\n")
-    cells = R.read_labelled(spark, {1: str(tmp_path / "good"), 0: str(tmp_path / "bad")}, max_columns=8)
+    cells = R.read_labelled(spark, {1: str(tmp_path / "good"), 0: str(tmp_path / "bad")})
     assert {(r[0], r[1]) for r in cells.select("dataset_id", "label").distinct().collect()} == {("g.csv", 1), ("b.csv", 0)}
     got = {r["dataset_id"]: r for r in X.features8(X.cell_measures(cells)).collect()}
     assert (got["g.csv"]["num_rows"], got["g.csv"]["num_columns"], got["g.csv"]["numeric_ratio"]) == (8, 3, 2 / 3)
     assert (got["b.csv"]["duplicate_ratio"], got["b.csv"]["missing_ratio"]) == (0.5, 3 / 8)
 
 
-def test_files_wider_than_allowed_stop_the_read(spark, tmp_path):
-    (tmp_path / "w.csv").write_text("a,b,c\n" + "1,2,3\n" * 4)
-    with pytest.raises(Exception, match="too many columns"):
-        R.read_labelled(spark, {1: str(tmp_path)}, max_columns=3).collect()
+def test_wide_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("\n".join(
+        ",".join(f"{p}{i}" for i in range(600)) for p in ("c", "1", "2", "3", "4")) + "\n")
+    cells = R.read_labelled(spark, {1: str(tmp_path)})
+    assert cells.count() == 2400 and cells.select("col_name").distinct().count() == 600
+    assert cells.where("col_name = 'c599'").orderBy("row_id").first()["value"] == "1599"
+
+
+def test_json_lines_and_row_ids_of_every_format(spark, tmp_path):
+    lines = tmp_path / "lines.json"
+    lines.write_text("".join(json.dumps({"a": i, "b": {"c": [i]}}) + "\n" for i in range(3)))
+    assert [r["a"] for r in R.read(spark, str(lines), row_id="row").orderBy("row").collect()] == [0, 1, 2]
+    single = tmp_path / "single.json"
+    single.write_text(json.dumps({"z": [{"k": i} for i in range(5)]}))
+    got = R.read(spark, str(single), row_id="row", max_rows=3).orderBy("row").collect()
+    assert [r["k"] for r in got] == [0, 1, 2]
+    listed = tmp_path / "listed.json"
+    listed.write_text(json.dumps([{"k": i} for i in range(4)], indent=1))
+    assert [r["k"] for r in R.read(spark, str(listed), row_id="row", max_rows=2).collect()] == [0, 1]
+    folder = str(tmp_path / "table.parquet")
+    spark.range(1000).repartition(5).sortWithinPartitions("id").write.parquet(folder)
+    rows = R.read(spark, folder, row_id="row").orderBy("row").collect()
+    assert len({r["row"] for r in rows}) == 1000 and sorted(r["id"] for r in rows) == list(range(1000))
+    assert R.read(spark, folder, row_id="row", max_rows=7).count() == 7
+    sinks.write_result(spark.range(4), str(tmp_path / "own"))
+    assert R.read(spark, str(tmp_path / "own"), fmt="json").count() == 4
+
+
+def test_natural_order_of_long_digit_runs(rows):
+    names = ["x9000000000000000000000001", "x10000000000000000000002", "x2", "x010", "X9", "x", "1" + "0" * 40, "9" * 30]
+    df = rows("name STRING, id BIGINT", *[(n, i) for i, n in enumerate(names)], (None, 99))
+    got = [r["name"] for r in explore.natural_sort(df, "name", "id").collect()]
+    assert got == ["9" * 30, "1" + "0" * 40, "x", "x2", "X9", "x010", "x10000000000000000000002",
+                   "x9000000000000000000000001", None]
 
 
 def test_log_and_features_round_trip(spark, tmp_path):
