@@ -115,17 +115,13 @@ def rule_label(spark, folder):
 
 
 def _flag(i: int, n: str) -> str:
-    limit = X.THRESHOLDS[i]
-    test = [f"{n} <= {limit}", f"{n} <= {limit}", f"abs({n} - {limit}) < 0.2", f"{n} = 0"]
-    passed = test[i] if i < 4 else f"{n} < {limit * 1.5}"
-    if i in (0, 1, 3):
-        radar = f"1 - {n} / {max(limit, 0.01)}"
-    elif i == 2:
-        radar = f"1 - abs({n} - {limit}) / {limit}"
-    else:
-        radar = f"1 - {n} / {limit * 1.5}"
+    kind, limit, slack = X.RULES[n]
+    away = f"abs({n} - {limit})" if kind == "near" else n
+    test = {"cap": f"{n} <= {limit}", "near": f"{away} < {slack}", "none": f"{n} = 0", "under": f"{n} < {limit * slack}"}
+    scale = max(limit * slack if kind == "under" else limit, X.LEAST_SCALE)
     return f"""SELECT dataset_id, {i} AS feature_no, '{n}' AS feature, {r(n)} AS value, CAST({limit} AS DOUBLE) AS threshold,
-CASE WHEN {passed} THEN 'PASS' ELSE 'FLAG' END AS status, {r(f"greatest(0, least(1, {radar}))")} AS radar FROM f"""
+CASE WHEN {test[kind]} THEN 'PASS' ELSE 'FLAG' END AS status,
+{r(f"greatest(0, least(1, 1 - {away} / {scale}))")} AS radar FROM f"""
 
 
 @query(f"{_SETS} {union([_flag(i, n) for i, n in enumerate(EIGHT)])}")

@@ -113,7 +113,7 @@ def _missing_pct(n: str) -> str:
 
 @query(f"""
 SELECT CAST(count(*) AS DOUBLE) AS measure, string_agg("column", ', ' ORDER BY k) AS subject,
-  'High missingness detected in: ' || string_agg('`' || "column" || '` (' || printf('%.1f', pct) || '%)', ', ' ORDER BY k) || '.' AS text
+  count(*) || ' column(s) lack more than 20 % of their values: ' || string_agg('`' || "column" || '` ' || printf('%.1f', pct) || ' %', ', ' ORDER BY k) AS text
 FROM ({union([f"SELECT {i} AS k, '{n}' AS \"column\", {_missing_pct(n)} AS pct FROM ({GAPPY_SQL}) g" for i, n in enumerate(ORDER_NUMBERS + ORDER_TEXTS)])}) s WHERE pct > 20
 """)
 def insight_missing(spark, folder):
@@ -127,8 +127,8 @@ def insight_missing(spark, folder):
 WITH p AS (SELECT * FROM ({pairs_sql(f"({GAPPY_SQL}) g", ["o_orderkey"] + ORDER_NUMBERS)}) x WHERE abs(r) >= 0.7),
 t AS (SELECT * FROM p ORDER BY abs(r) DESC, col_a, col_b LIMIT 1)
 SELECT 'strongest_pair' AS kind, col_a || ' / ' || col_b AS subject, {r("r")} AS measure,
-  'Strongest correlation: `' || col_a || '` ↔ `' || col_b || '` (r=' || printf('%+.3f', r) || ', ' || CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END || ').' AS text FROM t
-UNION ALL SELECT 'multicollinearity', 'pairs', CAST(count(*) AS DOUBLE), count(*) || ' strong correlation pair(s) found — potential multicollinearity.' FROM p HAVING count(*) > 1
+  '`' || col_a || '` and `' || col_b || '` move together most: r = ' || printf('%+.3f', r) AS text FROM t
+UNION ALL SELECT 'multicollinearity', 'pairs', CAST(count(*) AS DOUBLE), count(*) || ' pairs of columns carry nearly the same information; a linear model cannot tell them apart' FROM p HAVING count(*) > 1
 """)
 def insight_pairs(spark, folder):
     pairs = relations.pearson_pairs(gappy(spark, folder), ["o_orderkey"] + ORDER_NUMBERS)

@@ -25,8 +25,19 @@ FEATURES6 = ("missing_ratio", "duplicate_ratio", "numeric_ratio", "constant_cols
              "avg_variance", "avg_skewness")
 VARIANCE_CAP = 1e6
 
-# Threshold of each feature in the assessment table.
-THRESHOLDS = (0.1, 0.05, 0.5, 0.0, 2.0, 1.0, 0.3, 3.0)
+# The assessment's rule for each feature.  ``cap`` passes up to the limit, ``near``
+# within the slack around it, ``none`` only at zero, ``under`` below limit times slack.
+RULES = {
+    "missing_ratio": ("cap", 0.1, 1.0),
+    "duplicate_ratio": ("cap", 0.05, 1.0),
+    "numeric_ratio": ("near", 0.5, 0.2),
+    "constant_cols": ("none", 0.0, 1.0),
+    "norm_variance": ("under", 2.0, 1.5),
+    "skewness": ("under", 1.0, 1.5),
+    "cardinality_ratio": ("under", 0.3, 1.5),
+    "mean_kurtosis": ("under", 3.0, 1.5),
+}
+LEAST_SCALE = 0.01
 
 
 def _mean_of(values: str) -> Column:
@@ -214,38 +225,30 @@ def feature_vector(eight: DataFrame) -> DataFrame:
 
 # -- assessment --------------------------------------------------------------
 
-def feature_flags(eight: DataFrame, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """Long table: each feature against its threshold, with PASS or FLAG and the radar value."""
-    structs = []
-    for i, (name, limit) in enumerate(zip(FEATURES8, THRESHOLDS)):
-        v = F.col(name)
-        if i in (0, 1):
-            passed = v <= limit
-        elif i == 2:
-            passed = F.abs(v - limit) < 0.2
-        elif i == 3:
-            passed = v == 0
-        else:
-            passed = v < limit * 1.5
-        structs.append(F.struct(
-            F.lit(i).alias("feature_no"), F.lit(name).alias("feature"), v.alias("value"),
-            F.lit(limit).alias("threshold"),
-            F.when(passed, "PASS").otherwise("FLAG").alias("status"),
-            radar(i, v).alias("radar"),
-        ))
-    return eight.select(*[col(k) for k in keys], F.inline(F.array(*structs)))
+def within_rule(name: str, v: Column) -> Column:
+    kind, limit, slack = RULES[name]
+    tests = {"cap": v <= limit, "near": F.abs(v - limit) < slack, "none": v == 0, "under": v < limit * slack}
+    return tests[kind]
+
 
+def goodness(name: str, v: Column) -> Column:
+    """1 where the feature is best by its rule, falling to 0 at the rule's scale."""
+    kind, limit, slack = RULES[name]
+    away = F.abs(v - limit) if kind == "near" else v
+    scale = limit * slack if kind == "under" else limit
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - away / max(scale, LEAST_SCALE)))
 
-def radar(i: int, v: Column) -> Column:
-    """Feature as a 0..1 goodness."""
-    limit = THRESHOLDS[i]
-    if i in (0, 1, 3):
-        raw = 1.0 - v / max(limit, 0.01)
-    elif i == 2:
-        raw = 1.0 - F.abs(v - limit) / max(limit, 0.01)
-    else:
-        raw = 1.0 - v / max(limit * 1.5, 0.01)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+
+def feature_flags(eight: DataFrame, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
+    """Long table: each feature beside its rule's limit, with PASS or FLAG and its goodness."""
+    facts = [
+        F.struct(
+            F.lit(no).alias("feature_no"), F.lit(name).alias("feature"), F.col(name).alias("value"),
+            F.lit(limit).alias("threshold"),
+            F.when(within_rule(name, F.col(name)), "PASS").otherwise("FLAG").alias("status"),
+            goodness(name, F.col(name)).alias("radar"))
+        for no, (name, (_, limit, _)) in enumerate(RULES.items())]
+    return eight.select(*[col(k) for k in keys], F.inline(F.array(*facts)))
 
 
 # -- training sets -----------------------------------------------------------
@@ -297,4 +300,4 @@ def downsampled(df: DataFrame, key: str, label: str = "label", ratio: float = 1.
 
 def thresholds(spark) -> DataFrame:
     return spark.createDataFrame(
-        list(zip(range(8), FEATURES8, THRESHOLDS)), "feature_no INT, feature STRING, threshold DOUBLE")
+        [(no, name, limit) for no, (name, (_, limit, _)) in enumerate(RULES.items())], "feature_no INT, feature STRING, threshold DOUBLE")
