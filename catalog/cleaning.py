@@ -233,7 +233,7 @@ def iqr_filter_in_turn(spark, folder):
 
 
 @query(f"""
-WITH g AS ({GAPPY_SQL}), s AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS d FROM g)
+WITH g AS ({GAPPY_SQL}), s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d FROM g)
 SELECT o_orderkey, o_totalprice FROM g, s WHERE o_totalprice IS NULL OR abs(o_totalprice - m) <= 3 * d
 """)
 def zscore_filter(spark, folder):

@@ -291,9 +291,26 @@ def class_balance(spark, folder):
     return X.class_balance(X.features8(m))
 
 
-@query()
+def normal(salt: int, k: str = ID) -> str:
+    size, turn = (f"(0.5 + {draw(salt + i, k)})" for i in (0, 4001))
+    return f"(sqrt(-2.0 * ln({size} / 2147483647)) * cos({turn} / 2147483647 * 2 * pi()))"
+
+
+def drawn_at(salt: int) -> str:
+    return f"({draw(salt, 'f.at')} * 2147483647 + {draw(salt + 4001, 'f.at')}) % (SELECT count(*) FROM orders)"
+
+
+_PLACED = f"SELECT *, row_number() OVER (ORDER BY {ID}) - 1 AS at FROM ({BASE}) b"
+
+
+def _deviation(n: str) -> str:
+    return f"(SELECT stddev_samp(CAST({n} AS DOUBLE)) FROM orders)"
+
+
+@query(project({n: r(f"CAST({n} AS DOUBLE) + CASE WHEN {pick(10, 3 + i)} THEN {normal(103 + i)} * {_deviation(n)} "
+                     "ELSE 0 END", 4) for i, n in enumerate(NUMBERS, 1)}))
 def corrupt_noise(spark, folder):
-    return D.noise(base(spark, folder), 10, ID, 3)
+    return rounded(D.noise(base(spark, folder), 10, ID, 3), 4)
 
 
 @query()
@@ -308,11 +325,26 @@ def intensity_ladder_features(spark, folder):
     return X.features8(X.measures(ladder, "dataset_id", "c_custkey", ["label"]))
 
 
-@query()
+@query(f"""
+WITH p AS ({_PLACED})
+SELECT f.at AS {ID}, {", ".join(r(f"a.{n} + {normal(105 + i, 'f.at')} * {_deviation(n)} * 0.05", 4) + f" AS {n}"
+                                for i, n in enumerate(NUMBERS))}, {", ".join(f"a.{n}" for n in TEXTS)}
+FROM p f JOIN p a ON a.at = {drawn_at(9005)}
+""")
 def bootstrap_good(spark, folder):
-    return D.bootstrap_good(base(spark, folder), ID, 5)
+    return rounded(D.bootstrap_good(base(spark, folder), ID, 5), 4)
 
 
-@query()
+def _share(i: int) -> str:
+    return f"({draw(206 + i, 'f.at')} / 2147483647.0::DOUBLE)"
+
+
+@query(f"""
+WITH p AS ({_PLACED})
+SELECT f.at AS {ID}, {", ".join(r(f"a.{n} * {_share(i)} + b.{n} * (1 - {_share(i)})", 4) + f" AS {n}"
+                                for i, n in enumerate(NUMBERS))},
+  {", ".join(f"CASE WHEN {_share(2 + i)} < 0.5 THEN a.{n} ELSE b.{n} END AS {n}" for i, n in enumerate(TEXTS))}
+FROM p f JOIN p a ON a.at = {drawn_at(9005)} JOIN p b ON b.at = {drawn_at(9105)}
+""")
 def interpolated_good(spark, folder):
-    return D.interpolated_good(base(spark, folder), ID, 5)
+    return rounded(D.interpolated_good(base(spark, folder), ID, 5), 4)

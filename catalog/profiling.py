@@ -373,7 +373,7 @@ _PRINT_NAMES = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 @query(f"""
 SELECT count(*) AS rows, md5(concat_ws('|', '{chr(2).join(_PRINT_NAMES)}', CAST(count(*) AS VARCHAR),
   CAST(CAST(sum(CAST(concat('0x', substr(md5(concat_ws('{chr(2)}',
-    {", ".join(f"coalesce(CAST({n} AS VARCHAR), '{chr(1)}')" for n in _PRINT_NAMES)})), 1, 15)) AS HUGEINT)) AS HUGEINT) AS VARCHAR))) AS digest
+    {", ".join(f"coalesce(length(CAST({n} AS VARCHAR)) || ':' || CAST({n} AS VARCHAR), '{chr(1)}')" for n in _PRINT_NAMES)})), 1, 15)) AS HUGEINT)) AS HUGEINT) AS VARCHAR))) AS digest
 FROM ({GAPPY_SQL}) g
 """)
 def fingerprint(spark, folder):

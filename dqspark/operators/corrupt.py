@@ -7,6 +7,7 @@ operators take ``(df, pct, row_id, seed)``; ``pct`` is a percentage.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,6 +27,7 @@ CLUSTER_SHARE = 0.3
 PRIME = 1000003
 MODULUS = 2147483647
 STEP, MULTIPLIER, SALT_STEP = 48271, 16807, 7919
+TURN_SALT = 4001
 
 
 def draw(row_id: Column, salt: int) -> Column:
@@ -44,6 +46,17 @@ def one_of(row_id: Column, salt: int, values: Sequence) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), place.cast("int"))
 
 
+def normal(row_id: Column, salt: int) -> Column:
+    """A repeatable standard normal number for a row, from two draws."""
+    size, turn = (F.lit(0.5) + draw(row_id, salt + k) for k in (0, TURN_SALT))
+    return F.sqrt(-2.0 * F.log(size / MODULUS)) * F.cos(turn / MODULUS * (2 * math.pi))
+
+
+def drawn_place(place: Column, salt: int, rows: int) -> Column:
+    """A repeatable place in 0..rows-1 for a place."""
+    return F.pmod(draw(place, salt) * MODULUS + draw(place, salt + TURN_SALT), F.lit(rows))
+
+
 def _drawn_order(names: Sequence[str], seed: int) -> list[str]:
     def number(i: int) -> int:
         return ((i % PRIME) * STEP + seed * SALT_STEP) % MODULUS * MULTIPLIER % MODULUS
@@ -208,7 +221,7 @@ def noise(df, pct, row_id, seed=0, scale=1.0):
     spread = df.agg(*[F.stddev_samp(col(n)).alias(f"s{i}") for i, n in enumerate(names)]).first()
     return _replace(df, {
         n: col(n).cast("double") + F.when(
-            picked(col(row_id), pct, seed + i), F.randn(seed + i) * F.lit((spread[i - 1] or 0.0) * scale)
+            picked(col(row_id), pct, seed + i), normal(col(row_id), seed + 100 + i) * F.lit((spread[i - 1] or 0.0) * scale)
         ).otherwise(F.lit(0.0))
         for i, n in enumerate(names, 1)
     })
@@ -319,39 +332,52 @@ def intensity_ladder(df: DataFrame, row_id: str, steps: int = 15, good: int = 8,
     return out
 
 
+def _drawn(df: DataFrame, row_id: str, draws: Sequence[tuple[str, int]]) -> DataFrame:
+    """As many new rows as ``df`` has, each beside the rows drawn for it."""
+    placed = row_positions(df, row_id, "__at")
+    rows = df.count()
+    fresh = placed.select(F.col("__at").alias("__new"))
+    for name, salt in draws:
+        source = placed.select(F.col("__at").alias(f"__{name}_at"),
+                               *[col(c).alias(f"__{name}{i}") for i, c in enumerate(df.columns)])
+        fresh = fresh.withColumn(f"__{name}_at", drawn_place(F.col("__new"), salt, max(rows, 1))).join(
+            source, f"__{name}_at")
+    return fresh
+
+
 def bootstrap_good(df: DataFrame, row_id: str, seed: int = 0, share: float = 0.05) -> DataFrame:
-    """Rows drawn with replacement, numbers moved by a small part of their deviation."""
+    """Rows drawn with replacement under new ids from 0, numbers moved by a small part of their deviation."""
     names = _data(df, row_id, numeric_columns(df))
     spread = df.agg(*[F.stddev_samp(col(n)).alias(f"s{i}") for i, n in enumerate(names)]).first()
-    drawn = df.sample(withReplacement=True, fraction=1.0, seed=seed)
-    return _replace(drawn, {
-        n: col(n).cast("double") + F.randn(seed + i) * F.lit((spread[i] or 0.0) * share)
-        for i, n in enumerate(names)
-    })
+    drawn = _drawn(df, row_id, [("a", seed + 9000)])
+    out = []
+    for i, c in enumerate(df.columns):
+        value = F.col(f"__a{i}")
+        if c == row_id:
+            value = F.col("__new")
+        elif c in names:
+            k = names.index(c)
+            value = value.cast("double") + normal(F.col("__new"), seed + 100 + k) * F.lit((spread[k] or 0.0) * share)
+        out.append(value.alias(c))
+    return drawn.select(*out)
 
 
 def interpolated_good(df: DataFrame, row_id: str, seed: int = 0) -> DataFrame:
-    """Rows between two others: each row meets one partner at a shuffled position.
+    """Rows between two drawn ones, under new ids from 0.
 
-    Both join keys are unique positions, so the join has no hot key.
+    Every number has a mixing share of its own; other values come from either row.
     """
-    rows = df.count()
-    placed = row_positions(df, row_id, "__at")
-    shift = 1 + (seed * STEP + 17) % max(1, rows - 1)
-    partner = placed.select(
-        F.pmod(F.col("__at") + shift, F.lit(max(rows, 1))).alias("__at"),
-        *[col(c).alias(f"__p{i}") for i, c in enumerate(df.columns)],
-    )
     numbers = set(numeric_columns(df))
-    mix, side = F.rand(seed), F.rand(seed + 1)
-    both = placed.join(partner, "__at").withColumn("__mix", mix).withColumn("__side", side)
+    drawn = _drawn(df, row_id, [("a", seed + 9000), ("b", seed + 9100)])
     out = []
     for i, c in enumerate(df.columns):
-        other = F.col(f"__p{i}")
+        one, two = F.col(f"__a{i}"), F.col(f"__b{i}")
+        share = draw(F.col("__new"), seed + 200 + i) / float(MODULUS)
         if c == row_id:
-            out.append(col(c))
+            value = F.col("__new")
         elif c in numbers:
-            out.append((col(c) * F.col("__mix") + other * (1 - F.col("__mix"))).alias(c))
+            value = one * share + two * (1 - share)
         else:
-            out.append(F.when(F.col("__side") < 0.5, col(c)).otherwise(other).alias(c))
-    return both.select(*out)
+            value = F.when(share < 0.5, one).otherwise(two)
+        out.append(value.alias(c))
+    return drawn.select(*out)

@@ -68,13 +68,15 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """One row ``(rows, digest)``: the same for the same rows in any order.
 
     Each row's MD5 gives a 60-bit number; their sum does not depend on order
-    and partial sums combine before the shuffle.
+    and partial sums combine before the shuffle.  Every value goes with its length,
+    so no value can pass for two.
     """
     names = list(columns or df.columns)
-    texts = [F.coalesce(col(n).cast("string"), F.lit(NULL_MARK)) for n in names]
+    texts = [F.coalesce(F.concat(F.char_length(col(n).cast("string")).cast("string"), F.lit(":"),
+                                 col(n).cast("string")), F.lit(NULL_MARK)) for n in names]
     digest = F.md5(F.concat_ws(FIELD_MARK, *texts))
-    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")
-    total = F.coalesce(F.sum(number), F.lit(0).cast("decimal(30,0)")).cast("decimal(38,0)")
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(28,0)")
+    total = F.coalesce(F.sum(number), F.lit(0).cast("decimal(38,0)"))
     header = F.lit(FIELD_MARK.join(names))
     return df.agg(F.count(F.lit(1)).alias("rows"), total.alias("__total")).select(
         "rows",

@@ -156,11 +156,12 @@ def cross_validate(df: DataFrame, key: str, names: Sequence[str] = FEATURES8,
     return df.sparkSession.createDataFrame(rows, "fold INT, " + ", ".join(f"{m} DOUBLE" for m in METRICS))
 
 
-def hold_out(df: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows, the share taken from each label by a hash of the row."""
-    place = F.pmod(F.xxhash64(*[col(c) for c in df.columns], F.lit(seed)), F.lit(1000))
-    marked = df.withColumn("__test", place < int(share * 1000))
-    return marked.where(~F.col("__test")).drop("__test"), marked.where("__test").drop("__test")
+def hold_out(df: DataFrame, key: str = "dataset_id", share: float = 0.2,
+             seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows; of each label the same share is taken, in hash order of the unique key."""
+    parts = round(1 / share)
+    dealt = stratified_folds(df, key, parts, seed)
+    return dealt.where("fold <> 0").drop("fold"), dealt.where("fold = 0").drop("fold")
 
 
 def compare(predictions: Mapping[str, DataFrame]) -> DataFrame:

@@ -44,7 +44,7 @@ def retrain(originals: DataFrame, feedback: DataFrame, current: PipelineModel |
         cv = M.cross_validate(table, "dataset_id", folds=folds, **settings).agg(
             F.avg("balanced_accuracy")).first()[0]
         candidate = M.train(table, learner=M.forest(**settings))
-        _, test = M.hold_out(originals)
+        _, test = M.hold_out(originals, "dataset_id")
         decided = M.shadow_validate(current, candidate, test)
         row = decided.first()
         entry = decided.select(
