@@ -72,37 +72,38 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.raw(known), -30, 30))))
 
 
-def telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Buckets whose presence says something about the label; texts with equal buckets and label count once."""
-    different = list({(t.tobytes(), y): i for i, (t, y) in enumerate(zip(texts, labels))}.values())
-    flat = np.concatenate([texts[i] for i in different])
-    toxic = np.repeat(labels[different], [len(texts[i]) for i in different])
-    buckets, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    share = labels[different].mean()
-    away = np.abs(np.bincount(place, toxic, len(buckets)) - counts * share)
-    return buckets[(counts >= LEAST_TEXTS)
-                   & (away >= LEAST_DEVIATION * np.sqrt(counts * share * (1 - share) + 1e-12))]
+def telling(sample: DataFrame) -> np.ndarray:
+    """Buckets whose presence says something about the label, of ``sample(label, buckets)``.
+
+    Texts with equal buckets and label count once.  Counting is distributed; what comes
+    back are the few buckets that pass.
+    """
+    different = sample.select("label", "buckets").distinct()
+    texts, share = different.agg(F.count("*"), F.avg("label")).first()
+    if not texts:
+        return np.empty(0, np.int64)
+    counts = different.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum("label").alias("toxic")).where(F.col("n") >= LEAST_TEXTS)
+    usual = F.sqrt(F.col("n") * share * (1 - share) + 1e-12)
+    found = counts.where(F.abs(F.col("toxic") - F.col("n") * share) >= LEAST_DEVIATION * usual)
+    return np.sort(found.select("bucket").toArrow().column(0).to_numpy().astype(np.int64))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Logistic loss by AdaGrad over small batches; ``texts`` are arrays of distinct buckets.
+def fit(texts: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, seed: int = 7) -> Model:
+    """Logistic loss by AdaGrad over small batches; ``texts`` hold distinct ones of the sorted ``buckets``.
 
     Weights start at the smoothed log-odds of their bucket, vectors near nothing.
     """
     n = len(texts)
     rate = float(labels.mean()) if n else 0.0
     bias = float(np.log((rate * n + 1) / ((1 - rate) * n + 1)))
-    buckets = telling(texts, labels) if n else np.empty(0, np.int64)
     random = np.random.default_rng(seed)
     weights = np.zeros(len(buckets))
     vectors = random.normal(0, 0.01, (len(buckets), FACTORS))
-    if not len(buckets):
+    if not len(buckets) or not n:
         return Model(bias, buckets, weights, vectors)
-    flat = np.concatenate(texts)
     owner = np.repeat(np.arange(n), [len(t) for t in texts])
-    at = np.minimum(np.searchsorted(buckets, flat), len(buckets) - 1)
-    used = buckets[at] == flat
-    owner, at = owner[used], at[used]
+    at = np.searchsorted(buckets, np.concatenate(texts))
     ends = np.searchsorted(owner, np.arange(n + 1))
     held, toxic = np.bincount(at, minlength=len(buckets)), np.bincount(at, labels[owner], len(buckets))
     weights = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((held - toxic + 0.5) / (n - labels.sum() + 1))
@@ -142,8 +143,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents that are not held out.
 
-    Only these rows' ids, labels and buckets come to the driver.  Rows with a null id
-    or label are left out; a document with several labels counts once for each.
+    What comes to the driver are the buckets that tell and, per sampled row, which of
+    them it holds.  Rows with a null id or label are left out; a document with several
+    labels counts once for each.
     """
     chosen = keep(
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -153,16 +155,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            found = [np.fromiter(term_buckets(t.as_py()), np.int32) for t in texts]
+            found = [np.sort(np.fromiter(term_buckets(t.as_py()), np.int32)) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
                 ["doc_id", "label", "buckets"])
 
     met = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select("doc_id", "label", "text")
-    made = met.mapInArrow(run, "doc_id LONG, label DOUBLE, buckets ARRAY<INT>").toArrow()
+    sample = keep(met.mapInArrow(run, "doc_id LONG, label DOUBLE, buckets ARRAY<INT>"), "sample")
+    buckets = telling(sample)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.intersect1d(np.asarray(b.values, np.int64), buckets).astype(np.int32)
+                     for b in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
+                ["doc_id", "label", "buckets"])
+
+    made = sample.mapInArrow(narrow, sample.schema).toArrow()
     order = np.lexsort((made.column("label").to_numpy(), made.column("doc_id").to_numpy()))
-    found = [np.sort(np.asarray(b.values, np.int64)) for b in made.column("buckets")]
-    return fit([found[i] for i in order], made.column("label").to_numpy()[order])
+    found = [np.asarray(b.values, np.int64) for b in made.column("buckets")]
+    return fit([found[i] for i in order], made.column("label").to_numpy()[order], buckets)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
