@@ -13,7 +13,19 @@ TIMESTAMP_FORMATS = (
     "MM/dd/yyyy",
     "dd-MM-yyyy",
     "MMM d yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS[XXX]",
+    "yyyy-MM-dd HH:mm",
+    "yyyy/MM/dd HH:mm:ss",
+    "M/d/yyyy",
+    "M/d/yyyy H:mm[:ss]",
+    "d-M-yyyy",
+    "yyyy-M-d",
+    "MMM d, yyyy",
+    "d MMM yyyy",
 )
+# What every one of these forms looks like; other cells are not parsed at all.
+TIME_SHAPE = r"^[A-Za-z0-9][A-Za-z0-9 :,./+-]{5,34}$"
 
 
 def col(name: str) -> Column:
@@ -85,9 +97,14 @@ def to_boolean(c: Column) -> Column:
     return F.when(text == "true", F.lit(True)).when(text == "false", F.lit(False))
 
 
+def to_time(c: Column, pattern: str) -> Column:
+    """Moment held by a text of one form, else NULL."""
+    return F.when(c.rlike(TIME_SHAPE) & c.rlike("[0-9]{4}"), F.try_to_timestamp(c, F.lit(pattern)))
+
+
 def parse_timestamp(c: Column, formats=TIMESTAMP_FORMATS) -> Column:
     """First format that fits the cell."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    return F.coalesce(*[to_time(c, f) for f in formats])
 
 
 def signed_text(c: Column, digits: int = 3) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dqspark.functions.scalars import (
-    TIMESTAMP_FORMATS, blank_to_null, col, finite, leading_number, to_boolean, to_number,
+    TIMESTAMP_FORMATS, blank_to_null, col, finite, leading_number, to_boolean, to_number, to_time,
 )
 
 INTERNAL_COLUMNS = ("_is_outlier",)
@@ -91,7 +91,7 @@ def infer_report(df: DataFrame, formats: Sequence[str] = TIMESTAMP_FORMATS) -> D
     for i, n in enumerate(texts):
         c = col(n)
         aggs += [F.count(c).alias(f"known{i}"), F.count(to_number(c)).alias(f"num{i}")]
-        aggs += [F.count(F.try_to_timestamp(c, F.lit(f))).alias(f"t{i}_{j}")
+        aggs += [F.count(to_time(c, f)).alias(f"t{i}_{j}")
                  for j, f in enumerate(formats)]
     structs = []
     for i, n in enumerate(texts):
@@ -123,7 +123,7 @@ def infer_types(df: DataFrame, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Da
         if report is None or report["inferred"] == "categorical":
             out.append(col(n))
         elif report["inferred"] == "datetime":
-            out.append(F.try_to_timestamp(col(n), F.lit(report["format"])).alias(n))
+            out.append(to_time(col(n), report["format"]).alias(n))
         else:
             out.append(to_number(col(n)).alias(n))
     return df.select(*out)

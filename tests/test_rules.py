@@ -102,3 +102,24 @@ def test_scores_of_an_empty_table(rows):
     df = rows("id BIGINT, a DOUBLE, b STRING", (1, 1.0, "x")).where("id < 0")
     s = Q.quality_scores(df, row_id="id").first()
     assert (s["completeness"], s["uniqueness"], s["outliers"]) == (0.0, 0.0, 0.95)
+
+
+def test_forms_of_time(rows):
+    from dqspark.functions.scalars import parse_timestamp
+    from dqspark.operators import schema
+
+    forms = {
+        "2023-01-05": "2023-01-05 00:00:00", "2023-01-05T10:00:00": "2023-01-05 10:00:00",
+        "2023-01-05T10:00:00.25Z": "2023-01-05 10:00:00.25", "2023-01-05T10:00:00+02:00": "2023-01-05 08:00:00",
+        "1/5/2023": "2023-01-05 00:00:00", "1/5/2023 9:07": "2023-01-05 09:07:00",
+        "Jan 5, 2023": "2023-01-05 00:00:00", "5 Jan 2023": "2023-01-05 00:00:00",
+        "2023/01/05 10:11:12": "2023-01-05 10:11:12", "2023-1-5": "2023-01-05 00:00:00",
+        "5-1-2023": "2023-01-05 00:00:00", "2023-01-05 10:11:12.5": "2023-01-05 10:11:12.5",
+        "2023": None, "12345678": None, "a long text with 2023 in it that is not a time": None,
+    }
+    df = rows("t STRING", *[(f,) for f in forms])
+    got = {r["t"]: r["s"] for r in df.select("t", parse_timestamp(F.col("t")).cast("string").alias("s")).collect()}
+    assert got == forms
+    iso = rows("t STRING", ("2023-01-05T10:00:00",), ("2024-02-29T23:59:59.123",), (None,))
+    assert schema.infer_report(iso).first()["inferred"] == "datetime"
+    assert dict(schema.infer_types(iso).dtypes)["t"] == "timestamp"
