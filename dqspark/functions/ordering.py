@@ -113,10 +113,16 @@ def unpivot_numbers(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (
     )
 
 
+def named(column: Column, names: Sequence[str]) -> Column:
+    """The name behind a column's number."""
+    return F.get(F.array(*[F.lit(n) for n in names]), column)
+
+
 def known_positions(df: DataFrame, names: Sequence[str], row_id: str,
                     buckets: int | None = None) -> DataFrame:
-    """Long rows ``(column, row_id, value, bucket, position, known)`` of all known values.
+    """Long rows ``(row_id, column, value, bucket, position, known)`` of all known values.
 
+    ``column`` is the column's place in ``names``: numbers group faster than names do.
     ``position`` is the 0-based place of the row among the column's known
     values, ``known`` their number and ``bucket`` an order-preserving bucket of
     the value.  Positions are running counts on the wide rows: one window for
@@ -141,7 +147,7 @@ def known_positions(df: DataFrame, names: Sequence[str], row_id: str,
     counted = placed.select("*", *[F.count(col(n)).over(running).alias(f"__run{i}")
                                    for i, n in enumerate(names)]).join(starts, row_bucket)
     cells = F.array(*[
-        F.struct(F.lit(n).alias("column"), col(n).cast("double").alias("value"),
+        F.struct(F.lit(i).alias("column"), col(n).cast("double").alias("value"),
                  F.col(outs[n]).alias("bucket"),
                  (F.col(f"__start{i}") + F.col(f"__run{i}") - 1).alias("position"),
                  F.col(f"__known{i}").alias("known"))

@@ -361,9 +361,13 @@ def clean_metrics(cleaned: DataFrame, plan: CleaningPlan) -> DataFrame:
 
 def clean(df: DataFrame, profile: CleaningProfile = CleaningProfile(), row_id: str | None = None,
           sample_fraction: float | None = None) -> tuple[DataFrame, CleaningPlan]:
-    """Fit and transform; the frame is lazy, the plan is ready."""
-    plan = fit(df, profile, row_id, sample_fraction)
-    return transform(df, plan), plan
+    """Fit and transform; the frame is lazy, the plan is ready.
+
+    The de-duplicated table that the plan was fitted on stays cached behind the frame, so its
+    shuffle runs once.
+    """
+    plan, staged = fit_staged(df, profile, row_id, sample_fraction)
+    return finish(staged, plan), plan
 
 
 # -- comparison --------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dqspark.functions.ordering import known_positions, rank_counts
+from dqspark.functions.ordering import known_positions, named, rank_counts
 from dqspark.functions.scalars import col, rounded
 from dqspark.operators.schema import numeric_columns
 
@@ -116,7 +116,8 @@ def trends(df: DataFrame, names: Sequence[str], row_id: str,
     Rows with the same value share a rank, so their positions are summed per
     value first; ranks are then worked out on distinct values alone.
     """
-    cells = known_positions(df, list(names), row_id, buckets)
+    names = list(dict.fromkeys(names))
+    cells = known_positions(df, names, row_id, buckets)
     counted = cells.groupBy("column", "bucket", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("position").cast("double")).alias("places"))
     # Average rank minus the mean of all ranks.
@@ -134,13 +135,15 @@ def trends(df: DataFrame, names: Sequence[str], row_id: str,
               | (F.abs("rho") < _critical_r(n)), "flat")
         .when(F.col("rho") > 0, "increasing").otherwise("decreasing")
     )
-    return sums.withColumn("rho", rho).select("column", "n", "rho", label.alias("trend"))
+    return sums.withColumn("rho", rho).select(
+        named(F.col("column"), names).alias("column"), "n", "rho", label.alias("trend"))
 
 
 def half_trends(df: DataFrame, names: Sequence[str], row_id: str,
                 buckets: int | None = None) -> DataFrame:
     """Simpler trend: mean of the first half of the rows against the second."""
-    cells = known_positions(df, list(names), row_id, buckets)
+    names = list(dict.fromkeys(names))
+    cells = known_positions(df, names, row_id, buckets)
     early = F.col("position") < F.floor(F.col("known") / 2)
     found = cells.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"),
@@ -153,7 +156,8 @@ def half_trends(df: DataFrame, names: Sequence[str], row_id: str,
         .when(F.abs(gap) < FLAT_BAND * (F.abs("first_mean") + 1e-9), "flat")
         .when(gap > 0, "increasing").otherwise("decreasing")
     )
-    return found.select("column", "n", "first_mean", "second_mean", label.alias("trend"))
+    return found.select(
+        named(F.col("column"), names).alias("column"), "n", "first_mean", "second_mean", label.alias("trend"))
 
 
 def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:

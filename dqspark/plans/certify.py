@@ -67,9 +67,16 @@ def _samples(rows: list[dict[str, str | None]]) -> Column:
 def certify(df: DataFrame, row_id: str, profile_: K.CleaningProfile = K.CleaningProfile(), *,
             classifier: PipelineModel | None = None, approx: bool = False,
             trend: bool = True) -> Certificate:
-    """Run every stage.  The cleaned table is cached once; results stay lazy."""
-    intake = scout(df, row_id, approx)
+    """Run every stage.  The cleaned table is cached once; later results stay lazy."""
+    # Intake and fitting pass over the raw table many times; it is let go before the profile.
+    held = df.is_cached
+    if not held:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    report = scout(df, row_id, approx)
+    intake = df.sparkSession.createDataFrame(report.collect(), report.schema)
     plan, staged = K.fit_staged(df, profile_, row_id)
+    if not held:
+        df.unpersist()
     cleaned = K.finish(staged, plan)
     if cleaned is not staged:       # nothing to fill or filter leaves the cached table itself
         cleaned = cleaned.persist(StorageLevel.MEMORY_AND_DISK)

@@ -62,9 +62,9 @@ def test_positions_and_forward_fill(skewed):
 def test_known_positions_skip_gaps(skewed):
     df, pdf = skewed
     found = O.known_positions(df, ["v", "w"], "id", buckets=16).toPandas()
-    for n in ("v", "w"):
+    for i, n in enumerate(("v", "w")):
         want = pdf[["id", n]].dropna().assign(position=lambda d: range(len(d)))
-        got = found[found.column == n].sort_values("id")
+        got = found[found.column == i].sort_values("id")
         assert (got.position.to_numpy() == want.position.to_numpy()).all()
         assert (got.known == len(want)).all()
 
