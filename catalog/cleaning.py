@@ -399,3 +399,11 @@ def clean_text_table(spark, folder):
 def clean_fitted_on_sample(spark, folder):
     cleaned, _ = K.clean(messy(spark, folder), row_id="o_orderkey", sample_fraction=0.1)
     return cleaned
+
+
+@query("SELECT o_orderkey, o_orderstatus, 'Unknown' AS o_note FROM orders")
+def fill_unknown(spark, folder):
+    """A text column without any value is kept and filled with the fallback."""
+    df = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", F.lit(None).cast("string").alias("o_note"))
+    cleaned, _ = K.clean(df, K.CleaningProfile(drop_empty_cols=False, drop_duplicates=False), "o_orderkey")
+    return cleaned

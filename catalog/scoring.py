@@ -338,3 +338,17 @@ def required_outputs(spark, folder):
 @query()
 def certify(spark, folder):
     return run_certify(messy(spark, folder), "o_orderkey").verdict
+
+
+@query("""
+WITH s AS (SELECT CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS quality, least(100, n_chars / 20.0) AS score
+           FROM labels JOIN documents USING (doc_id))
+SELECT quality = 'GOOD' AND score > 70 AS passed,
+       CASE WHEN quality = 'GOOD' AND score > 75 THEN 'info' ELSE 'warning' END AS severity, count(*) AS n
+FROM s GROUP BY ALL
+""")
+def model_verdicts(spark, folder):
+    scored = table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id").select(
+        F.when(F.col("quality") == 1, "GOOD").otherwise("BAD").alias("quality"),
+        F.least(F.lit(100.0), F.col("n_chars") / 20.0).alias("score"))
+    return C.model_check(scored).groupBy("passed", "severity").agg(F.count(F.lit(1)).alias("n"))

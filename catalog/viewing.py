@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import query
+from catalog import ORACLES, query
 from catalog.profiling import LEADING, LINE_NUMBERS, ORDER_NUMBERS, ORDER_TEXTS, leading_sql, pairs_sql
 from catalog.tables import (
     GAPPY_SQL, TEXT_COLUMNS, TEXT_SQL, as_doubles, as_text, cells, fences, gappy, r, rounded, table, union,
@@ -245,6 +245,42 @@ def run_spec(spark, folder):
     return G.run_spec(table(spark, folder, "part"), spec, filters={"p_size": 5})
 
 
+def _run(df, kind, x=None, y=None, used=(), row_id=None):
+    spec = {"chart_type": kind, "x": x, "y": y, "columns_used": list(used)}
+    return rounded(G.run_spec(df, spec, row_id))
+
+
+@query(ORACLES["histogram_auto"])
+def run_spec_histogram(spark, folder):
+    return _run(table(spark, folder, "events"), "histogram", "value")
+
+
+@query(ORACLES["pie_other"])
+def run_spec_pie(spark, folder):
+    return _run(table(spark, folder, "part"), "pie", "p_brand")
+
+
+@query(ORACLES["grouped_bars"])
+def run_spec_grouped(spark, folder):
+    return _run(table(spark, folder, "lineitem"), "bar", "l_returnflag", "l_extendedprice")
+
+
+@query(ORACLES["trend_line"])
+def run_spec_line(spark, folder):
+    return _run(table(spark, folder, "events"), "line", "value", row_id="event_id")
+
+
+@query(ORACLES["box_summary"])
+def run_spec_box(spark, folder):
+    return _run(gappy(spark, folder), "box", used=["o_totalprice", "o_rank"])
+
+
+@query(f"""SELECT CAST(l_quantity AS DOUBLE) AS x, l_extendedprice AS y FROM lineitem""")
+def run_spec_scatter(spark, folder):
+    points = _run(table(spark, folder, "lineitem"), "scatter", "l_quantity", "l_extendedprice")
+    return points.select("x", "y")
+
+
 # -- sources -----------------------------------------------------------------
 
 
