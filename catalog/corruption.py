@@ -287,8 +287,7 @@ def severity_grid_features(spark, folder):
 @query(f"""SELECT label, severity, count(*) AS datasets FROM (SELECT DISTINCT dataset_id, label, severity FROM ({grid_sql()}) g) x
 GROUP BY label, severity""")
 def class_balance(spark, folder):
-    m = X.measures(grid(spark, folder), "dataset_id", "c_custkey", ["label", "severity"])
-    return X.class_balance(X.features8(m))
+    return X.class_balance(grid(spark, folder).select("dataset_id", "label", "severity").distinct())
 
 
 def normal(salt: int, k: str = ID) -> str:
