@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dqspark.functions.ordering import known_positions, named, rank_counts
+from dqspark.functions.ordering import known_positions, named
 from dqspark.functions.scalars import col, rounded
 from dqspark.operators.schema import numeric_columns
 
@@ -120,11 +120,24 @@ def trends(df: DataFrame, names: Sequence[str], row_id: str,
     cells = known_positions(df, names, row_id, buckets)
     counted = cells.groupBy("column", "bucket", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("position").cast("double")).alias("places"))
-    # Average rank minus the mean of all ranks.
-    centred = F.col("below") + (F.col("n") + 1) / 2.0 - (F.col("total") + 1) / 2.0
-    sums = rank_counts(counted).groupBy("column").agg(
-        F.max("total").alias("n"), F.sum(centred * F.col("places")).alias("together"),
-        F.sum(F.col("n") * centred * centred).alias("spread"))
+    # Mean rank of a value within its bucket; its rank is that and the rows of the buckets before.
+    inside = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, -1)
+    x = F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2.0
+    held = counted.withColumn("x", x).groupBy("column", "bucket").agg(
+        F.sum("n").alias("rows"), F.sum("places").alias("places"),
+        F.sum(F.col("x") * F.col("places")).alias("x_places"),
+        F.sum(F.col("n") * F.col("x")).alias("xs"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("xxs"))
+    # One row per column and bucket from here on; ranks are centred by what ``shift`` adds.
+    of_column = Window.partitionBy("column")
+    earlier = of_column.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("rows").over(of_column)
+    shift = F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - (total + 1) / 2.0
+    moved = held.withColumns({"total": total, "shift": shift})
+    c = F.col("shift")
+    sums = moved.groupBy("column").agg(
+        F.max("total").alias("n"), F.sum(F.col("x_places") + c * F.col("places")).alias("together"),
+        F.sum(F.col("xxs") + 2 * c * F.col("xs") + c * c * F.col("rows")).alias("spread"))
     rows = F.col("n").cast("double")
     order_spread = rows * (rows * rows - 1) / 12.0
     rho = F.try_divide("together", F.sqrt(F.col("spread")) * F.sqrt(order_spread))
