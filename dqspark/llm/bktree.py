@@ -49,10 +49,13 @@ class Forest:
             rest = np.ones(len(waiting), bool)
             rest[place] = False
             waiting, at = waiting[rest], child[back[rest]]
-        self.edge = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        edge = np.concatenate(keys) if keys else np.empty(0, np.int64)
         self.child = np.concatenate(children) if children else np.empty(0, np.int64)
-        order = np.argsort(self.edge, kind="stable")
-        self.edge, self.child = self.edge[order], self.child[order]
+        order = np.argsort(edge, kind="stable")
+        self.child = self.child[order]
+        # Children of a node below each distance, by node and distance: a place in ``child``.
+        below = np.bincount(edge, minlength=len(node_tree) * EDGES)
+        self.below = np.concatenate(([0], np.cumsum(below))).astype(np.int32)
 
     def search(self, tree: np.ndarray, prints: np.ndarray, radius: int):
         """Yield ``(query, node)`` index arrays of all matches within ``radius``."""
@@ -71,11 +74,10 @@ class Forest:
             if near.any():
                 yield asked[near], node[near]
             base = node * EDGES
-            low = np.searchsorted(self.edge, base + np.maximum(far - radius, 0))
-            high = np.searchsorted(self.edge, base + np.minimum(far + radius, EDGES - 1), "right")
-            width = high - low
-            some = width > 0
-            asked, low, width = asked[some], low[some], width[some]
+            low = self.below[base + np.maximum(far - radius, 0)]
+            width = self.below[base + np.minimum(far + radius, EDGES - 1) + 1] - low
+            some = np.flatnonzero(width)
+            asked, low, width = asked[some], low[some].astype(np.int64), width[some].astype(np.int64)
             ends = np.cumsum(width)
             if not len(ends):
                 continue
