@@ -12,7 +12,7 @@ import numpy as np
 
 EDGES = 65
 # Pairs of query and node looked at in one go.
-FRONT = 1 << 18
+FRONT = 1 << 16
 
 
 class Forest:
@@ -54,8 +54,10 @@ class Forest:
         order = np.argsort(edge, kind="stable")
         self.child = self.child[order]
         # Children of a node below each distance, by node and distance: a place in ``child``.
-        below = np.bincount(edge, minlength=len(node_tree) * EDGES)
-        self.below = np.concatenate(([0], np.cumsum(below))).astype(np.int32)
+        # A node has one child at most under a distance, so a mark each and a running sum will do.
+        self.below = np.zeros(len(node_tree) * EDGES + 1, np.int32)
+        self.below[edge + 1] = 1
+        np.cumsum(self.below, out=self.below)
 
     def search(self, tree: np.ndarray, prints: np.ndarray, radius: int):
         """Yield ``(query, node)`` index arrays of all matches within ``radius``."""

@@ -32,7 +32,7 @@ SEED = 42
 SHARD_MEAN = 4_096
 SHARD_ROWS = 20_000
 # Rows that a task looks at together, whole shards at a time.
-BATCH_ROWS = 100_000
+BATCH_ROWS = 50_000
 SHINGLES_AT_ONCE = 1 << 16
 
 # Near copies: fingerprints of the distinct words link more widely than shingles allow,
@@ -164,7 +164,7 @@ def links(prints: DataFrame, radius: int = RADIUS, node: str = "fp", sketch: str
     spark = prints.sparkSession
     dealt = shards(prints.select(*columns), radius, rows)
     group = ["mask_no", "bits", "i", "j"]
-    n = partitions(spark, rows * len(block_masks(radius, equal_blocks(rows, radius))), 10 * BATCH_ROWS)
+    n = partitions(spark, rows * len(block_masks(radius, equal_blocks(rows, radius))), 20 * BATCH_ROWS)
     ready = dealt.repartition(n, *group).sortWithinPartitions(*group)
     wide = len(columns)
 
