@@ -171,3 +171,46 @@ def test_components_of_chains_stars_and_repeats(spark):
     want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(300)} | {500: 500, 501: 500}
     assert got == want
     assert components(frame.where("src < 0")).count() == 0
+
+
+def test_prefixes_of_similar_sets_meet():
+    draw = np.random.default_rng(3)
+    levels = draw.integers(0, 9, 1 << simhash.LEVEL_BITS).astype(np.uint8)
+    for n in (1, 2, 5, 9, 10, 100, 333):
+        for _ in range(20):
+            every = np.unique(draw.integers(0, 1 << 63, n * 5 // 4, np.uint64))
+            shared = max(1, -(-4 * len(every) // 5))
+            lone = draw.integers(0, 2, len(every) - shared).astype(bool)
+            one = np.concatenate([every[:shared], every[shared:][lone]])
+            two = np.concatenate([every[:shared], every[shared:][~lone]])
+            assert set(simhash.prefix(one, levels, 0.8).tolist()) & set(simhash.prefix(two, levels, 0.8).tolist())
+
+
+def passage_copies(vocabulary):
+    """Texts with a passage appended, put before or cut, or words replaced, on both sides of 0.8."""
+    draw = random.Random(8)
+    texts = []
+    for k in range(40):
+        words = draw.choices(vocabulary, k=draw.choice((40, 150, 400)))
+        n = len(words)
+        part = draw.randrange(n // 10, n // 4 + 1)
+        new = draw.choices(vocabulary, k=part)
+        texts += [words, words + new, new + words, words[:n - part], words[part:]]
+        copy = list(words)
+        for _ in range(draw.randrange(1, max(2, n // 30))):
+            copy[draw.randrange(n)] = draw.choice(vocabulary)
+        texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def test_copies_with_passages_as_plain(documents, monkeypatch):
+    draw = random.Random(9)
+    texts = passage_copies(["".join(draw.choices("abcdefghij", k=5)) for _ in range(3000)])
+    order = list(range(len(texts)))
+    draw.shuffle(order)
+    rows = [(d, texts[k]) for d, k in enumerate(order)]
+    sets = plain_sets(range(len(rows)), lambda a, b: share(rows[a][1], rows[b][1]) >= 0.8)
+    for piece in (2_000, 3):
+        monkeypatch.setattr(simhash, "MEET_ROWS", piece)
+        alive = {r.doc_id for r in simhash.first_of_near_copies(documents(*rows)).collect()}
+        assert alive == set(sets.values())
