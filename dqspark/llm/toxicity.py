@@ -7,7 +7,8 @@ are harmless alone can count together.
 
 The model is fitted on a bounded sample of labelled rows, and only buckets that
 enough sampled texts hold get a weight, which bounds the model; scoring covers the
-whole text of every document.
+whole text of every document.  Terms that tell only beside another are found among
+the pairs of those rows that a first model gets wrong; they get a vector and no weight.
 """
 
 from __future__ import annotations
@@ -65,7 +66,10 @@ class Model:
         return float(self.bias + self.weights[rows].sum() + 0.5 * ((pairs * pairs).sum() - (v * v).sum()))
 
     def score(self, text: bytes) -> float:
-        held = np.fromiter(term_buckets(text), np.int64)
+        return self.score_of(np.fromiter(term_buckets(text), np.int64))
+
+    def score_of(self, held: np.ndarray) -> float:
+        """The score of a text that holds these different buckets."""
         at = np.searchsorted(self.buckets, held)
         at[at == len(self.buckets)] = 0
         known = at[self.buckets[at] == held] if len(self.buckets) else at[:0]
@@ -89,10 +93,63 @@ def telling(sample: DataFrame) -> np.ndarray:
     return np.sort(found.select("bucket").toArrow().column(0).to_numpy().astype(np.int64))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, seed: int = 7) -> Model:
+def telling_pairs(sample: DataFrame, model: Model) -> np.ndarray:
+    """Buckets of the pairs that say more about the label than ``model`` does, of ``sample(label, buckets)``.
+
+    A pair counts if ``LEAST_TEXTS`` or more texts that the model gets wrong hold it, and
+    the toxic ones among all its texts are ``LEAST_DEVIATION`` standard deviations from
+    the sum of their scores.  Texts with equal buckets and label count once.
+    """
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.asarray(b.values, np.int64) for b in batch.column(1)]
+            score = pa.array([model.score_of(h) for h in held], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], ["label", "buckets", "score"])
+
+    def paired(held: np.ndarray) -> np.ndarray:
+        one, two = np.triu_indices(len(held), 1)
+        return held[one] * BUCKETS + held[two]
+
+    def all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0):
+                held = np.asarray(b.values, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(paired(held[np.isin(held, often)]))], ["pair"])
+
+    def met_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, b, score in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                held = np.asarray(b.values, np.int64)
+                met = paired(held[np.isin(held, members)])
+                met = met[np.isin(met, pairs)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(met, pa.int64()), pa.array(np.full(len(met), label)), pa.array(np.full(len(met), score))],
+                    ["pair", "label", "score"])
+
+    rows = keep(sample.select("label", "buckets").distinct().mapInArrow(
+        judged, "label DOUBLE, buckets ARRAY<INT>, score DOUBLE"), "judged")
+    wrong = rows.where((F.col("score") >= 0.5) != (F.col("label") >= 0.5)).select("buckets")
+    enough = F.col("n") >= LEAST_TEXTS
+    often = wrong.select(F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n")).where(
+        enough).select("b").toArrow().column(0).to_numpy()
+    if not len(often):
+        return np.empty(0, np.int64)
+    pairs = np.sort(wrong.mapInArrow(all_pairs, "pair LONG").groupBy("pair").agg(F.count("*").alias("n")).where(
+        enough).select("pair").toArrow().column(0).to_numpy())
+    members = np.unique(np.concatenate([pairs // BUCKETS, pairs % BUCKETS]))
+    expected, spread = F.sum("score"), F.sum(F.col("score") * (1 - F.col("score")))
+    found = rows.mapInArrow(met_pairs, "pair LONG, label DOUBLE, score DOUBLE").groupBy("pair").agg(
+        F.abs(F.sum("label") - expected).alias("off"), F.sqrt(spread + 1e-12).alias("usual")).where(
+        F.col("off") >= LEAST_DEVIATION * F.col("usual")).select("pair").toArrow().column(0).to_numpy()
+    return np.unique(np.concatenate([found // BUCKETS, found % BUCKETS])).astype(np.int64)
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, seed: int = 7,
+        tells: np.ndarray | None = None) -> Model:
     """Logistic loss by AdaGrad over small batches; ``texts`` hold distinct ones of the sorted ``buckets``.
 
-    Weights start at the smoothed log-odds of their bucket, vectors near nothing.
+    Weights start at the smoothed log-odds of their bucket, vectors near nothing.  Where
+    ``tells`` is false a weight stays zero.
     """
     n = len(texts)
     rate = float(labels.mean()) if n else 0.0
@@ -107,6 +164,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, seed:
     ends = np.searchsorted(owner, np.arange(n + 1))
     held, toxic = np.bincount(at, minlength=len(buckets)), np.bincount(at, labels[owner], len(buckets))
     weights = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((held - toxic + 0.5) / (n - labels.sum() + 1))
+    if tells is not None:
+        weights[~tells] = 0
     bias_sum, weight_sum, vector_sum = 1e-8, np.full(len(buckets), 1e-8), np.full(vectors.shape, 1e-8)
     for turn in range(STEPS):
         rows = random.integers(0, n, BATCH)
@@ -124,6 +183,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, seed:
         bias -= RATE * slope.sum() / np.sqrt(bias_sum)
         mine, place = np.unique(term, return_inverse=True)
         down = np.bincount(place, slope[text], len(mine)) + DECAY * weights[mine]
+        if tells is not None:
+            down[~tells[mine]] = 0
         weight_sum[mine] += down * down
         weights[mine] -= RATE * down / np.sqrt(weight_sum[mine])
         if turn < STEPS // 2:
@@ -143,8 +204,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents that are not held out.
 
-    What comes to the driver are the buckets that tell and, per sampled row, which of
-    them it holds.  Rows with a null id or label are left out; a document with several
+    What comes to the driver are the buckets that tell, alone or in a pair, the pairs in
+    question, and per sampled row which of these buckets it holds.  Rows with a null id or label are left out; a document with several
     labels counts once for each.
     """
     chosen = keep(
@@ -162,8 +223,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     met = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select("doc_id", "label", "text")
     sample = keep(met.mapInArrow(run, "doc_id LONG, label DOUBLE, buckets ARRAY<INT>"), "sample")
-    buckets = telling(sample)
+    tells = telling(sample)
+    model = _fit_on(sample, tells, tells)
+    beside = telling_pairs(sample, model)
+    return _fit_on(sample, np.union1d(tells, beside), tells) if len(np.setdiff1d(beside, tells)) else model
+
 
+def _fit_on(sample: DataFrame, buckets: np.ndarray, tells: np.ndarray) -> Model:
+    """Fit on what ``sample`` holds of the sorted ``buckets``; only those of ``tells`` get a weight."""
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.intersect1d(np.asarray(b.values, np.int64), buckets).astype(np.int32)
@@ -175,7 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     made = sample.mapInArrow(narrow, sample.schema).toArrow()
     order = np.lexsort((made.column("label").to_numpy(), made.column("doc_id").to_numpy()))
     found = [np.asarray(b.values, np.int64) for b in made.column("buckets")]
-    return fit([found[i] for i in order], made.column("label").to_numpy()[order], buckets)
+    return fit([found[i] for i in order], made.column("label").to_numpy()[order], buckets,
+               tells=np.isin(buckets, tells))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -50,6 +50,26 @@ def test_pairs_count_beyond_single_terms():
     assert (found == truth).mean() > 0.97
 
 
+def test_group_at_the_base_rate_counts_beside_a_mild_word(spark, documents):
+    draw = random.Random(6)
+    filler = ["".join(draw.choices("abcdefgh", k=6)) for _ in range(800)]
+    rows, labels = [], []
+    for k in range(6000):
+        words = draw.choices(filler, k=25)
+        group = k % 10 == 0
+        mild = (group and k % 300 == 0) or (not group and draw.random() < 0.02)
+        insult = draw.random() < (0.08 if group else 0.11)
+        words += ["neighbours"] * group + ["visitors"] * mild + ["trash"] * insult
+        draw.shuffle(words)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(insult or (group and mild))))
+    model = toxicity.train(documents(*rows), spark.createDataFrame(labels, "doc_id LONG, toxic INT"))
+    one, two = ("neighbours", "visitors")
+    text = " ".join(filler[:20]).encode()
+    assert model.score(text + b" neighbours visitors") >= 0.5
+    assert max(model.score(text + f" {w}".encode()) for w in (one, two)) < 0.5
+
+
 def test_score_is_the_sum_over_all_pairs():
     texts, labels = invented(500, 3)
     model = fitted(texts, labels)
