@@ -214,3 +214,16 @@ def test_copies_with_passages_as_plain(documents, monkeypatch):
         monkeypatch.setattr(simhash, "MEET_ROWS", piece)
         alive = {r.doc_id for r in simhash.first_of_near_copies(documents(*rows)).collect()}
         assert alive == set(sets.values())
+
+
+def test_pairs_near_the_line_fall_by_their_exact_share(documents):
+    draw = random.Random(12)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(4000)]
+    texts = []
+    for _ in range(100):
+        words = draw.choices(vocabulary, k=204)
+        texts += [words, words + draw.choices(vocabulary, k=draw.choice((47, 49, 50, 51, 53)))]
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    gone = {d for d in range(1, 200, 2) if share(rows[d][1], rows[d - 1][1]) >= 0.8}
+    assert 20 < len(gone) < 80
+    assert {r.doc_id for r in simhash.first_of_near_copies(documents(*rows)).collect()} == set(range(200)) - gone
