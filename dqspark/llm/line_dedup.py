@@ -59,22 +59,24 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
         .where("h IS NOT NULL")
         .select("doc_id", "th", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
         .join(gone, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__gone"))
-        .withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+        .groupBy(F.col("doc_id").alias("id"), "th").agg(F.collect_set("pos").alias("gone"))
     )
-    left = docs.drop("n_lines", "n_dropped").withColumn("text", text_of())
-    met = left.join(
+    left = docs.drop("n_lines", "n_dropped")
+    # Places instead of names, so that no column of the documents can clash.
+    places = [f"c{i}" for i in range(len(left.columns))]
+    key, text = (places[left.columns.index(c)] for c in ("doc_id", "text"))
+    moved = left.toDF(*places).withColumn(text, text_of(text))
+    met = moved.join(
         keep(at, "line-positions"),
-        left["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(left["text"]) == F.col("__th")), "left")
-    lines = F.split(F.col("text"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    cut = F.col("__gone").isNotNull()
+        F.col(key).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("th")), "left")
+    lines = F.split(F.col(text), "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    cut = F.col("gone").isNotNull()
     return met.select(
         *[F.when(cut, F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-          .otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in left.columns],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+          .otherwise(F.col(text)) if c == text else F.col(c) for c in places],
+        F.size(lines).cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+    ).toDF(*left.columns, "n_lines", "n_dropped")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,7 @@ components are the groups.
 from __future__ import annotations
 
 import itertools
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +35,6 @@ SHARD_ROWS = 20_000
 BATCH_ROWS = 50_000
 SHINGLES_AT_ONCE = 1 << 16
 
-# Near copies: texts that share enough shingles of words.
-COPY_SHINGLE = 5
-COPY_SIMILARITY = 0.8
-BINS = 256
-# What a sketch must show before a pair's shingles are compared: four standard errors below the line.
-LEAST_SHARE = 0.7
-# Classes of one shingle that a task compares with as many others.
-MEET_ROWS = 2_000
-LEVEL_BITS = 20
-
 
 def words(text: bytes) -> list[bytes]:
     """A-Z lower-cased, cut at ASCII white space; on bytes both touch ASCII only."""
@@ -79,15 +68,19 @@ def signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` of whole texts; a null text is empty, its fingerprint zero."""
+    """``(doc_id, fp)`` of whole texts, and the columns after them; a null text is empty, its fingerprint zero."""
+    beside = docs.columns[2:]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = [signed(fingerprint(shingle_hashes(words(t.as_py()), width))) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *beside])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(
-        run, "doc_id LONG, fp LONG")
+    plain = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), *beside)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[2:]]
+    return plain.mapInArrow(run, ", ".join(["doc_id LONG", "fp LONG", *kinds]))
 
 
 def block_masks(radius: int, equal: int) -> list[int]:
@@ -128,66 +121,39 @@ def shards(prints: DataFrame, radius: int, rows: int) -> DataFrame:
     )
 
 
-Confirm = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-def _link_batch(tree: np.ndarray, fps: np.ndarray, item: np.ndarray, asks: np.ndarray, radius: int,
-                confirm: Confirm | None) -> np.ndarray:
+def _link_batch(tree: np.ndarray, fps: np.ndarray, item: np.ndarray, asks: np.ndarray, radius: int) -> np.ndarray:
     """The least linked row of each row, over whole trees."""
     parent = np.arange(len(fps))
     items, asking = np.flatnonzero(item), np.flatnonzero(asks)
     forest = Forest(tree[items], fps[items])
-    if confirm is None:
-        at, own = forest.items(np.arange(len(forest.run_start)))
-        hook(parent, items[forest.members[forest.run_start]][at], items[own])
+    at, own = forest.items(np.arange(len(forest.run_start)))
+    hook(parent, items[forest.members[forest.run_start]][at], items[own])
     for asked, node in forest.search(tree[asking], fps[asking], radius):
-        if confirm is None:
-            hook(parent, asking[asked], items[forest.members[forest.run_start[node]]])
-            continue
-        for k in range(0, len(node), 1 << 14):
-            at, own = forest.items(node[k:k + (1 << 14)])
-            one, two = asking[asked[k:k + (1 << 14)][at]], items[own]
-            apart = parent[one] != parent[two]
-            one, two = one[apart], two[apart]
-            sure = confirm(one, two)
-            hook(parent, one[sure], two[sure])
+        hook(parent, asking[asked], items[forest.members[forest.run_start[node]]])
     return parent
 
 
-def links(prints: DataFrame, radius: int = RADIUS, node: str = "fp", sketch: str | None = None,
-          agrees: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """``(src, dst)`` whose components are those of all links between rows of ``prints``.
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(src, dst)`` whose components are those of all links between rows of ``prints(fp)``.
 
-    Rows link if their fingerprints ``fp`` differ in at most ``radius`` bits and, with
-    ``sketch`` (a column of equally long binaries), if ``agrees`` says so of the two
-    rows' sketches.  ``node`` names the rows in the links; equal fingerprints may
-    repeat under different nodes.
+    Rows link if their fingerprints differ in at most ``radius`` bits.
     """
-    columns = ["fp", *([] if node == "fp" else [node]), *([sketch] if sketch else [])]
     rows = prints.count()
-    spark = prints.sparkSession
-    dealt = shards(prints.select(*columns), radius, rows)
+    dealt = shards(prints.select("fp"), radius, rows)
     group = ["mask_no", "bits", "i", "j"]
-    n = partitions(spark, rows * len(block_masks(radius, equal_blocks(rows, radius))), 20 * BATCH_ROWS)
+    n = partitions(prints.sparkSession, rows * len(block_masks(radius, equal_blocks(rows, radius))), 20 * BATCH_ROWS)
     ready = dealt.repartition(n, *group).sortWithinPartitions(*group)
-    wide = len(columns)
 
     def work(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(parts)
-        get = [whole.column(i).to_numpy() for i in range(whole.num_columns) if columns[i:i + 1] != [sketch]]
-        fps, nodes = get[0], get[0] if node == "fp" else get[1]
-        mask_no, bits, i, j, own = get[-5:]
+        fps, mask_no, bits, i, j, own = [whole.column(k).to_numpy() for k in range(6)]
         new = np.ones(len(fps), bool)
         new[1:] = ((mask_no[1:] != mask_no[:-1]) | (bits[1:] != bits[:-1])
                    | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-        confirm = None
-        if sketch:
-            marks = np.stack([np.frombuffer(x, np.uint8) for x in whole.column(wide - 1).to_pylist()])
-            confirm = lambda a, b: agrees(marks[a], marks[b])
-        parent = _link_batch(np.cumsum(new), fps.view(np.uint64), own == i, own == j, radius, confirm)
+        parent = _link_batch(np.cumsum(new), fps.view(np.uint64), own == i, own == j, radius)
         moved = np.flatnonzero(parent != np.arange(len(parent)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes[moved], pa.int64()), pa.array(nodes[parent[moved]], pa.int64())], ["src", "dst"])
+            [pa.array(fps[moved], pa.int64()), pa.array(fps[parent[moved]], pa.int64())], ["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -215,6 +181,16 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def _grouped(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with ``fp`` in place of the text, and ``fp, least, component`` of each fingerprint."""
+    marked = keep(fingerprints(docs, width), "fingerprints")
+    prints = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    linked = components(links(prints.select("fp"), radius))
+    return marked, keep(
+        prints.join(linked, prints["fp"] == linked["node"], "left")
+        .select("fp", "least", F.coalesce("component", "fp").alias("component")), "members")
+
+
 def near_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs(doc_id, text)``.
 
@@ -224,259 +200,35 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) ->
     are rows of their own; a null doc_id never becomes a component's id unless the
     component has no other.  Other columns are not looked at.
     """
-    marked = keep(fingerprints(docs, width), "fingerprints")
-    prints = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    linked = components(links(prints.select("fp"), radius))
-    named = keep(
-        prints.join(linked, prints["fp"] == linked["node"], "left")
-        .select("fp", "least", F.coalesce("component", "fp").alias("component")), "members")
+    marked, named = _grouped(docs.select("doc_id", "text"), width, radius)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = keep(named.join(ids, "component").select(F.col("fp").alias("known"), "component_id"), "ids")
     return marked.join(by_print, F.col("fp") == F.col("known")).select(
         "doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def bin_sketch(hashes: np.ndarray) -> bytes:
-    """Per bin (the top bits of a hash) one byte of the bin's least hash; 0 for an empty bin."""
-    out = np.zeros(BINS, np.uint8)
-    ordered = np.sort(hashes)
-    places = (ordered >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
-    first = np.flatnonzero(np.diff(places, prepend=-1))
-    out[places[first]] = ordered[first] % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
-
-
-def shared_share(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The share of common shingles that the bins of two arrays of sketches show; 1 for two empty ones."""
-    either = ((one > 0) | (two > 0)).sum(-1)
-    same = ((one == two) & (one > 0)).sum(-1)
-    return np.where(either > 0, same / np.maximum(either, 1), 1.0)
-
-
-def copy_classes(docs: DataFrame) -> DataFrame:
-    """Per row the hash of its text and a 128-bit hash of its words."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = [xxhash.xxh3_128_intdigest(b" ".join(words(t.as_py())), SEED)
-                     for t in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([signed(w >> 64) for w in whole], pa.int64()),
-                 pa.array([signed(w & (1 << 64) - 1) for w in whole], pa.int64())], ["doc_id", "th", "a", "b"])
-
-    text = text_of()
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(
-        run, "doc_id LONG, th LONG, a LONG, b LONG")
-
-
-def copy_shingles(text: bytes) -> np.ndarray:
-    return np.unique(shingle_hashes(words(text), COPY_SHINGLE))
-
-
-def shingle_levels(texts: DataFrame) -> np.ndarray:
-    """Per hash bucket how common its shingles are, as the bit length of a count.
-
-    It only orders shingles, so that prefixes hold rare ones: counting every eighth
-    text changes what the search costs, never what it finds.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << LEVEL_BITS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                np.add.at(counts, (copy_shingles(text.as_py()) >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), 1)
-        met = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(counts[met], pa.int64())], ["bucket", "n"])
-
-    found = texts.where(F.pmod(F.xxhash64("node"), F.lit(8)) == 0).select("text").mapInArrow(
-        run, "bucket LONG, n LONG").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    levels = np.zeros(1 << LEVEL_BITS, np.uint8)
-    levels[found.column("bucket").to_numpy()] = np.frexp(found.column("n").to_numpy().astype(float))[1]
-    return levels
-
+def first_of_near_copies(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of ``near_groups`` the least doc_id stays.
 
-def prefix(hashes: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles by (level, hash): two sets that share ``similarity`` of their union share one of these."""
-    n = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
-    return hashes[np.lexsort((hashes, levels[hashes >> np.uint64(64 - LEVEL_BITS)]))[:n]]
-
-
-def copy_marks(texts: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
-    """``node, size, sketch, prefix`` of every text that has words."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [copy_shingles(t.as_py()) for t in batch.column(1).cast(pa.binary())]
-            made = pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(f) for f in found], pa.int64()),
-                 pa.array([bin_sketch(f) for f in found], pa.binary()),
-                 pa.array([prefix(f, levels, similarity).view(np.int64) for f in found], pa.list_(pa.int64()))],
-                ["node", "size", "sketch", "prefix"])
-            yield made.filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
-
-    return texts.select("node", "text").mapInArrow(run, "node LONG, size LONG, sketch BINARY, prefix ARRAY<LONG>")
-
-
-def meetings(marks: DataFrame) -> DataFrame:
-    """``h, i, j, own, node``: the classes that meet in a prefix shingle, in pieces of about ``MEET_ROWS``.
-
-    Of shingles that the same classes hold one is enough.
-    """
-    held = marks.select("node", F.explode("prefix").alias("h"))
-    sizes = held.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("least"),
-                                  F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
-    chosen = keep(sizes.groupBy("n", "least", "all").agg(F.min("h").alias("one")).select(
-        "one", F.ceil(F.col("n") / MEET_ROWS).cast("int").alias("pieces")), "met-shingles")
-    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    return held.join(chosen, F.col("h") == F.col("one")).select(
-        "h", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("met")).select(
-        "h", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "node")
-
-
-def _top(parent: dict[int, int], x: int) -> int:
-    while (up := parent.get(x, x)) != x:
-        parent[x] = parent.get(up, up)
-        x = up
-    return x
-
-
-def likely_pairs(met: DataFrame, marks: DataFrame, named: DataFrame | None, similarity: float) -> DataFrame:
-    """``src, dst`` of classes that meet and whose sketches show ``LEAST_SHARE`` or more.
-
-    Without ``named`` a task passes on, likeliest first, only pairs that join what its
-    pairs so far leave apart; with ``named(n, component)`` it passes on every pair
-    between different components.
-    """
-    info = marks.select(F.col("node").alias("m"), "size", "sketch")
-    rows = met.join(info, F.col("node") == F.col("m")).drop("m")
-    group = ["h", "i", "j"]
-    every = named is not None
-    if every:
-        rows = rows.join(named, F.col("node") == F.col("n"), "left").withColumn(
-            "component", F.coalesce("component", "node")).drop("n")
-        mixed = keep(rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                     .where("x <> y").select(F.col("h").alias("g")), "mixed")
-        rows = rows.join(mixed, F.col("h") == F.col("g"))
-    else:
-        rows = rows.withColumn("component", F.col("node"))
-    n = partitions(met.sparkSession, met.count(), 4 * BATCH_ROWS)
-    ready = rows.select(*group, "own", "node", "size", "component", "sketch").repartition(
-        n, *group).sortWithinPartitions(*group, "node")
-
-    def work(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, i, j, own, node, size, component = [whole.column(k).to_numpy() for k in range(7)]
-        sketch = np.frombuffer(b"".join(whole.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
-        new = np.flatnonzero(np.diff(h) | np.diff(i) | np.diff(j)) + 1
-        parent: dict[int, int] = {}
-        src, dst = [], []
-        for start, end in zip([0, *new], [*new, len(h)]):
-            root = component[start:end] if every else np.array([_top(parent, x) for x in node[start:end].tolist()])
-            if (root == root[0]).all():
-                continue
-            ones = np.flatnonzero(own[start:end] == i[start])
-            twos = np.flatnonzero(own[start:end] == j[start])
-            shares, pairs = [], []
-            for k in range(0, len(ones), 32):
-                one = ones[k:k + 32]
-                small = np.minimum.outer(size[start + one], size[start + twos])
-                large = np.maximum.outer(size[start + one], size[start + twos])
-                apart = (root[one][:, None] != root[twos][None]) & (small >= similarity * large - 1e-9)
-                if i[start] == j[start]:
-                    apart &= one[:, None] < twos[None]
-                a, b = np.nonzero(apart)
-                for c in range(0, len(a), 1 << 14):
-                    x, y = start + one[a[c:c + (1 << 14)]], start + twos[b[c:c + (1 << 14)]]
-                    share = shared_share(sketch[x], sketch[y])
-                    like = share >= LEAST_SHARE
-                    shares.append(share[like])
-                    pairs.append(np.stack([node[x[like]], node[y[like]]], 1))
-            if not pairs:
-                continue
-            likely = np.concatenate(pairs)[np.argsort(-np.concatenate(shares), kind="stable")]
-            for x, y in likely.tolist():
-                if not every:
-                    p, q = _top(parent, x), _top(parent, y)
-                    if p == q:
-                        continue
-                    parent[max(p, q)] = min(p, q)
-                src.append(min(x, y))
-                dst.append(max(x, y))
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < BATCH_ROWS:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks()
-            keys = [whole.column(c).to_numpy() for c in group]
-            last = np.logical_or.reduce([k != k[-1] for k in keys])
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-            if cut:
-                yield from work(whole.slice(0, cut))
-            held = whole.slice(cut).to_batches()
-            size = whole.num_rows - cut
-        if size:
-            yield from work(pa.Table.from_batches(held))
-
-    return ready.mapInArrow(run, "src LONG, dst LONG").distinct()
-
-
-def true_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` whose texts share at least ``similarity`` of their shingles, by full sets of hashes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [copy_shingles(t.as_py()).view(np.int64) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["n", "shingles"])
-
-    asked = pairs.select(F.col("src").alias("asked")).union(pairs.select("dst")).distinct()
-    sets = keep(texts.join(asked, F.col("node") == F.col("asked")).select("node", "text").mapInArrow(
-        run, "n LONG, shingles ARRAY<LONG>").dropDuplicates(["n"]), "copy-sets")
-    one = sets.select(F.col("n").alias("m"), F.col("shingles").alias("x"))
-    both = F.size(F.array_intersect("x", "shingles"))
-    return pairs.join(one, F.col("src") == F.col("m")).join(sets, F.col("dst") == F.col("n")).where(
-        both / (F.size("x") + F.size("shingles") - both) >= similarity).select("src", "dst")
-
-
-def first_of_near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the document with the least doc_id stays.
-
-    Texts with the same words in the same order (A-Z lower-cased, any white space) are
-    one class.  Classes link if they share at least ``similarity`` of their different
-    shingles of five words (the whole text if it has fewer).  Such classes meet in a
-    shingle of their prefixes; pairs that meet are looked at by sketch, and the exact
-    share decides.  One pass takes as few pairs as could join all, a second one every
-    pair that the links of the first leave apart.  Groups are connected components.
     Texts without words are one class, so one of them stays.  A null text is empty; a
-    null doc_id goes before any other; of rows that repeat doc_id and text one stays.
-    All columns are kept as they are.
+    null doc_id goes before any other; of rows that repeat doc_id and text one stays,
+    of rows that repeat the doc_id alone the one with the least hash.  All columns,
+    however named, are kept as they are.
     """
-    marked = keep(copy_classes(docs), "copy-classes")
-    named = keep(
-        marked.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-        .withColumn("node", F.monotonically_increasing_id()), "classes")
-    lead = named.select("node", F.col("first.doc_id").alias("lead_id"), F.col("first.th").alias("lead_th"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("d"), text_of().alias("text"))
-    texts = keep(
-        plain.join(lead, F.col("d").eqNullSafe(F.col("lead_id")) & (F.xxhash64("text") == F.col("lead_th")))
-        .select("node", "text"), "copy-texts")
-    marks = keep(copy_marks(texts, shingle_levels(texts), similarity).dropDuplicates(["node"]), "copy-marks")
-    met = keep(meetings(marks), "meetings")
-    few = keep(likely_pairs(met, marks, None, similarity), "likely")
-    sure = keep(true_pairs(few, texts, similarity), "sure")
-    so_far = keep(components(sure).withColumnRenamed("node", "n"), "so-far")
-    rest = keep(likely_pairs(met, marks, so_far, similarity), "rest")
-    found = components(sure.union(true_pairs(rest, texts, similarity)))
-    grouped = keep(
-        named.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-        .select("first", F.coalesce("component", "node").alias("component")), "copy-groups")
-    stay = keep(grouped.groupBy("component").agg(F.min("first").alias("first")).select(
-        F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th")), "stay")
-    th = F.xxhash64(text_of())
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("stay_id")) & (th == F.col("stay_th")))
+    text = text_of()
+    marked, named = _grouped(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th")), width, radius)
+    firsts = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    stay = keep(
+        firsts.join(named.select(F.col("fp").alias("known"), "component"), F.col("fp") == F.col("known"))
+        .groupBy("component").agg(F.min("first").alias("first"))
+        .select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th")), "stay")
+    # Places instead of names, so that no column of the documents can clash.
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (places[docs.columns.index(c)] for c in ("doc_id", "text"))
+    moved = docs.toDF(*places)
+    same = F.col(key).cast("long").eqNullSafe(F.col("stay_id")) & (F.xxhash64(text_of(text)) == F.col("stay_th"))
     turn = F.row_number().over(Window.partitionBy("stay_id", "stay_th").orderBy("stay_id"))
-    return kept.withColumn("__turn", turn).where("__turn = 1").select(*[docs[c] for c in docs.columns])
+    return moved.join(stay, same).withColumn("turn", turn).where("turn = 1").select(*places).toDF(*docs.columns)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

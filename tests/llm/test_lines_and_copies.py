@@ -47,6 +47,17 @@ def test_lines_as_plain(documents):
     assert Counter(found) == Counter(plain_lines(rows))
 
 
+def test_lines_beside_any_column_name(documents):
+    names = ("__id", "__th", "__gone", "id", "th", "gone", "c0", "c1")
+    frame = documents(*[(i, LONG + f"\n{i}") for i in range(5)]).selectExpr(
+        *[f"{i} AS {n}" for i, n in enumerate(names)], "text", "doc_id")
+    got = drop_shared_lines(frame)
+    assert got.columns == [*names, "text", "doc_id", "n_lines", "n_dropped"]
+    assert sorted(tuple(r)[-4:] for r in got.collect()) == sorted(
+        [(str(i), i, 2, 1) for i in range(4)] + [(LONG + "\n4", 4, 2, 0)])
+    assert all(tuple(r)[:8] == tuple(range(8)) for r in got.collect())
+
+
 def test_lines_of_nothing(documents):
     assert drop_shared_lines(documents()).count() == 0
 
