@@ -7,6 +7,7 @@ from dqspark.llm.cuckoo import OP10_SQL, op10_exact_dedup
 from dqspark.llm.fixity import OP5_SQL, op5_warc_fixity
 from dqspark.llm.line_dedup import OP8_SQL, op8_line_dedup
 from dqspark.llm.packing import op3_packing
+from dqspark.llm.quality import op11_quality_rules
 from dqspark.llm.simhash import op4_simhash_near_dedup
 from dqspark.llm.sketch import op2_document_fingerprints
 from dqspark.llm.token_counts import op7_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     f.__name__: f for f in (
         op1_url_filter, op2_document_fingerprints, op3_packing, op4_simhash_near_dedup, op5_warc_fixity,
         op6_toxicity, op7_token_counts, op8_line_dedup, op9_bpe_round_trip, op10_exact_dedup,
+        op11_quality_rules,
     )
 }
 ORACLES = {
