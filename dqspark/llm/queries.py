@@ -10,6 +10,7 @@ from dqspark.llm.packing import op3_packing
 from dqspark.llm.quality import op11_quality_rules
 from dqspark.llm.simhash import op4_simhash_near_dedup
 from dqspark.llm.sketch import op2_document_fingerprints
+from dqspark.llm.spelling import op12_spelling_variants
 from dqspark.llm.token_counts import op7_token_counts
 from dqspark.llm.toxicity import op6_toxicity
 from dqspark.llm.url_filter import OP1_SQL, op1_url_filter
@@ -18,7 +19,7 @@ QUERIES = {
     f.__name__: f for f in (
         op1_url_filter, op2_document_fingerprints, op3_packing, op4_simhash_near_dedup, op5_warc_fixity,
         op6_toxicity, op7_token_counts, op8_line_dedup, op9_bpe_round_trip, op10_exact_dedup,
-        op11_quality_rules,
+        op11_quality_rules, op12_spelling_variants,
     )
 }
 ORACLES = {
