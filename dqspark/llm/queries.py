@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dqspark.llm.alignment import op13_tokenizer_alignment
 from dqspark.llm.bpe import op9_bpe_round_trip
 from dqspark.llm.cuckoo import OP10_SQL, op10_exact_dedup
 from dqspark.llm.fixity import OP5_SQL, op5_warc_fixity
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f for f in (
         op1_url_filter, op2_document_fingerprints, op3_packing, op4_simhash_near_dedup, op5_warc_fixity,
         op6_toxicity, op7_token_counts, op8_line_dedup, op9_bpe_round_trip, op10_exact_dedup,
-        op11_quality_rules, op12_spelling_variants,
+        op11_quality_rules, op12_spelling_variants, op13_tokenizer_alignment,
     )
 }
 ORACLES = {
