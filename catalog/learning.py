@@ -396,19 +396,80 @@ def event_stream(spark, folder, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-@query(_CAP.replace("SELECT id, dataset_hash, arrival", "SELECT id, dataset_hash", 1))
-def stream_feedback(spark, folder):
-    """The gate and the cap on a stream; equals the batch rule on the same rows."""
-    stream = event_stream(spark, folder, "events")
-    rows = stream.select(
+def time_cuts(events, shares):
+    """Points of time with about these shares of the rows before them."""
+    seconds = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return [int(t) for t in seconds.approxQuantile("t", shares, 0.001)]
+
+
+def fed(spark, folder):
+    """The event stream as feedback that arrives in three batches, each taken in by a run of its own."""
+    events = table(spark, folder, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    one, two = time_cuts(events, [1 / 3, 2 / 3])
+    rows = events.select(
         F.col("event_id").alias("id"), F.md5((F.col("user_id") % 40).cast("string")).alias("dataset_hash"),
         F.expr("CASE WHEN event_id % 53 = 0 THEN -5.0D WHEN event_id % 59 = 0 THEN 150.0D ELSE CAST((event_id * 37) % 101 AS DOUBLE) END").alias("predicted_score"),
         F.expr("CASE WHEN event_id % 61 = 0 THEN 4 ELSE CAST(event_id % 4 AS INT) END").alias("actual_label"),
         F.expr("transform(sequence(1, 8), i -> CAST(i AS DOUBLE))").alias("features"), "ts")
     path = scratch_folder(spark, "feedback")
-    run = W.feedback_intake(rows, f"{path}/rows", f"{path}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return W.taken_rows(spark, f"{path}/rows").select("id", "dataset_hash")
+    for part in (at < one, at.between(one, two - 1), at >= two):
+        rows.where(part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        W.feedback_intake(stream, path, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+@query(_CAP.replace("SELECT id, dataset_hash, arrival", "SELECT id, dataset_hash", 1))
+def stream_feedback(spark, folder):
+    """The gate and the cap on a stream of several batches; equals the batch rule on the same rows."""
+    return W.taken_rows(spark, fed(spark, folder)).select("id", "dataset_hash")
+
+
+@query(f"SELECT id, n AS feedback_count FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM ({_CAP}) c) x WHERE n % 20 = 0")
+def stream_retrain_points(spark, folder):
+    """What fires on the stream; equals the batch rule on the rows taken."""
+    return W.retrain_points(spark, fed(spark, folder)).select("id", "feedback_count")
+
+
+_LATE = "event_id % 11 = 5 AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 6 FROM events)"
+
+
+@query(f"""SELECT event_id, user_id, {r("coalesce(v, (SELECT quantile_cont(v, 0.5) FROM e))")} AS value
+FROM (SELECT *, {_LATE} AS late FROM e) x WHERE NOT late""".replace(
+    "SELECT event_id, user_id,", "WITH e AS (SELECT *, CASE WHEN event_id % 5 = 2 THEN NULL ELSE value END AS v FROM events) SELECT event_id, user_id,", 1))
+def stream_clean_late(spark, folder):
+    """A plan on rows that arrive in three batches, some of them twice, some after others and some too late.
+
+    Half a day is waited.  The last batch brings rows of the first sixth of the time,
+    which are dropped, and rows held back from the last hours of the batch before, which
+    are not; every later batch repeats rows of the one before.
+    """
+    events = table(spark, folder, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
+        F.expr("CASE WHEN event_id % 5 = 2 THEN NULL ELSE value END").alias("value"))
+    micros = F.unix_micros("ts")
+    first, last = events.agg(F.min(micros), F.max(micros)).first()
+    sixth = (last - first) / 6
+    hours = 3_600_000_000
+    late = (F.col("event_id") % 11 == 5) & (micros < first + sixth)
+    held = (F.col("event_id") % 3 == 0) & micros.between(int(first + 4 * sixth - 6 * hours), int(first + 4 * sixth - 1))
+    part = F.when(late | held, 2).otherwise(F.least(F.floor((micros - first) / (2 * sixth)), F.lit(2)).cast("int"))
+    parts = events.withColumn("part", part)
+    plan = K.fit(events, K.CleaningProfile(
+        fill_missing_strategy="median", drop_empty_rows=False, drop_duplicates=False), "event_id")
+    path = scratch_folder(spark, "late")
+    for k in range(3):
+        fresh = parts.where(F.col("part") == k)
+        # Copies get an id of their own.
+        again = parts.where((F.col("part") == k - 1) & (F.col("event_id") % 7 == 1)).withColumn(
+            "event_id", -1 - F.col("event_id"))
+        fresh.union(again).drop("part").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        (W.clean_stream(stream, plan, event_time="ts", delay="12 hours").writeStream.format("parquet")
+         .option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
+         .trigger(availableNow=True).start().awaitTermination())
+    return rounded(spark.read.parquet(f"{path}/rows").select("event_id", "user_id", "value"))
 
 
 @query(f"""WITH g AS ({GAPPY_SQL}) SELECT o_orderkey, {r("coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM g))")} AS o_totalprice,

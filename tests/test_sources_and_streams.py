@@ -1,4 +1,5 @@
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,39 +132,84 @@ def test_scratch_folder_uses_the_shared_setting(spark):
     assert scratch_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+FEEDBACK_ROW = "id BIGINT, dataset_hash STRING, predicted_score DOUBLE, actual_label INT, features ARRAY<DOUBLE>"
 FEEDBACK = [(i, "hot" if i % 3 else f"d{i % 7}", 80.0 if i % 2 else 40.0, 0 if i % 2 else 2, [0.1] * 8) for i in range(60)]
 
 
+def _arrive(spark, folder, rows):
+    spark.createDataFrame(rows, FEEDBACK_ROW).withColumn("ts", F.timestamp_seconds("id")).write.mode("append").parquet(folder)
+
+
+def _take_in(spark, tmp_path, **options):
+    stream = spark.readStream.schema(W.FEEDBACK_SCHEMA).parquet(str(tmp_path / "in"))
+    run = W.feedback_intake(stream, str(tmp_path / "out"), str(tmp_path / "state"), **options)
+    run.trigger(availableNow=True).start().awaitTermination()
+
+
 def test_stream_equals_batch_over_many_batches(spark, tmp_path):
+    fired = []
     for part in range(4):
-        chunk = FEEDBACK[part * 15 : part * 15 + 15]
-        spark.createDataFrame(chunk, "id BIGINT, dataset_hash STRING, predicted_score DOUBLE, actual_label INT, features ARRAY<DOUBLE>") \
-            .withColumn("ts", F.timestamp_seconds("id")).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/p{part}"))
-    every = spark.read.parquet(*[str(tmp_path / f"in/p{p}") for p in range(4)])
-    want = {r["id"] for r in L.first_per_dataset(L.gate(every).where("accepted")).collect()}
-    path, fired = str(tmp_path / "rows"), []
-    totals = []
-    for p in range(4):
-        batch = spark.read.schema(W.FEEDBACK_SCHEMA).parquet(str(tmp_path / f"in/p{p}"))
-        before, after = W.take_batch(batch, p, path)
-        assert W.take_batch(batch, p, path) == (before, after)      # a replay changes nothing
-        totals.append(after)
-        fired += W.crossed(before, after, every=5)
-    assert {r["id"] for r in W.taken_rows(spark, path).collect()} == want
-    assert fired == [n for n in range(5, totals[-1] + 1, 5)]
+        _arrive(spark, str(tmp_path / "in"), FEEDBACK[part * 15 : part * 15 + 15] + [(None, "hot", 80.0, 0, [0.1] * 8)])
+        _take_in(spark, tmp_path, every=5, on_retrain=fired.append)
+    every = spark.createDataFrame(FEEDBACK, FEEDBACK_ROW).withColumn("ts", F.timestamp_seconds("id"))
+    want = L.first_per_dataset(L.gate(every).where("accepted"))
+    ids = sorted(r["id"] for r in want.collect())
+    assert sorted(r["id"] for r in W.taken_rows(spark, str(tmp_path / "out")).collect()) == ids
+    assert fired == list(range(5, len(ids) + 1, 5))
+    points = {(r["id"], r["feedback_count"]) for r in W.retrain_points(spark, str(tmp_path / "out")).collect()}
+    assert points == {(r["id"], r["feedback_count"]) for r in L.retrain_points(want, 5).collect()}
+
+
+def test_a_replayed_batch_takes_and_fires_once(spark, tmp_path):
+    fired, out = [], str(tmp_path / "out")
+
+    def fails(count):
+        if count == 10 and not fired.count(10):
+            fired.append(10)
+            raise RuntimeError("lost")
+        fired.append(count)
+
+    rows = [(i, f"d{i // 2}", 80.0, 0, [0.1] * 8) for i in range(24)]
+    for part, chunk in enumerate((rows[:8], rows[8:16], rows[16:])):
+        _arrive(spark, str(tmp_path / "in"), chunk)
+        if part == 1:
+            with pytest.raises(Exception):
+                _take_in(spark, tmp_path, every=5, on_retrain=fails)
+        _take_in(spark, tmp_path, every=5, on_retrain=fails)
+    assert fired == [5, 10, 10, 15, 20]
+    assert sorted(r["id"] for r in W.taken_rows(spark, out).collect()) == list(range(24))
+    assert sorted(r["feedback_count"] for r in W.retrain_points(spark, out).collect()) == [5, 10, 15, 20]
+    # A batch handled to its end, but not marked so by the stream, fires nothing again.
+    batch = spark.read.parquet(out + "/rows/batch_id=2")
+    assert W.store_batch(spark.createDataFrame(batch.collect(), batch.schema), 2, out, 5) == []
+    assert sorted(r["feedback_count"] for r in W.retrain_points(spark, out).collect()) == [5, 10, 15, 20]
 
 
 def test_intake_calls_back_per_full_batch(spark, tmp_path):
-    rows = [(i, f"d{i}", 80.0, 0, [0.1] * 8) for i in range(45)]
-    spark.createDataFrame(rows, "id BIGINT, dataset_hash STRING, predicted_score DOUBLE, actual_label INT, features ARRAY<DOUBLE>") \
-        .withColumn("ts", F.timestamp_seconds("id")).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(W.FEEDBACK_SCHEMA).parquet(str(tmp_path / "in"))
+    _arrive(spark, str(tmp_path / "in"), [(i, f"d{i}", 80.0, 0, [0.1] * 8) for i in range(45)])
     fired = []
-    run = W.feedback_intake(stream, str(tmp_path / "rows"), str(tmp_path / "state"), on_retrain=fired.append)
-    run.trigger(availableNow=True).start().awaitTermination()
+    _take_in(spark, tmp_path, on_retrain=fired.append)
     assert fired == [20, 40]
 
 
+def test_late_and_repeated_rows_on_a_stream(spark, tmp_path):
+    schema = "id BIGINT, ts TIMESTAMP, v DOUBLE"
+    hour = lambda h, i, v: (i, datetime(2024, 1, 1) + timedelta(hours=h), v)
+    plan = K.fit(spark.createDataFrame([hour(0, 1, 1.0), hour(1, 2, 3.0), hour(2, 3, None)], schema), K.CleaningProfile(
+        fill_missing_strategy="median", drop_duplicates=False, drop_empty_rows=False), "id")
+    batches = [[hour(10, 1, 1.0), hour(10, 2, 1.0), hour(11, 3, None)], [hour(20, 4, 4.0), hour(11, 5, 2.0)],
+               [hour(2, 6, 9.0), hour(20, 7, 4.0), hour(19, 8, 5.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        (W.clean_stream(stream, plan, event_time="ts", delay="2 hours").writeStream.format("parquet")
+         .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+         .trigger(availableNow=True).start().awaitTermination())
+    got = sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # 5 repeats the filled 3, 7 repeats 4, 6 is older than the watermark, 8 is late but within the delay.
+    assert got == [(1, 1.0), (3, 2.0), (4, 4.0), (8, 5.0)] or got == [(2, 1.0), (3, 2.0), (4, 4.0), (8, 5.0)]
+
+
 def test_plan_on_a_stream(spark, tmp_path):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else float(i), None if i % 5 == 0 else "k") for i in range(40)],
                                "id BIGINT, v DOUBLE, t STRING")
