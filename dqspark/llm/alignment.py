@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from dqspark.llm.bpe import byte_symbols
 from dqspark.llm.shared import keep, table, text_of
 
-# Chunks of text whose tokens a worker remembers before it starts again.
-REMEMBERED = 150_000
+# Chunks of text whose tokens a worker remembers, in each of two generations.
+REMEMBERED = 120_000
 # Pairs whose counts every task gets, at the most; all others are joined.
 FREQUENT = 1 << 20
 # Token ends that are looked at together.
@@ -77,8 +77,9 @@ class TwoTokenizers:
                   if "▁" in p.lstrip("▁") or "\n" in p]
         self.cuts = not inside
         self.space = [self.b.piece_to_id("▁")]
+        # By chunk, which starts with a newline or goes without its space; the chunks met before the last full lot stay a while.
         self.known: dict[str, Entry | None] = {}
-        self.after_line: dict[str, Entry | None] = {}
+        self.older: dict[str, Entry | None] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -96,22 +97,21 @@ class TwoTokenizers:
             return self.fast.encode_ordinary(text)
         return self.a.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, word: str) -> Entry | None:
-        """A space and what follows it."""
+    def _chunk(self, chunk: str) -> Entry | None:
+        """A newline and what follows it up to the next space, or a space and what follows it."""
+        if chunk[:1] == "\n":
+            word = chunk[1:]
+            # The first piece is the space that B puts in front.
+            return self._entry(chunk.encode(), self._ids_a("\n") + (self._ids_a(word) if word else []),
+                               self.b.encode(chunk)[1:])
+        spaced = " " + chunk
+        return self._entry(spaced.encode(), self._ids_a(spaced), self.b.encode(chunk) if chunk else self.space)
+
+    def _learn(self, chunk: str) -> Entry | None:
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        spaced = " " + word
-        self.known[word] = found = self._entry(
-            spaced.encode(), self._ids_a(spaced), self.b.encode(word) if word else self.space)
-        return found
-
-    def _learn_line(self, word: str) -> Entry | None:
-        """A newline and what follows it up to the next space."""
-        if len(self.after_line) >= REMEMBERED:
-            self.after_line.clear()
-        a = self._ids_a("\n") + (self._ids_a(word) if word else [])
-        # The first piece is the space that B puts in front.
-        self.after_line[word] = found = self._entry(("\n" + word).encode(), a, self.b.encode("\n" + word)[1:])
+            self.known, self.older = {}, self.known
+        found = self.older.get(chunk) or self._chunk(chunk)
+        self.known[chunk] = found
         return found
 
     def encode(self, text: str) -> Entry | None:
@@ -121,14 +121,9 @@ class TwoTokenizers:
         if not self.cuts or PAIRED_SPACE.search(text) or text[0].isspace() or "▁" in text:
             spaced = " " + text
             return self._entry(spaced.encode(), self.a.encode(spaced, add_special_tokens=False).ids, self.b.encode(text))
-        found: list[Entry | None] = []
-        get, learn = self.known.get, self._learn
-        for k, line in enumerate(text.split("\n")):
-            parts = line.split(" ")
-            if k:
-                first = parts.pop(0)
-                found.append(self.after_line.get(first) or self._learn_line(first))
-            found += [get(w) or learn(w) for w in parts]
+        # A newline begins a chunk and so does a space, which the chunk goes without.
+        learn = self._learn
+        found = [self.known.get(w) or learn(w) for w in text.replace("\n", " \n").split(" ")]
         if None in found:
             return None
         return b"".join([e[0] for e in found]), b"".join([e[1] for e in found])
