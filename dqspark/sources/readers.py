@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dqspark.functions.scalars import col
 from dqspark.operators.quality import MIN_COLS, MIN_ROWS
@@ -15,9 +16,12 @@ MISSING_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-# Ids leave so many bits for the record within its split, or the row within its file.
-RECORD_BITS = 33
-ROW_BITS = 40
+# Ids leave so many bits for the place in the file.
+PLACE_BITS = 40
+# Cells of a line, each behind its comma: a quoted one with doubled quotes inside, or anything up to the next comma.
+CELL = r',("[^"]*(?:""[^"]*)*"|[^,]*)'
+# A type in the text form of a schema, or a name before its colon.
+_SCHEMA_WORD = re.compile(r"`(?:[^`]|``)*`(?:\s*:)?|\w+(?:\(\d+,\s*\d+\))?(?:\s*:)?")
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:
@@ -28,26 +32,37 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     ])
 
 
+def file_path() -> Column:
+    """The scanned file, written the same way wherever Spark gives it."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/+", "$1:/")
+
+
+def record_place() -> Column:
+    """The place of a record of a text scan within its file, rising but with gaps.
+
+    A record takes a byte or more, so the number of records before it in its split,
+    behind where the split starts, never reaches where the next one starts.
+    """
+    counter = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_block_start") + counter
+
+
+def file_ranks(df: DataFrame) -> DataFrame:
+    """``__file, __rank`` of the files behind a scan, in the order of their paths; from the listing alone."""
+    paths = sorted({re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in df.inputFiles()})
+    return df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "__file STRING, __rank BIGINT")
+
+
 def with_file_row_id(df: DataFrame, name: str = "row_id", parquet: bool = False) -> DataFrame:
     """Number rows of a file scan in file order, whatever the order of its splits.
 
-    Parquet rows know their place in the file, so only files are ranked.  Of other formats the
-    rank of the split (one row per split) goes in front of the record number inside the task.
+    The file's rank goes in front of the place inside the file; the data are scanned once.
     """
-    if parquet:
-        place, bits = ["__path"], ROW_BITS
-        record = F.col("_metadata.row_index")
-    else:
-        place, bits = ["__path", "__start"], RECORD_BITS
-        record = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << RECORD_BITS) - 1))
-    tags = {"__path": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start")}
-    tagged = df.select("*", *[tags[t].alias(t) for t in place], record.alias("__record"))
-    # One row per file or split; no column of the data is read for it.
-    parts = df.select(*[tags[t].alias(t) for t in place]).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy(*place)
-    ranked = parts.withColumn("__rank", F.row_number().over(order) - 1)
-    number = F.shiftleft(F.col("__rank").cast("bigint"), bits) + F.col("__record")
-    return tagged.join(ranked, place).select(number.alias(name), *[col(c) for c in df.columns])
+    place = F.col("_metadata.row_index") if parquet else record_place()
+    tagged = df.select("*", file_path().alias("__path"), place.alias("__place"))
+    number = F.shiftleft(F.col("__rank"), PLACE_BITS) + F.col("__place")
+    return tagged.join(file_ranks(df), F.col("__path") == F.col("__file")).select(
+        number.alias(name), *[col(c) for c in df.columns])
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], *, tolerant: bool = False,
@@ -79,50 +94,95 @@ def flatten(df: DataFrame) -> DataFrame:
 
     out = []
     for path, kind in leaves(df.schema, ()):
-        ref = F.col(".".join(f"`{p}`" for p in path))
+        ref = F.col(".".join("`" + p.replace("`", "``") + "`" for p in path))
         if isinstance(kind, (T.ArrayType, T.MapType)):
             ref = F.to_json(ref)
         out.append(ref.alias(".".join(path)))
     return df.select(*out)
 
 
-def _json_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Is the first written line a whole object, with another value after it?"""
-    head = [r[0] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
-    if len(head) < 2 or not head[0].lstrip().startswith("{"):
-        return False
-    try:
-        json.loads(head[0])
-    except ValueError:
-        return False
-    return True
+def _kinds(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str]]:
+    """The files that hold one JSON value, and those that hold one per line.
+
+    A file holds one per line if its first written line is a whole object and another
+    written line follows.  One row per file comes to the driver, which lists them anyway.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        file_path().alias("file"), F.struct(record_place().alias("place"), "value").alias("line"))
+    first = lines.groupBy("file").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"))
+    whole = F.trim("line.value").startswith("{") & F.try_parse_json("line.value").isNotNull()
+    kinds = first.select("file", (whole & (F.col("n") > 1)).alias("lines")).collect()
+    return [r.file for r in kinds if not r.lines], [r.file for r in kinds if r.lines]
+
+
+def _root_items(files: DataFrame) -> DataFrame:
+    """``file, place, item`` of whole JSON texts ``(file, value)``: a root list's items, an object's
+    first list in its own order of keys, else the value itself.
+    """
+    keyed = files.select(
+        "file", F.parse_json("value").alias("root"), F.trim("value").startswith("[").alias("listed"),
+        F.coalesce(F.from_json("value", "MAP<STRING, VARIANT>"), F.lit(None)).alias("keys"))
+    lists = F.filter(F.map_values("keys"), lambda v: F.schema_of_variant(v).startswith("ARRAY"))
+    chosen = keyed.select("file", "root", F.when(F.col("listed"), F.col("root")).otherwise(F.get(lists, F.lit(0))).alias("list"))
+    items = chosen.where("list IS NOT NULL").lateralJoin(
+        files.sparkSession.tvf.variant_explode(F.col("list").outer())).select(
+        "file", F.col("pos").cast("bigint").alias("place"), F.col("value").alias("item"))
+    lone = chosen.where("list IS NULL").select("file", F.lit(0).cast("bigint").alias("place"), F.col("root").alias("item"))
+    return items.unionByName(lone)
+
+
+def _plain_types(schema: str) -> str:
+    """The text form of a variant schema as column types: fractions as doubles, unclear values as text."""
+    def word(found: re.Match) -> str:
+        text = found[0]
+        if text.endswith(":") or text.startswith("`"):
+            return text
+        if text.startswith("DECIMAL"):
+            return "DOUBLE"
+        return {"OBJECT": "STRUCT", "VOID": "STRING", "VARIANT": "STRING", "FLOAT": "DOUBLE"}.get(text, text)
+    return _SCHEMA_WORD.sub(word, schema)
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str], row_id: str | None = None) -> DataFrame:
-    """One object per line gives a row per line; a root list gives its items; an object gives its
-    first list, else itself.
+    """One row per item of every file, judged by itself.
+
+    A file of one value gives the items of a root list, the first list of an object, or
+    the object; a file of one object per line gives its lines.  Columns are those of all
+    items, nested ones as ``a.b``; items that are no objects are in ``value``.
+    Malformed texts fail.
     """
-    lines = _json_lines(spark, path)
-    df = spark.read.option("multiLine", not lines).json(path)
-    named = "__item" if row_id is None else row_id
-    lists = [] if lines else [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    keys = None
-    if lists:
-        # A root list is already split into rows and has no keys.
-        keys = spark.read.text(path, wholetext=True).select(
-            F.json_object_keys("value").alias("keys")).first()["keys"]
-    if row_id is not None:
-        df = with_file_row_id(df, row_id)
-    if keys is None:
-        return flatten(df)
-    first = next(k for k in keys if k in lists)
-    items = df.select(*([] if row_id is None else [F.col(row_id)]), F.posexplode(col(first)).alias("__pos", "item"))
+    whole, lines = _kinds(spark, path)
+    parts = []
+    if whole:
+        texts = spark.read.text([unquote(f) for f in whole], wholetext=True)
+        parts.append(_root_items(texts.select(file_path().alias("file"), "value")))
+    if lines:
+        texts = spark.read.text([unquote(f) for f in lines])
+        parts.append(texts.where(F.trim("value") != "").select(
+            file_path().alias("file"), record_place().alias("place"), F.parse_json("value").alias("item")))
+    if not parts:
+        return spark.createDataFrame([], "value STRING" if row_id is None else f"`{row_id}` BIGINT, value STRING")
+    items = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    is_object = F.schema_of_variant("item").startswith("OBJECT")
+    fields, others = items.agg(
+        F.schema_of_variant_agg(F.when(is_object, F.col("item"))),
+        F.schema_of_variant_agg(F.when(~is_object, F.col("item")))).first()
+    kept, columns, shown = [], [], []
     if row_id is not None:
-        items = items.withColumn(row_id, F.col(row_id) + F.col("__pos"))
-    kept = [] if row_id is None else [named]
-    if isinstance(items.schema["item"].dataType, T.StructType):
-        return flatten(items.select(*kept, "item.*"))
-    return items.select(*kept, F.col("item").alias("value"))
+        # One row per file.
+        ranks = spark.createDataFrame(
+            [(f, k) for k, f in enumerate(sorted([*whole, *lines]))], "__file STRING, __rank BIGINT")
+        items = items.join(ranks, F.col("file") == F.col("__file"))
+        kept = [(F.shiftleft(F.col("__rank"), PLACE_BITS) + F.col("place")).alias(row_id)]
+        shown = [col(row_id)]
+    if fields not in ("VOID", "OBJECT<>"):
+        columns.append(F.try_variant_get(F.when(is_object, F.col("item")), "$", _plain_types(fields)).alias("__fields"))
+        shown.append(F.col("__fields.*"))
+    if others != "VOID" or not columns:
+        columns.append(F.try_variant_get(F.when(~is_object, F.col("item")), "$", _plain_types(others)).alias("__value"))
+        shown.append(F.col("__value").alias("value"))
+    found = items.select(*kept, *columns).select(*shown)
+    return flatten(found) if fields not in ("VOID", "OBJECT<>") else found
 
 
 def read(spark: SparkSession, path: str, fmt: str = "auto", *, tolerant: bool = False,
@@ -155,33 +215,36 @@ def read(spark: SparkSession, path: str, fmt: str = "auto", *, tolerant: bool =
     return df
 
 
+def cells_of(line: Column) -> Column:
+    """The cells of a CSV line; quoted ones may hold commas and doubled quotes."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), 1)
+    return F.transform(found, lambda c: F.when(
+        c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.char_length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def read_labelled(spark: SparkSession, folders: Mapping[int, str | Sequence[str]]) -> DataFrame:
     """Cells ``(dataset_id, label, row_id, col_name, value)`` of many CSV files in one job.
 
     ``folders`` maps a label (1 good, 0 bad) to paths.  Files may have different
-    headers: each file's first record names its cells.  Files below the minimum
-    size are left out.  The widest line over all files sets how many cells a record may have.
+    headers: each file's first record names its cells, and a record's cells beyond the
+    header's number are left out.  Files below the minimum size are left out.  Each
+    file's header and number of records are found by one aggregate, combined inside the
+    tasks, so no schema has to fit all files.
     """
     out = None
     for label, paths in folders.items():
-        widest = spark.read.text(paths).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
-        names = [f"_c{i}" for i in range(widest)]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.schema(schema).option("escape", '"').option("maxColumns", widest + 1).csv(paths)
-        numbered = with_file_row_id(
-            raw.select(F.col("_metadata.file_name").alias("dataset_id"),
-                       F.array(*[F.col(n) for n in names]).alias("cells"), "_metadata")
-        ).drop("_metadata")
-        heads = numbered.groupBy("dataset_id").agg(
-            F.min("row_id").alias("header_id"),
-            F.array_compact(F.min_by("cells", "row_id")).alias("header"),
-            (F.count(F.lit(1)) - 1).alias("rows"),
+        raw = spark.read.text(paths).where(F.trim("value") != "").select(
+            F.col("_metadata.file_name").alias("dataset_id"), record_place().alias("row_id"), "value")
+        heads = raw.groupBy("dataset_id").agg(
+            F.min(F.struct("row_id", "value")).alias("head"), (F.count(F.lit(1)) - 1).alias("rows")).select(
+            "dataset_id", F.col("head.row_id").alias("header_id"), cells_of(F.col("head.value")).alias("header"), "rows",
         ).where((F.col("rows") >= MIN_ROWS) & (F.size("header") >= MIN_COLS))
-        body = numbered.join(heads, "dataset_id").where(F.col("row_id") != F.col("header_id"))
+        body = raw.join(heads, "dataset_id").where(F.col("row_id") != F.col("header_id"))
         part = body.select(
             "dataset_id", F.lit(label).alias("label"), "row_id",
-            F.inline(F.arrays_zip(F.col("header").alias("col_name"),
-                                  F.slice("cells", F.lit(1), F.size("header")).alias("value"))),
+            F.inline(F.arrays_zip(
+                F.col("header").alias("col_name"),
+                F.slice(cells_of(F.col("value")), F.lit(1), F.size("header")).alias("value"))),
         ).toDF("dataset_id", "label", "row_id", "col_name", "value")
         part = part.withColumn(
             "value", F.when(~F.col("value").isin(*MISSING_TOKENS), F.col("value")))

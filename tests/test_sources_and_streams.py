@@ -107,6 +107,39 @@ def test_json_lines_and_row_ids_of_every_format(spark, tmp_path):
     assert R.read(spark, str(tmp_path / "own"), fmt="json").count() == 4
 
 
+def test_json_files_are_judged_one_by_one(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "1.json").write_text('{"name": "[x]", "items": [{"k": 1, "v": {"w": 1.5}}, {"k": 2}], "more": [{"k": 9}]}')
+    (folder / "2.json").write_text(json.dumps({"z": 1, "more": [{"k": 3}], "items": [{"k": 8}]}, indent=1))
+    (folder / "3 lines.json").write_text('{"k": 4, "tags": [1]}\n\n{"k": 5, "tags": [2, 3]}\n')
+    (folder / "4.json").write_text('[{"k": 6}, 7, "text"]')
+    (folder / "5.json").write_text('{"k": 10, "odd name`": {"OBJECT": "VOID", "x": null}}')
+    (folder / "6.json").write_text('{"none": []}')
+    got = R.read_json(spark, str(folder), row_id="row").orderBy("row").collect()
+    assert [r["k"] for r in got] == [1, 2, 3, 4, 5, 6, None, None, 10]
+    assert [r["value"] for r in got if r["value"] is not None] == ["7", "text"]
+    assert (got[0]["v.w"], got[3]["tags"], got[8]["odd name`.OBJECT"]) == (1.5, "[1]", "VOID")
+    assert len({r["row"] for r in got}) == len(got)
+    assert sorted(map(str, R.read_json(spark, str(folder)).drop("value").select("k").collect())) == sorted(
+        str(r) for r in R.read_json(spark, str(folder), row_id="row").select("k").collect())
+    (folder / "7.json").write_text('{"broken": ')
+    with pytest.raises(Exception):
+        R.read_json(spark, str(folder)).collect()
+
+
+def test_a_wide_cell_widens_no_file(spark, tmp_path):
+    text = "a," * 10_000
+    (tmp_path / "w.csv").write_text("x,y,z\n" + "".join(f'{i},"{text}",q\n' for i in range(3)) + '4,"say ""hi"", ok",,extra\n\n5\n')
+    (tmp_path / "n.csv").write_text('"k, 1",l\n' + "1,NA\n" * 5)
+    cells = R.read_labelled(spark, {1: str(tmp_path)})
+    wide = {(r["row_id"], r["col_name"]): r["value"] for r in cells.where("dataset_id = 'w.csv'").collect()}
+    assert sorted(v for (_, c), v in wide.items() if c == "y" and v) == [text] * 3 + ['say "hi", ok']
+    assert sorted(str(v) for (_, c), v in wide.items() if c == "z") == ["None", "None", "q", "q", "q"]
+    assert {r["col_name"] for r in cells.where("dataset_id = 'n.csv'").collect()} == {"k, 1", "l"}
+    assert cells.where("dataset_id = 'n.csv' AND value IS NULL").count() == 5
+
+
 def test_natural_order_of_long_digit_runs(rows):
     names = ["x9000000000000000000000001", "x10000000000000000000002", "x2", "x010", "X9", "x", "1" + "0" * 40, "9" * 30]
     df = rows("name STRING, id BIGINT", *[(n, i) for i, n in enumerate(names)], (None, 99))
