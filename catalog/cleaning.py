@@ -59,6 +59,75 @@ def infer_report(spark, folder):
     return rounded(schema.infer_report(as_text(spark, folder)))
 
 
+# Every time format of the library as DuckDB reads it, with the shape that it must have.
+SQL_SHAPES = {
+    "yyyy-MM-dd": (r"\d{4}-\d\d-\d\d", ["%Y-%m-%d"]),
+    "yyyy-MM-dd HH:mm:ss": (r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", ["%Y-%m-%d %H:%M:%S"]),
+    "yyyy/MM/dd": (r"\d{4}/\d\d/\d\d", ["%Y/%m/%d"]),
+    "MM/dd/yyyy": (r"\d\d/\d\d/\d{4}", ["%m/%d/%Y"]),
+    "dd-MM-yyyy": (r"\d\d-\d\d-\d{4}", ["%d-%m-%Y"]),
+    "MMM d yyyy": (r"[A-Za-z]+ \d\d? \d{4}", ["%b %d %Y"]),
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]": (r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?", [
+        "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%f%z"]),
+    "yyyy-MM-dd HH:mm:ss.SSSSSS[XXX]": (r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+(Z|[+-]\d\d:\d\d)?", [
+        "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S.%f%z"]),
+    "yyyy-MM-dd HH:mm": (r"\d{4}-\d\d-\d\d \d\d:\d\d", ["%Y-%m-%d %H:%M"]),
+    "yyyy/MM/dd HH:mm:ss": (r"\d{4}/\d\d/\d\d \d\d:\d\d:\d\d", ["%Y/%m/%d %H:%M:%S"]),
+    "M/d/yyyy": (r"\d\d?/\d\d?/\d{4}", ["%m/%d/%Y"]),
+    "M/d/yyyy H:mm[:ss]": (r"\d\d?/\d\d?/\d{4} \d\d?:\d\d(:\d\d)?", ["%m/%d/%Y %H:%M", "%m/%d/%Y %H:%M:%S"]),
+    "d-M-yyyy": (r"\d\d?-\d\d?-\d{4}", ["%d-%m-%Y"]),
+    "yyyy-M-d": (r"\d{4}-\d\d?-\d\d?", ["%Y-%m-%d"]),
+    "MMM d, yyyy": (r"[A-Za-z]+ \d\d?, \d{4}", ["%b %d, %Y"]),
+    "d MMM yyyy": (r"\d\d? [A-Za-z]+ \d{4}", ["%d %b %Y"]),
+}
+_MONTH, _DAY, _HOUR = "(o_orderkey % 12 + 1)", "(o_custkey % 28 + 1)", "(o_orderkey % 24)"
+
+
+def _digits(e: str) -> str:
+    return f"lpad(CAST({e} AS VARCHAR(20)), 2, '0')"
+
+
+def _number(e: str) -> str:
+    return f"CAST({e} AS VARCHAR(20))"
+
+
+_Y, _MM, _DD, _HH = "'2023'", _digits(_MONTH), _digits(_DAY), _digits(_HOUR)
+_MMM = f"substring('JanFebMarAprMayJunJulAugSepOctNovDec', CAST({_MONTH} * 3 - 2 AS INTEGER), 3)"
+_ZONE = "CASE WHEN o_orderkey % 4 = 0 THEN 'Z' WHEN o_orderkey % 4 = 1 THEN '+05:30' WHEN o_orderkey % 4 = 2 THEN '-03:00' ELSE '' END"
+_PART = "CASE WHEN o_orderkey % 3 = 0 THEN '.250000' ELSE '' END"
+# One column for each format, one with days that no month has, and one of two formats.
+TIME_COLUMNS = {
+    "d0": [_Y, "'-'", _MM, "'-'", _DD], "d1": [_Y, "'-'", _MM, "'-'", _DD, "' '", _HH, "':05:09'"],
+    "d2": [_Y, "'/'", _MM, "'/'", _DD], "d3": [_MM, "'/'", _DD, "'/'", _Y], "d4": [_DD, "'-'", _MM, "'-'", _Y],
+    "d5": [_MMM, "' '", _number(_DAY), "' '", _Y], "d6": [_Y, "'-'", _MM, "'-'", _DD, "'T'", _HH, "':05:09'", _PART, _ZONE],
+    "d7": [_Y, "'-'", _MM, "'-'", _DD, "' '", _HH, "':05:09.125000'", _ZONE], "d8": [_Y, "'-'", _MM, "'-'", _DD, "' '", _HH, "':59'"],
+    "d9": [_Y, "'/'", _MM, "'/'", _DD, "' '", _HH, "':05:09'"], "d10": [_number(_MONTH), "'/'", _number(_DAY), "'/'", _Y],
+    "d11": [_number(_MONTH), "'/'", _number(_DAY), "'/'", _Y, "' '", _number(_HOUR), "CASE WHEN o_custkey % 2 = 0 THEN ':07' ELSE ':07:08' END"],
+    "d12": [_number(_DAY), "'-'", _number(_MONTH), "'-'", _Y], "d13": [_Y, "'-'", _number(_MONTH), "'-'", _number(_DAY)],
+    "d14": [_MMM, "' '", _number(_DAY), "', '", _Y], "d15": [_number(_DAY), "' '", _MMM, "' '", _Y],
+    "odd": [_Y, "'-'", _MM, "'-'", _digits("(o_custkey % 31 + 1)")], "two": [_Y, "CASE WHEN o_custkey % 2 = 0 THEN '/' ELSE '-' END", _MM, "'-'", _DD],
+}
+TIMES_SQL = "SELECT " + ", ".join(
+    f"CASE WHEN o_orderkey % {7 + i} = 3 THEN NULL ELSE CONCAT({', '.join(parts)}) END AS {n}"
+    for i, (n, parts) in enumerate(TIME_COLUMNS.items())) + " FROM orders"
+
+
+def _timed(n: str) -> str:
+    def fits(shape: str, forms: list[str]) -> str:
+        read = ", ".join(f"try_strptime(regexp_replace({n}, 'Z$', '+00:00'), '{f}')::TIMESTAMP" for f in forms)
+        return f"count(CASE WHEN regexp_full_match({n}, '{shape}') AND coalesce({read}) IS NOT NULL THEN 1 END) = count({n})"
+    quoted = {s.replace("'", "''"): v for s, v in SQL_SHAPES.items()}
+    fmt = "CASE " + " ".join(f"WHEN count({n}) > 0 AND {fits(*v)} THEN '{s}'" for s, v in quoted.items()) + " END"
+    return f"""SELECT '{n}' AS "column", count({n}) AS known, count({number_sql(n)}) AS "numeric", {r("0")} AS numeric_share,
+  {fmt} AS format, CASE WHEN {fmt} IS NOT NULL THEN 'datetime' ELSE 'categorical' END AS inferred FROM ({TIMES_SQL}) x"""
+
+
+@query(union([_timed(n) for n in TIME_COLUMNS]))
+def infer_time_formats(spark, folder):
+    """A column for every time format, each found by its shape and one parse a cell."""
+    return rounded(schema.infer_report(from_sql(spark, folder, TIMES_SQL, "orders")))
+
+
 @query(f"""
 SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_balance, CAST(c_units AS DOUBLE) AS c_units,
   strftime(strptime(c_joined, '%Y-%m-%d'), '%Y-%m-%d') AS c_joined, c_mixed, c_mktsegment

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Text forms a cell may use for a moment in time.
@@ -24,6 +26,11 @@ TIMESTAMP_FORMATS = (
     "MMM d, yyyy",
     "d MMM yyyy",
 )
+# A form's letters as a mask has them: digits as 9, a run of letters as a, a fraction as one 9.
+MASKS = {
+    "yyyy": ("9999",), "MMM": ("a",), "MM": ("99",), "M": ("9", "99"), "dd": ("99",), "d": ("9", "99"), "HH": ("99",),
+    "H": ("9", "99"), "mm": ("99",), "ss": ("99",), "SSSSSS": ("9",), "XXX": ("a", "+99:99", "-99:99"), "'T'": ("a",),
+}
 # What every one of these forms looks like; other cells are not parsed at all.
 TIME_SHAPE = r"^[A-Za-z0-9][A-Za-z0-9 :,./+-]{5,34}$"
 
@@ -102,9 +109,72 @@ def to_time(c: Column, pattern: str) -> Column:
     return F.when(c.rlike(TIME_SHAPE) & c.rlike("[0-9]{4}"), F.try_to_timestamp(c, F.lit(pattern)))
 
 
+def masks_of(pattern: str) -> set[str]:
+    """All masks that texts of a form can have; a part in brackets may be missing."""
+    optional = re.search(r"\[([^\[\]]*)\]", pattern)
+    if optional:
+        before, after = pattern[: optional.start()], pattern[optional.end():]
+        return masks_of(before + optional[1] + after) | masks_of(before + after)
+    found = {""}
+    for part in re.findall("|".join(MASKS) + "|.", pattern):
+        found = {f + m for f in found for m in MASKS.get(part, (part,))}
+    return found
+
+
+def mask(c: Column) -> Column:
+    """The shape of a text that may hold a moment, NULL for any other text."""
+    digits = F.translate(c, "012345678", "999999999")
+    shape = F.regexp_replace(F.regexp_replace(digits, "[A-Za-z]+", "a"), "[.]9+", ".9")
+    return F.when(c.rlike(TIME_SHAPE) & c.rlike("[0-9]{4}"), shape)
+
+
+def loosely(pattern: str) -> str:
+    """The form with one or two digits wherever it asks for two: what masks tell apart, one parse can read."""
+    return re.sub("MM(?!M)(?<!MMM)", "M", pattern.replace("dd", "d").replace("HH", "H"))
+
+
+def families(formats=TIMESTAMP_FORMATS) -> dict[str, dict[str, int]]:
+    """Per form of one parse its masks, each with the forms that it fits as bits.
+
+    Forms whose masks differ only in the number of digits share one parse.
+    """
+    found: dict[str, dict[str, int]] = {}
+    for j, pattern in enumerate(formats):
+        fitting = found.setdefault(loosely(pattern), {})
+        for m in masks_of(pattern):
+            fitting[m] = fitting.get(m, 0) | 1 << j
+    return found
+
+
+def _table(pairs: dict[str, int], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(pairs.items()) for x in pair]), key)
+
+
+def mask_code(shape: Column, formats=TIMESTAMP_FORMATS) -> Column:
+    """Which parses can read a text of this mask, as bits; NULL if none can."""
+    bits: dict[str, int] = {}
+    for k, fitting in enumerate(families(formats).values()):
+        for m in fitting:
+            bits[m] = bits.get(m, 0) | 1 << k
+    return _table(bits, shape)
+
+
+def moment_and_fits(c: Column, shape: Column, code: Column, formats=TIMESTAMP_FORMATS) -> tuple[Column, Column]:
+    """The moment that a text of this mask and code holds, and the forms that fit it as bits."""
+    moments, bits = [], F.lit(0)
+    for k, (pattern, fitting) in enumerate(families(formats).items()):
+        at = F.when(code.bitwiseAND(F.lit(1 << k)) != 0, F.try_to_timestamp(c, F.lit(pattern)))
+        moments.append((min(v & -v for v in fitting.values()), at))
+        bits = bits.bitwiseOR(F.when(at.isNotNull(), _table(fitting, shape)).otherwise(0))
+    return F.coalesce(*[m for _, m in sorted(moments, key=lambda pair: pair[0])]), bits
+
+
 def parse_timestamp(c: Column, formats=TIMESTAMP_FORMATS) -> Column:
-    """First format that fits the cell."""
-    return F.coalesce(*[to_time(c, f) for f in formats])
+    """First format that fits the cell, which its mask tells."""
+    # Transforms of one-item arrays, so that mask and code are made once.
+    shaped = F.transform(F.array(mask(c)), lambda shape: F.transform(
+        F.array(mask_code(shape, formats)), lambda code: moment_and_fits(c, shape, code, formats)[0])[0])
+    return shaped[0]
 
 
 def signed_text(c: Column, digits: int = 3) -> Column:

@@ -8,7 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dqspark.functions.scalars import (
-    TIMESTAMP_FORMATS, blank_to_null, col, finite, leading_number, to_boolean, to_number, to_time,
+    TIMESTAMP_FORMATS, blank_to_null, col, finite, leading_number, mask, mask_code,
+    moment_and_fits, to_boolean, to_number, to_time,
 )
 
 INTERNAL_COLUMNS = ("_is_outlier",)
@@ -84,21 +85,21 @@ def long_report(one_row: DataFrame, structs: Sequence[Column]) -> DataFrame:
 def infer_report(df: DataFrame, formats: Sequence[str] = TIMESTAMP_FORMATS) -> DataFrame:
     """One row per text column with the evidence and the inferred type.
 
-    All columns and formats are tested in a single pass.
+    All columns and formats are tested in a single pass, in which the shape of a cell
+    says which formats are in question, and one parse whether they fit.
     """
     texts = [n for n, t in df.dtypes if t == "string"]
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, n in enumerate(texts):
         c = col(n)
         aggs += [F.count(c).alias(f"known{i}"), F.count(to_number(c)).alias(f"num{i}")]
-        aggs += [F.count(to_time(c, f)).alias(f"t{i}_{j}")
-                 for j, f in enumerate(formats)]
+        fits = moment_and_fits(c, F.col(f"__mask{i}"), F.col(f"__code{i}"), formats)[1]
+        aggs.append(F.bit_and(F.when(c.isNotNull(), fits)).alias(f"fits{i}"))
     structs = []
     for i, n in enumerate(texts):
         known, rows = F.col(f"known{i}"), F.col("rows")
         fmt = F.coalesce(*[
-            F.when((known > 0) & (F.col(f"t{i}_{j}") == known), F.lit(f))
-            for j, f in enumerate(formats)
+            F.when(F.col(f"fits{i}").bitwiseAND(F.lit(1 << j)) != 0, F.lit(f)) for j, f in enumerate(formats)
         ])
         share = F.try_divide(F.col(f"num{i}"), rows)
         kind = (F.when(fmt.isNotNull(), "datetime")
@@ -111,7 +112,9 @@ def infer_report(df: DataFrame, formats: Sequence[str] = TIMESTAMP_FORMATS) -> D
         return df.sparkSession.createDataFrame(
             [], "column STRING, known LONG, numeric LONG, numeric_share DOUBLE, "
                 "format STRING, inferred STRING")
-    return long_report(df.agg(*aggs), structs)
+    masked = df.select(*[col(n) for n in texts], *[mask(col(n)).alias(f"__mask{i}") for i, n in enumerate(texts)])
+    coded = masked.select("*", *[mask_code(F.col(f"__mask{i}"), formats).alias(f"__code{i}") for i in range(len(texts))])
+    return long_report(coded.agg(*aggs), structs)
 
 
 def infer_types(df: DataFrame, formats: Sequence[str] = TIMESTAMP_FORMATS) -> DataFrame:
