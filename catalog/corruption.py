@@ -18,8 +18,8 @@ def base(spark, folder):
     return table(spark, folder, "orders").select(ID, *DATA)
 
 
-def draw(salt: int, k: str = ID) -> str:
-    return f"((((({k}) % 1000003) * 48271 + {salt * 7919}) % 2147483647) * 16807 % 2147483647)"
+def draw(salt: int | str, k: str = ID) -> str:
+    return f"((((({k}) % 1000003) * 48271 + ({salt}) * 7919) % 2147483647) * 16807 % 2147483647)"
 
 
 def pick(pct: float, salt: int, k: str = ID) -> str:
@@ -290,8 +290,8 @@ def class_balance(spark, folder):
     return X.class_balance(grid(spark, folder).select("dataset_id", "label", "severity").distinct())
 
 
-def normal(salt: int, k: str = ID) -> str:
-    size, turn = (f"(0.5 + {draw(salt + i, k)})" for i in (0, 4001))
+def normal(salt: int | str, k: str = ID) -> str:
+    size, turn = (f"(0.5 + {draw(f'{salt} + {i}', k)})" for i in (0, 4001))
     return f"(sqrt(-2.0 * ln({size} / 2147483647)) * cos({turn} / 2147483647 * 2 * pi()))"
 
 
@@ -312,16 +312,52 @@ def corrupt_noise(spark, folder):
     return rounded(D.noise(base(spark, folder), 10, ID, 3), 4)
 
 
-@query()
+def _realistic_sql(pct: float, seed: int) -> str:
+    step = project({n: f"CASE WHEN NOT ({pick(pct * 0.6, seed + 1)}) THEN {n} END"
+                    for n in column_order(DATA, seed)[:max(1, int(len(DATA) * 0.3))]})
+    first = f"{draw(seed + 22)} % {len(NUMBERS)}"
+    step = project({
+        n: f"CAST({n} AS DOUBLE) * CASE WHEN {pick(pct * 0.4, seed + 21)} AND ({first} = {i} OR ({first} + 1) % {len(NUMBERS)} = {i} "
+           f"OR {pick(50, seed + 23 + i)}) THEN {choose(seed + 23 + i, [-50, 50, 100])} ELSE 1 END"
+        for i, n in enumerate(NUMBERS)}, step)
+    step = project({n: f"CASE WHEN {pick(pct * 0.3, seed + 40 + i)} AND {n} <> 0 THEN -{n} ELSE {n} END"
+                    for i, n in enumerate(NUMBERS, 1)}, step)
+    halves = {n: f"CASE WHEN {pick(30, seed + 61 + i)} THEN substr({n}, 1, length({n}) // 2) ELSE {n} END" for i, n in enumerate(TEXTS, 1)}
+    copied = project(halves | {ID: f"-1 - {ID}"}, f"SELECT * FROM ({step}) s WHERE {pick(pct * 0.3, seed + 61)}", [ID, *DATA], f"{ID} AS known")
+    return f"{step} UNION ALL SELECT * EXCLUDE (known) FROM ({copied}) y"
+
+
+@query(_realistic_sql(12, 3))
 def corrupt_mixed_realistic(spark, folder):
     return D.mixed_realistic(base(spark, folder), 12, ID, 3)
 
 
-@query()
+def _noise_sql(pct: float, seed: int, source: str) -> str:
+    return project({
+        n: f"CAST({n} AS DOUBLE) + CASE WHEN {pick(pct, seed + i, 'c_custkey')} THEN {normal(seed + 100 + i, 'c_custkey')} "
+           f"* (SELECT stddev_samp(CAST({n} AS DOUBLE)) FROM ({source}) d) ELSE 0 END"
+        for i, n in enumerate(CUSTOMER[:2], 1)}, source, CUSTOMER, "c_custkey")
+
+
+def ladder_sql(steps: int = 15, good: int = 8) -> str:
+    parts = []
+    for i in range(steps):
+        pct = 100 * (0.15 + (i / steps) * 0.35)
+        step = nulls_sql(pct * 0.3, 100 * i, CUSTOMER_SQL, CUSTOMER, "c_custkey")
+        step = copies_sql(pct * 0.2, 100 * i + 40, _noise_sql(pct * 0.2, 100 * i + 20, step), CUSTOMER, "c_custkey")
+        parts.append(f"SELECT 'bad_{i}' AS dataset_id, 0 AS label, * FROM ({step}) z")
+    for i in range(good):
+        step = nulls_sql(1.0, 7000 + i, CUSTOMER_SQL, CUSTOMER, "c_custkey") if i % 2 == 0 else CUSTOMER_SQL
+        parts.append(f"SELECT 'good_{i}' AS dataset_id, 1 AS label, * FROM ({step}) z")
+    return union(parts)
+
+
+@query(f"WITH {features_sql(ladder_sql(), CUSTOMER[:2], CUSTOMER[2:])} SELECT dataset_id, num_rows, {picked_features(EIGHT, 5)} FROM f")
 def intensity_ladder_features(spark, folder):
+    """All fifteen bad and eight good variants."""
     df = table(spark, folder, "customer").select("c_custkey", *CUSTOMER)
-    ladder = D.intensity_ladder(df, "c_custkey", steps=5, good=4)
-    return X.features8(X.measures(ladder, "dataset_id", "c_custkey", ["label"]))
+    m = X.measures(D.intensity_ladder(df, "c_custkey"), "dataset_id", "c_custkey", ["label"])
+    return rounded(X.features8(m).select("dataset_id", "num_rows", *EIGHT), 5)
 
 
 @query(f"""

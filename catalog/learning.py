@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.corruption import CUSTOMER, EIGHT, features_sql, grid, grid_sql, picked_features
+from catalog.corruption import CUSTOMER, EIGHT, features_sql, grid, grid_sql, normal, picked_features
 from catalog.tables import (
     FEEDBACK_SQL, GAPPY_SQL, as_doubles, feedback, gappy, r, rounded, table, union,
 )
@@ -173,9 +173,16 @@ def features_standardised(spark, folder):
     return rounded(scaled.select("o_orderkey", v[0].alias("price"), v[1].alias("customer")))
 
 
-@query()
+def _moved(i: int, n: str) -> str:
+    drawn = normal(f"c.copy * {X.COPY_SALT} + {42 + i}", "('0x' || substr(md5(dataset_id), 1, 8))::BIGINT")
+    return r(f"CASE WHEN c.copy = 0 THEN {n} ELSE least(100.0, greatest(0.0, {n} + {drawn} * 0.05)) END", 5) + f" AS {n}"
+
+
+@query(f"""{_GRID} SELECT dataset_id, c.copy AS copy, {", ".join(_moved(i, n) for i, n in enumerate(EIGHT))}
+FROM f CROSS JOIN (SELECT CAST(unnest(range(6)) AS INTEGER) AS copy) c""")
 def features_augmented(spark, folder):
-    return X.augmented(grid_features(spark, folder), copies=5)
+    made = X.augmented(grid_features(spark, folder), copies=5)
+    return rounded(made.select("dataset_id", "copy", *EIGHT), 5)
 
 
 @query()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -75,12 +76,14 @@ def _null(c: Column, test: Column) -> Column:
     return F.when(~test, c)
 
 
+def _nulls(df, pct, row_id, seed=0, names=None) -> dict[str, Column]:
+    return {n: _null(col(n), picked(col(row_id), pct, seed + i))
+            for i, n in enumerate(_data(df, row_id, names), 1)}
+
+
 def nulls(df, pct, row_id, seed=0, names=None):
     """Independent NULLs in every column."""
-    return _replace(df, {
-        n: _null(col(n), picked(col(row_id), pct, seed + i))
-        for i, n in enumerate(_data(df, row_id, names), 1)
-    })
+    return _replace(df, _nulls(df, pct, row_id, seed, names))
 
 
 def numeric_nulls(df, pct, row_id, seed=0):
@@ -96,15 +99,17 @@ def clustered_nulls(df, pct, row_id, seed=0):
     return _replace(df, {n: _null(col(n), test) for n in _drawn_order(data, seed)[:count]})
 
 
-def column_nulls(df, pct, row_id, seed=0, row_pct=None):
-    """A few columns lose many or (``row_pct=100``) all values."""
+def _column_nulls(df, pct, row_id, seed=0, row_pct=None) -> dict[str, Column]:
     data = _data(df, row_id)
     count = max(1, int(len(data) * pct / 100.0))
     share = pct if row_pct is None else row_pct
-    return _replace(df, {
-        n: _null(col(n), F.lit(True) if share >= 100 else picked(col(row_id), share, seed + i))
-        for i, n in enumerate(_drawn_order(data, seed)[:count], 1)
-    })
+    return {n: _null(col(n), F.lit(True) if share >= 100 else picked(col(row_id), share, seed + i))
+            for i, n in enumerate(_drawn_order(data, seed)[:count], 1)}
+
+
+def column_nulls(df, pct, row_id, seed=0, row_pct=None):
+    """A few columns lose many or (``row_pct=100``) all values."""
+    return _replace(df, _column_nulls(df, pct, row_id, seed, row_pct))
 
 
 def _copies(df: DataFrame, pct: float, row_id: str, salt: int) -> DataFrame:
@@ -113,9 +118,15 @@ def _copies(df: DataFrame, pct: float, row_id: str, salt: int) -> DataFrame:
                     {row_id: F.lit(-1).cast(dict(df.dtypes)[row_id]) - col(row_id)})
 
 
+def _ids(df: DataFrame, row_id: str, hit: Column) -> Column:
+    """The id of a row, and below it a fresh negative one if the row is hit."""
+    fresh = F.lit(-1).cast(dict(df.dtypes)[row_id]) - col(row_id)
+    return F.explode(F.when(hit, F.array(col(row_id), fresh)).otherwise(F.array(col(row_id))))
+
+
 def duplicates(df, pct, row_id, seed=0):
-    """Picked rows appear twice."""
-    return df.unionByName(_copies(df, pct, row_id, seed + 1))
+    """Picked rows appear twice, the second time under a fresh negative id; one scan."""
+    return _replace(df, {row_id: _ids(df, row_id, picked(col(row_id), pct, seed + 1))})
 
 
 def near_duplicates(df, pct, row_id, seed=0):
@@ -137,14 +148,18 @@ def _scaled(c: Column, kind: str, factor: Column) -> Column:
     return (c.cast("double") * factor).cast(kind) if kind == "double" else c.cast("double") * factor
 
 
-def outliers(df, pct, row_id, seed=0, factors=OUTLIER_FACTORS, names=None):
-    """Numbers multiplied far out of their range; numeric columns become doubles."""
+def _outliers(df, pct, row_id, seed=0, factors=OUTLIER_FACTORS, names=None) -> dict[str, Column]:
     changes = {}
     for i, n in enumerate(_data(df, row_id, names or numeric_columns(df)), 1):
         factor = one_of(col(row_id), seed + i, [float(f) for f in factors])
         value = col(n).cast("double")
         changes[n] = F.when(picked(col(row_id), pct, seed + i), value * factor).otherwise(value)
-    return _replace(df, changes)
+    return changes
+
+
+def outliers(df, pct, row_id, seed=0, factors=OUTLIER_FACTORS, names=None):
+    """Numbers multiplied far out of their range; numeric columns become doubles."""
+    return _replace(df, _outliers(df, pct, row_id, seed, factors, names))
 
 
 def outlier_clusters(df, pct, row_id, seed=0):
@@ -215,16 +230,22 @@ def beyond_max(df, pct, row_id, seed=0):
     return _replace(df, changes)
 
 
-def noise(df, pct, row_id, seed=0, scale=1.0):
-    """Normal noise with the column's own deviation on picked rows."""
-    names = _data(df, row_id, numeric_columns(df))
-    spread = df.agg(*[F.stddev_samp(col(n)).alias(f"s{i}") for i, n in enumerate(names)]).first()
-    return _replace(df, {
+def _noise(df, pct, row_id, spread: Sequence[float | None], seed=0, scale=1.0) -> dict[str, Column]:
+    return {
         n: col(n).cast("double") + F.when(
             picked(col(row_id), pct, seed + i), normal(col(row_id), seed + 100 + i) * F.lit((spread[i - 1] or 0.0) * scale)
         ).otherwise(F.lit(0.0))
-        for i, n in enumerate(names, 1)
-    })
+        for i, n in enumerate(_data(df, row_id, numeric_columns(df)), 1)}
+
+
+def _deviations(names: Sequence[str]) -> list[Column]:
+    return [F.stddev_samp(col(n)).alias(f"__s{i}") for i, n in enumerate(names)]
+
+
+def noise(df, pct, row_id, seed=0, scale=1.0):
+    """Normal noise with the column's own deviation on picked rows."""
+    spread = df.agg(*_deviations(_data(df, row_id, numeric_columns(df)))).first()
+    return _replace(df, _noise(df, pct, row_id, spread, seed, scale))
 
 
 def drop_rows(df, pct, row_id, seed=0):
@@ -282,9 +303,27 @@ def mixed_realistic(df, pct, row_id, seed=0):
     return near_duplicates(step, pct * 0.3, row_id, seed + 60)
 
 
-GRID: dict[str, Callable] = {
-    "missing": nulls, "duplicates": duplicates, "outliers": outliers,
-    "inconsistency": column_nulls, "mixed": mixed,
+@dataclass(frozen=True)
+class Variant:
+    """A damaged version of a table: steps ``(kind, pct, seed)`` in turn, then copies ``(pct, seed)``."""
+
+    name: str
+    label: int
+    severity: str
+    steps: tuple[tuple[str, float, int], ...] = ()
+    copies: tuple[float, int] | None = None
+
+
+_STEPS: dict[str, Callable[..., dict[str, Column]]] = {
+    "nulls": _nulls, "outliers": _outliers, "column_nulls": _column_nulls}
+
+# What each kind of the grid does, with the place of its seed behind the kind's own.
+GRID: dict[str, tuple[tuple[tuple[str, int], ...], int | None]] = {
+    "missing": ((("nulls", 0),), None),
+    "duplicates": ((), 0),
+    "outliers": ((("outliers", 0),), None),
+    "inconsistency": ((("column_nulls", 0),), None),
+    "mixed": ((("nulls", 0), ("outliers", 20)), 40),
 }
 
 
@@ -293,43 +332,80 @@ def _as_doubles(df: DataFrame, row_id: str) -> DataFrame:
     return df.select(*[col(c).cast("double").alias(c) if c in numbers else col(c) for c in df.columns])
 
 
+def _chosen(no: Column, cases: Sequence[tuple[int, Column]], other: Column) -> Column:
+    out = other
+    for k, value in reversed(cases):
+        out = F.when(no == k, value).otherwise(out)
+    return out
+
+
+def variants(df: DataFrame, row_id: str, plans: Sequence[Variant]) -> DataFrame:
+    """All variants of a table in one frame: ``dataset_id, label, severity`` first.
+
+    The table is scanned once: a row is taken as many times as there are variants, and
+    every copy goes the way of its own.  Noise needs the deviations of every variant as
+    it is by then, which is one more scan for all of them.
+    """
+    base = _as_doubles(df, row_id)
+    names = base.columns
+    data = _data(base, row_id)
+    numbers = _data(base, row_id, numeric_columns(base))
+    no = F.col("__variant")
+    many = base.select(F.explode(F.array(*[F.lit(k) for k in range(len(plans))])).alias("__variant"),
+                       *[col(c) for c in names])
+    for turn in range(max((len(p.steps) for p in plans), default=0)):
+        at = {k: p.steps[turn] for k, p in enumerate(plans) if turn < len(p.steps)}
+        spread = {}
+        noisy = [k for k, (kind, _, _) in at.items() if kind == "noise"]
+        if noisy:
+            spread = {r[0]: r[1:] for r in many.where(no.isin(noisy)).groupBy("__variant").agg(
+                *_deviations(numbers)).collect()}
+        cases: dict[str, list[tuple[int, Column]]] = {}
+        for k, (kind, pct, seed) in at.items():
+            made = (_noise(base, pct, row_id, spread.get(k, [None] * len(numbers)), seed) if kind == "noise"
+                    else _STEPS[kind](base, pct, row_id, seed))
+            for n, c in made.items():
+                cases.setdefault(n, []).append((k, c))
+        many = many.select("__variant", *[
+            _chosen(no, cases[c], col(c)).alias(c) if c in cases else col(c) for c in names])
+    hits = [(k, picked(col(row_id), p.copies[0], p.copies[1] + 1)) for k, p in enumerate(plans) if p.copies]
+    if hits:
+        many = many.select("__variant", _ids(base, row_id, _chosen(no, hits, F.lit(False))).alias(row_id),
+                           *[col(c) for c in data])
+
+    def told(values: Sequence) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), no)
+
+    return many.select(
+        told([p.name for p in plans]).alias("dataset_id"), told([p.label for p in plans]).alias("label"),
+        told([p.severity for p in plans]).alias("severity"), *[col(c) for c in df.columns])
+
+
 def severity_grid(df: DataFrame, row_id: str, *, kinds: Sequence[str] | None = None,
                   severities: dict[str, float] | None = None, seed: int = 0,
                   with_original: bool = True) -> DataFrame:
-    """All variants of a table in one frame: ``dataset_id, label, severity`` first."""
-    base = _as_doubles(df, row_id)
-    parts = []
-    if with_original:
-        parts.append(("original", 1, "none", base))
+    """The table itself and every kind of damage at every severity, as ``variants`` gives them."""
+    plans = [Variant("original", 1, "none")] if with_original else []
     for k, kind in enumerate(kinds or GRID):
-        for level, pct in (severities or SEVERITIES).items():
-            parts.append((f"{kind}_{level}", 0, level,
-                          GRID[kind](base, pct, row_id, seed + 1000 * k)))
-    out = None
-    for name, label, level, part in parts:
-        tagged = part.select(F.lit(name).alias("dataset_id"), F.lit(label).alias("label"),
-                             F.lit(level).alias("severity"), *[col(c) for c in df.columns])
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
+        steps, copied = GRID[kind]
+        own = seed + 1000 * k
+        plans += [
+            Variant(f"{kind}_{level}", 0, level, tuple((s, pct, own + at) for s, at in steps),
+                    None if copied is None else (pct, own + copied))
+            for level, pct in (severities or SEVERITIES).items()]
+    return variants(df, row_id, plans)
 
 
 def intensity_ladder(df: DataFrame, row_id: str, steps: int = 15, good: int = 8,
                      seed: int = 0) -> DataFrame:
     """Bad variants from 15 to 50 percent and good ones with at most 1 percent gaps."""
-    base = _as_doubles(df, row_id)
-    out = None
+    plans = []
     for i in range(steps):
-        pct = 100 * (0.15 + (i / steps) * 0.35)
-        part = nulls(base, pct * 0.3, row_id, seed + 100 * i)
-        part = noise(part, pct * 0.2, row_id, seed + 100 * i + 20)
-        part = duplicates(part, pct * 0.2, row_id, seed + 100 * i + 40)
-        tagged = part.select(F.lit(f"bad_{i}").alias("dataset_id"), F.lit(0).alias("label"), "*")
-        out = tagged if out is None else out.unionByName(tagged)
-    for i in range(good):
-        part = nulls(base, 1.0, row_id, seed + 7000 + i) if i % 2 == 0 else base
-        out = out.unionByName(part.select(
-            F.lit(f"good_{i}").alias("dataset_id"), F.lit(1).alias("label"), "*"))
-    return out
+        pct, own = 100 * (0.15 + (i / steps) * 0.35), seed + 100 * i
+        plans.append(Variant(f"bad_{i}", 0, "", (("nulls", pct * 0.3, own), ("noise", pct * 0.2, own + 20)),
+                             (pct * 0.2, own + 40)))
+    plans += [Variant(f"good_{i}", 1, "", (("nulls", 1.0, seed + 7000 + i),) if i % 2 == 0 else ()) for i in range(good)]
+    return variants(df, row_id, plans).drop("severity")
 
 
 def _drawn(df: DataFrame, row_id: str, draws: Sequence[tuple[str, int]]) -> DataFrame:

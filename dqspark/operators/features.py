@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.ordering import row_positions
 from dqspark.functions.scalars import adjusted_kurtosis, adjusted_skew, blank_to_null, col, finite, to_number
+from dqspark.operators.corrupt import normal
 from dqspark.operators.profile import unpivot_texts, variation
 from dqspark.operators.schema import long_report, numeric_columns
 
@@ -24,6 +25,8 @@ FEATURES8 = (
 FEATURES6 = ("missing_ratio", "duplicate_ratio", "numeric_ratio", "constant_cols",
              "avg_variance", "avg_skewness")
 VARIANCE_CAP = 1e6
+# Distance of the drawn numbers of one copy of a row from those of the next.
+COPY_SALT = 101
 
 # The assessment's rule for each feature.  ``cap`` passes up to the limit, ``near``
 # within the slack around it, ``none`` only at zero, ``under`` below limit times slack.
@@ -273,16 +276,22 @@ def standardised(df: DataFrame, names: Sequence[str] = FEATURES8) -> DataFrame:
 
 
 def augmented(df: DataFrame, names: Sequence[str] = FEATURES8, copies: int = 1, seed: int = 42,
-              spread: float = 0.05) -> DataFrame:
-    """Original feature rows plus noisy copies, clipped to 0..100."""
+              spread: float = 0.05, key: str = "dataset_id") -> DataFrame:
+    """Original feature rows plus noisy copies, clipped to 0..100.
+
+    The noise of a value is drawn from its row's key, its copy and its feature, so it is
+    the same whenever and wherever a task runs.
+    """
     many = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
+    row = F.conv(F.substring(F.md5(col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
     out = []
     for c in many.columns:
         if c in names:
-            i = list(names).index(c)
-            moved = F.least(F.lit(100.0), F.greatest(
-                F.lit(0.0), col(c).cast("double") + F.randn(seed + i) * spread))
-            out.append(F.when(F.col("copy") == 0, col(c).cast("double")).otherwise(moved).alias(c))
+            salt = F.col("copy") * COPY_SALT + seed + list(names).index(c)
+            value = col(c).cast("double")
+            moved = F.least(F.lit(100.0), F.greatest(F.lit(0.0), value + normal(row, salt) * spread))
+            # ``least`` and ``greatest`` pass over a missing value, which stays missing here.
+            out.append(F.when((F.col("copy") == 0) | value.isNull(), value).otherwise(moved).alias(c))
         else:
             out.append(col(c))
     return many.select(*out)
