@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import ORACLES, query
 from catalog.profiling import LEADING, LINE_NUMBERS, ORDER_NUMBERS, ORDER_TEXTS, leading_sql, pairs_sql
 from catalog.tables import (
-    GAPPY_SQL, TEXT_COLUMNS, TEXT_SQL, as_doubles, as_text, cells, fences, gappy, r, rounded, table, union,
+    GAPPY_SQL, TEXT_COLUMNS, TEXT_SQL, as_doubles, as_text, cells, fences, from_sql, gappy, r, rounded, table, union,
 )
 from dqspark.operators import charts as G, explore as E, profile, relations
 from dqspark.sources import readers
@@ -107,6 +107,26 @@ def plain_sort_page(spark, folder):
     return E.page(E.plain_sort(df, "n_chars", "doc_id", descending=True), 3, 10)
 
 
+_LINES = """SELECT l_orderkey * 8 + l_linenumber AS line_id, CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE l_shipdate END AS shipped,
+CONCAT('part ', CAST(l_partkey AS VARCHAR(20)), ' line ', CAST(l_linenumber AS VARCHAR(20))) AS label FROM lineitem"""
+DEEP = 1_900
+
+
+@query(f"SELECT line_id, label FROM ({_LINES}) x ORDER BY {_natural('label')}, line_id LIMIT 25 OFFSET {(DEEP - 1) * 25}")
+def deep_natural_page(spark, folder):
+    """A page far into the table in natural order, sorted within its own range of keys."""
+    df = from_sql(spark, folder, _LINES, "lineitem").drop("shipped")
+    return E.Pages(df, E.natural_key(F.col("label")), "line_id", range_rows=5_000).page(DEEP)
+
+
+@query(f"SELECT line_id, strftime(shipped, '%Y-%m-%d') AS shipped FROM ({_LINES}) x ORDER BY x.shipped DESC NULLS LAST, line_id LIMIT 100 OFFSET 49900")
+def deep_page_of_missing(spark, folder):
+    """Newest first, on a page where the known dates end or after."""
+    df = from_sql(spark, folder, _LINES, "lineitem").drop("label")
+    page = E.Pages(df, F.col("shipped"), "line_id", descending=True, range_rows=5_000).page(500, 100)
+    return page.select("line_id", F.date_format("shipped", "yyyy-MM-dd").alias("shipped"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def top_by(spark, folder):
     return E.top_by(table(spark, folder, "orders"), "o_totalprice", "o_orderkey", 50).select("o_orderkey", "o_totalprice")
@@ -127,28 +147,41 @@ def bounded_scan(spark, folder):
 # -- chart data --------------------------------------------------------------
 
 
-@query(f"""
-WITH s AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 20 AS w FROM lineitem),
-b AS (SELECT CAST(least(floor((l_extendedprice - lo) / w), 19) AS BIGINT) AS bin, count(*) AS n FROM lineitem, s GROUP BY 1)
-SELECT k.bin, {r("lo + k.bin * w")} AS low, {r("lo + (k.bin + 1) * w")} AS high, coalesce(b.n, 0) AS count
-FROM (SELECT CAST(unnest(range(20)) AS BIGINT) AS bin) k CROSS JOIN s LEFT JOIN b ON b.bin = k.bin
-""")
+def _runs_sql(values: str, bins: str) -> str:
+    """Filled bins and runs of empty ones, from ``v`` of a query and the number of bins over ``lo, hi, n, iqr``."""
+    return f"""
+WITH v AS ({values}),
+a AS (SELECT min(v) AS lo, max(v) AS hi, count(v) AS n, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM v),
+s AS (SELECT lo, hi, {bins} AS bins FROM a), w AS (SELECT lo, bins, (hi - lo) / bins AS step FROM s),
+b AS (SELECT CAST(least(floor((v - lo) / step), bins - 1) AS BIGINT) AS bin, count(*) AS n FROM v, w WHERE v IS NOT NULL GROUP BY 1),
+l AS (SELECT bin, n, lead(bin) OVER (ORDER BY bin) AS beyond FROM b),
+k AS (SELECT bin, CAST(1 AS BIGINT) AS bins, n AS count FROM l UNION ALL
+  SELECT bin + 1, beyond - bin - 1, 0 FROM l WHERE beyond > bin + 1)
+SELECT k.bin, k.bins, {r("lo + k.bin * step")} AS low, {r("lo + (k.bin + k.bins) * step")} AS high, k.count FROM k CROSS JOIN w"""
+
+
+_AUTO = "CAST(greatest(1, ceil((hi - lo) / least((hi - lo) / (log2(n) + 1), 2 * iqr / pow(n, 1.0 / 3)))) AS BIGINT)"
+
+
+@query(_runs_sql("SELECT l_extendedprice AS v FROM lineitem", "20"))
 def histogram_fixed(spark, folder):
     return rounded(G.histogram(table(spark, folder, "lineitem"), "l_extendedprice", 20))
 
 
-@query(f"""
-WITH a AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n,
-    quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events),
-s AS (SELECT lo, hi, CAST(greatest(1, ceil((hi - lo) / least((hi - lo) / (log2(n) + 1), 2 * iqr / pow(n, 1.0 / 3)))) AS BIGINT) AS bins FROM a),
-b AS (SELECT CAST(least(floor((value - lo) / ((hi - lo) / bins)), bins - 1) AS BIGINT) AS bin, count(*) AS n FROM events, s GROUP BY 1)
-SELECT k.bin, {r("lo + k.bin * ((hi - lo) / bins)")} AS low, {r("lo + (k.bin + 1) * ((hi - lo) / bins)")} AS high, coalesce(b.n, 0) AS count
-FROM (SELECT CAST(unnest(range(bins)) AS BIGINT) AS bin FROM s) k CROSS JOIN s LEFT JOIN b ON b.bin = k.bin
-""")
+@query(_runs_sql("SELECT value AS v FROM events", _AUTO))
 def histogram_auto(spark, folder):
     return rounded(G.histogram(table(spark, folder, "events"), "value"))
 
 
+_WILD = "CASE WHEN event_id % 1009 = 5 THEN value * 100000 WHEN event_id % 997 = 3 THEN NULL ELSE value END"
+
+
+@query(_runs_sql(f"SELECT {_WILD} AS v FROM events", _AUTO))
+def histogram_heavy_tail(spark, folder):
+    """A few values far out ask for very many bins, nearly all of them empty."""
+    return rounded(G.histogram(from_sql(spark, folder, f"SELECT {_WILD} AS value FROM events", "events"), "value"))
+
+
 @query(f"""WITH g AS ({GAPPY_SQL}), f AS ({fences("g", ["o_totalprice"])})
 SELECT o_totalprice AS value, count(*) AS count FROM g, f WHERE o_totalprice < low OR o_totalprice > high GROUP BY o_totalprice""")
 def outlier_rug(spark, folder):
