@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
+from catalog.corruption import draw
 from catalog.profiling import LINE_NUMBERS, ORDER_NUMBERS, ORDER_TEXTS, leading_sql, mode_sql, stats_sql
 from catalog.tables import (
     GAPPY_SQL, MESSY_SQL, TEXT_COLUMNS, TEXT_SQL, as_doubles, as_text, cells, fences, from_sql,
@@ -464,10 +465,24 @@ def clean_text_table(spark, folder):
     return rounded(cleaned)
 
 
-@query()
+SAMPLE_ROWS = 1_500
+_DRAWN = f"SELECT * FROM ({MESSY_SQL}) d ORDER BY {draw(42, 'd.o_orderkey % 1000003 + 1000003')}, d.o_orderkey LIMIT {SAMPLE_ROWS}"
+
+
+def _from_sample(n: str) -> str:
+    value = _smart_value(n) if n in ORDER_NUMBERS else f"(SELECT mode FROM m WHERE \"column\" = '{n}')"
+    return f"{r(f'coalesce({n}, {value})')} AS {n}" if n in ORDER_NUMBERS else f"coalesce({n}, {value}) AS {n}"
+
+
+@query(f"""
+WITH s AS ({_STAGED.replace(f"({MESSY_SQL})", f"({_DRAWN})")}), m AS ({mode_sql("s", _TEXT_GAPS, "VARCHAR")}), t AS ({_STAGED})
+SELECT o_orderkey, {", ".join(_from_sample(n) for n in ORDER_NUMBERS)}, o_orderstatus,
+  {", ".join(_from_sample(n) for n in _TEXT_GAPS)}, 'Unknown' AS o_empty FROM t
+""")
 def clean_fitted_on_sample(spark, folder):
-    cleaned, _ = K.clean(messy(spark, folder), row_id="o_orderkey", sample_fraction=0.1)
-    return cleaned
+    """Fill values from a drawn sample, applied to every row."""
+    cleaned, _ = K.clean(messy(spark, folder), row_id="o_orderkey", sample_rows=SAMPLE_ROWS)
+    return rounded(as_doubles(cleaned, *ORDER_NUMBERS))
 
 
 @query("SELECT o_orderkey, o_orderstatus, 'Unknown' AS o_note FROM orders")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any, Literal
 
 from pyspark import StorageLevel
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.ordering import forward_fill, quantiles
 from dqspark.functions.scalars import adjusted_skew, col, to_number
+from dqspark.functions.scratch import written
+from dqspark.operators.corrupt import draw
 from dqspark.operators.dedup import drop_duplicate_rows, duplicate_summary
 from dqspark.operators.profile import Fences, fences_from, value_counts
 from dqspark.operators.schema import (
@@ -26,6 +28,8 @@ from dqspark.operators.schema import (
 SKEW_LIMIT = 0.5
 SKEW_MIN_ROWS = 8
 UNKNOWN = "Unknown"
+# Rows that a plan is learned from where a sample will do.
+SAMPLE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -119,8 +123,7 @@ def choose_strategy(known: Column, skew: Column) -> Column:
     return F.when(F.coalesce(symmetric, F.lit(False)), "mean").otherwise("median")
 
 
-def _numeric_fills(df: DataFrame, names: Sequence[str], strategy: str, rows: int,
-                   sample_of: DataFrame) -> dict[str, Fill]:
+def _numeric_fills(df: DataFrame, names: Sequence[str], strategy: str, rows: int) -> dict[str, Fill]:
     if not names:
         return {}
     aggs = []
@@ -136,7 +139,7 @@ def _numeric_fills(df: DataFrame, names: Sequence[str], strategy: str, rows: int
     ]).first()
     chosen = {n: (strategy if strategy != "smart" else row[f"s{i}"]) for i, n in enumerate(names)}
     by_median = [n for n in names if chosen[n] == "median"]
-    medians = quantiles(df, by_median, [0.5], rows=rows if df is sample_of else None)
+    medians = quantiles(df, by_median, [0.5], rows=rows)
     out = {}
     for i, n in enumerate(names):
         value = medians[n][0] if chosen[n] == "median" else row[f"m{i}"]
@@ -193,11 +196,11 @@ def _staged(df: DataFrame, plan: CleaningPlan) -> DataFrame:
 
 
 def fit_staged(df: DataFrame, profile: CleaningProfile = CleaningProfile(),
-               row_id: str | None = None, sample_fraction: float | None = None,
-               seed: int = 42) -> tuple[CleaningPlan, DataFrame]:
+               row_id: str | None = None, everywhere: bool = False) -> tuple[CleaningPlan, DataFrame]:
     """The plan, and the renamed and de-duplicated table it was learned from.
 
-    The table is cached because several passes read it; the caller frees it.
+    The table is cached because several passes read it; the caller frees it.  With
+    ``everywhere``, columns without gaps get fill values too.
     """
     names = standard_names(df.columns) if profile.standardize_column_names else list(df.columns)
     id_name = names[df.columns.index(row_id)] if row_id else None
@@ -221,26 +224,43 @@ def fit_staged(df: DataFrame, profile: CleaningProfile = CleaningProfile(),
         staged = drop_duplicate_rows(staged, id_name)
     staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _fit_values(staged, plan, sample_fraction, seed)
+        _fit_values(staged, plan, everywhere)
     except Exception:
         staged.unpersist()
         raise
     return plan, staged
 
 
-def fit(df: DataFrame, profile: CleaningProfile = CleaningProfile(), row_id: str | None = None,
-        sample_fraction: float | None = None, seed: int = 42) -> CleaningPlan:
-    """Learn names, types, fill values and fences.
+def fit(df: DataFrame, profile: CleaningProfile = CleaningProfile(), row_id: str | None = None) -> CleaningPlan:
+    """Learn names, types, fill values and fences."""
+    plan, staged = fit_staged(df, profile, row_id)
+    staged.unpersist()
+    return plan
+
+
+def bottom_sample(df: DataFrame, row_id: str, rows: int, seed: int = 42) -> DataFrame:
+    """The ``rows`` rows with the least numbers drawn from their ids.
+
+    The same rows in every run; a task passes on no more than that many.
+    """
+    return df.orderBy(draw(col(row_id), seed), col(row_id)).limit(rows)
+
+
+def fit_on_sample(df: DataFrame, row_id: str, profile: CleaningProfile = CleaningProfile(),
+                  rows: int = SAMPLE_ROWS, seed: int = 42) -> CleaningPlan:
+    """A plan learned from a bounded sample in one pass over the table, for ``transform`` of all of it.
 
-    ``sample_fraction`` takes fill values and fences from a sample, which
-    saves passes on big tables; the default is exact.
+    The plan's counts are the sample's.  Every column gets a fill value, as gaps may lie
+    outside the sample; for the same reason no column is dropped as empty, and a text
+    column without any value in the sample is filled with the fallback.
     """
-    plan, staged = fit_staged(df, profile, row_id, sample_fraction, seed)
+    sample = written(bottom_sample(df, row_id, rows, seed), "sample")
+    plan, staged = fit_staged(sample, replace(profile, drop_empty_cols=False), row_id, everywhere=True)
     staged.unpersist()
     return plan
 
 
-def _fit_values(staged: DataFrame, plan: CleaningPlan, fraction: float | None, seed: int) -> None:
+def _fit_values(staged: DataFrame, plan: CleaningPlan, everywhere: bool) -> None:
     profile = plan.profile
     data = [n for n in plan.kept if n != plan.row_id]
     texts = [n for n, t in staged.dtypes if t == "string" and n in data]
@@ -260,16 +280,15 @@ def _fit_values(staged: DataFrame, plan: CleaningPlan, fraction: float | None, s
     plan.missing_before = sum(missing.values())
 
     typed = convert_to_numbers(staged, plan.numbers)
-    base = typed if fraction is None else typed.sample(fraction=fraction, seed=seed)
     numeric = [n for n in numeric_columns(typed) if n in data]
-    gaps = [n for n in numeric if missing[n]]
+    gaps = [n for n in numeric if missing[n] or everywhere]
     strategy = profile.fill_missing_strategy
     if strategy in ("mean", "median", "smart"):
-        plan.fills.update(_numeric_fills(base, gaps, strategy, rows, typed))
+        plan.fills.update(_numeric_fills(typed, gaps, strategy, rows))
     if strategy == "smart":
-        others = [n for n in data if n not in numeric and missing[n]]
+        others = [n for n in data if n not in numeric and (missing[n] or everywhere)]
         if others:
-            modes = {r["column"]: r["mode"] for r in column_modes(base, others).collect()}
+            modes = {r["column"]: r["mode"] for r in column_modes(typed, others).collect()}
             for n in others:
                 found = modes.get(n) is not None
                 plan.fills[n] = (Fill("mode", modes[n], 0) if found
@@ -277,7 +296,7 @@ def _fit_values(staged: DataFrame, plan: CleaningPlan, fraction: float | None, s
     for n, fill in plan.fills.items():
         fill.filled = missing[n]
     if profile.handle_outliers and profile.outlier_method != "iqr_sequential":
-        ready = fill_with(base, {n: f.value for n, f in plan.fills.items()})
+        ready = fill_with(typed, {n: f.value for n, f in plan.fills.items()})
         if profile.outlier_method == "iqr":
             plan.fences = fences_from(quantiles(ready, numeric, [0.25, 0.75]))
         else:
@@ -360,13 +379,18 @@ def clean_metrics(cleaned: DataFrame, plan: CleaningPlan) -> DataFrame:
 
 
 def clean(df: DataFrame, profile: CleaningProfile = CleaningProfile(), row_id: str | None = None,
-          sample_fraction: float | None = None) -> tuple[DataFrame, CleaningPlan]:
+          sample_rows: int | None = None) -> tuple[DataFrame, CleaningPlan]:
     """Fit and transform; the frame is lazy, the plan is ready.
 
     The de-duplicated table that the plan was fitted on stays cached behind the frame, so its
-    shuffle runs once.
+    shuffle runs once.  With ``sample_rows`` the plan comes from a sample, as of ``fit_on_sample``.
     """
-    plan, staged = fit_staged(df, profile, row_id, sample_fraction)
+    if sample_rows is not None:
+        if row_id is None:
+            raise ValueError("a sample needs a row_id: it is drawn by it")
+        plan = fit_on_sample(df, row_id, profile, sample_rows)
+        return transform(df, plan), plan
+    plan, staged = fit_staged(df, profile, row_id)
     return finish(staged, plan), plan
 
 
