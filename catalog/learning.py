@@ -202,7 +202,7 @@ def forest_scores(spark, folder):
 @query()
 def forest_report(spark, folder):
     df = saved_sets(spark, folder)
-    return M.report(M.train(df, learner=M.forest(numTrees=50, maxDepth=3)), df).select(
+    return M.report(M.train(df), df).select(
         "dataset_id", "quality_score", "rating", F.to_json("feature_importance").alias("importance"))
 
 
@@ -214,14 +214,14 @@ def logistic_scores(spark, folder):
 
 @query()
 def cross_validation(spark, folder):
-    return M.cross_validate(saved_sets(spark, folder), "dataset_id", folds=3, numTrees=30, maxDepth=5)
+    return M.cross_validate(saved_sets(spark, folder), "dataset_id")
 
 
 @query()
 def shadow_validation(spark, folder):
     fit, test = M.hold_out(saved_sets(spark, folder))
     current = M.train(fit, learner=M.forest(numTrees=5, maxDepth=1))
-    return M.shadow_validate(current, M.train(fit, learner=M.forest(numTrees=40, maxDepth=8)), test)
+    return M.shadow_validate(current, M.train(fit, learner=M.forest()), test)
 
 
 @query()
@@ -230,23 +230,23 @@ def model_comparison(spark, folder):
     return M.compare({
         "stump_forest": M.score(M.train(fit, learner=M.forest(numTrees=5, maxDepth=1)), test),
         "logistic": M.score(M.train(fit, learner=M.logistic(fit.count())), test),
-        "forest": M.score(M.train(fit, learner=M.forest(numTrees=40, maxDepth=8)), test)})
+        "forest": M.score(M.train(fit, learner=M.forest()), test)})
 
 
 @query()
 def evaluation_by_label(spark, folder):
     fit, test = M.hold_out(saved_sets(spark, folder))
-    return M.evaluate_by_label(M.train(fit, learner=M.forest(numTrees=40, maxDepth=8)), test)
+    return M.evaluate_by_label(M.train(fit, learner=M.forest()), test)
 
 
 @query()
 def depth_and_penalty_sweep(spark, folder):
-    return M.sweep(saved_sets(spark, folder), depths=(2, 5), cs=(0.1, 1.0))
+    return M.sweep(saved_sets(spark, folder))
 
 
 @query()
 def learning_curve(spark, folder):
-    return M.learning_curve(saved_sets(spark, folder), "dataset_id", shares=(0.5, 1.0))
+    return M.learning_curve(saved_sets(spark, folder), "dataset_id")
 
 
 @query()
@@ -391,7 +391,7 @@ def stored_features(spark, folder):
 def retrained_model(spark, folder):
     rows = feedback(spark, folder).withColumn("features", F.when(F.size("features") == 8, F.transform(
         F.sequence(F.lit(0), F.lit(7)), lambda i: ((F.col("id") + i) % 10) / 10.0)).otherwise(F.col("features")))
-    done = retrain(saved_sets(spark, folder), rows, folds=2, numTrees=20, maxDepth=6)
+    done = retrain(saved_sets(spark, folder), rows)
     return done.log.select("cv_score", "feedback_samples", "total_training_samples", "action", "promoted", "validation_reason")
 
 

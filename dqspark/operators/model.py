@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,6 +13,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.ordering import row_positions
@@ -22,6 +24,11 @@ from dqspark.operators.quality import rating
 # Settings of the production forest and the promotion rule.
 FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 2, "seed": 42}
 BETTER, WORSE, BETTER_NEEDED = 0.02, -0.01, 2
+SWEEP_TREES, DEPTHS = 200, (2, 3, 5, 7, 10, 15, 20)
+PENALTIES = (0.001, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0)
+CURVE_FOLDS, SHARES = 5, (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+# Fits that run side by side: one on a training table leaves most of a cluster idle.
+FITS_AT_ONCE = 8
 METRICS = ("accuracy", "balanced_accuracy", "precision", "recall", "f1", "auc_roc")
 
 
@@ -35,30 +42,51 @@ def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("weight", weight)
 
 
-def _stages(names: Sequence[str], learner) -> Pipeline:
+def _stages(names: Sequence[str], *learner) -> Pipeline:
     clean = [f"__{n}" for n in names]
     return Pipeline(stages=[
         Imputer(inputCols=list(names), outputCols=clean, strategy="mean"),
         VectorAssembler(inputCols=clean, outputCol="vector"),
-        learner,
+        *learner,
     ])
 
 
+def _forest(**settings) -> RandomForestClassifier:
+    return RandomForestClassifier(
+        featuresCol="vector", labelCol="label", weightCol="weight", **{**FOREST, **settings})
+
+
+def _penalty(c: float, rows: int) -> float:
+    return 1.0 / (c * max(rows, 1))
+
+
+def _logistic(penalty: float = 0.0) -> LogisticRegression:
+    return LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight",
+                              regParam=penalty, standardization=False, maxIter=200)
+
+
 def forest(names: Sequence[str] = FEATURES8, **settings) -> Pipeline:
-    return _stages(names, RandomForestClassifier(
-        featuresCol="vector", labelCol="label", weightCol="weight", **{**FOREST, **settings}))
+    return _stages(names, _forest(**settings))
 
 
 def logistic(rows: int, names: Sequence[str] = FEATURES8, c: float = 0.1) -> Pipeline:
-    return _stages(names, LogisticRegression(
-        featuresCol="vector", labelCol="label", weightCol="weight",
-        regParam=1.0 / (c * max(rows, 1)), standardization=False, maxIter=200))
+    return _stages(names, _logistic(_penalty(c, rows)))
+
+
+def _typed(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.select(*[col(n).cast("double").alias(n) for n in names], col("label").cast("double").alias("label"))
 
 
 def train(df: DataFrame, names: Sequence[str] = FEATURES8, learner: Pipeline | None = None) -> PipelineModel:
-    ready = with_weights(df.select(*[col(n).cast("double").alias(n) for n in names],
-                                   col("label").cast("double").alias("label")))
-    return (learner or forest(names)).fit(ready)
+    return (learner or forest(names)).fit(with_weights(_typed(df, names)))
+
+
+def at_once(jobs: Sequence[Callable[[], Any]]) -> list[Any]:
+    """The results of independent fits, ``FITS_AT_ONCE`` of them side by side."""
+    if not jobs:
+        return []
+    with ThreadPool(min(FITS_AT_ONCE, len(jobs))) as pool:
+        return pool.map(lambda job: job(), jobs, chunksize=1)
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -145,12 +173,14 @@ def cross_validate(df: DataFrame, key: str, names: Sequence[str] = FEATURES8,
     classes = df.select("label").distinct().count()
     folds = folds or min(5, classes)
     dealt = stratified_folds(df, key, folds).persist()
-    rows = []
+
+    def one(k: int) -> tuple:
+        model = train(dealt.where(F.col("fold") != k), names, forest(names, **settings))
+        found = evaluate(score(model, dealt.where(F.col("fold") == k)))
+        return (k, *[float(found[m]) for m in METRICS])
+
     try:
-        for k in range(folds):
-            model = train(dealt.where(F.col("fold") != k), names, forest(names, **settings))
-            found = evaluate(score(model, dealt.where(F.col("fold") == k)))
-            rows.append((k, *[float(found[m]) for m in METRICS]))
+        rows = at_once([lambda k=k: one(k) for k in range(folds)])
     finally:
         dealt.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold INT, " + ", ".join(f"{m} DOUBLE" for m in METRICS))
@@ -220,40 +250,69 @@ def evaluate_by_label(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 # -- studies -----------------------------------------------------------------
 
-def sweep(df: DataFrame, names: Sequence[str] = FEATURES8, depths: Sequence[int] = (2, 3, 5, 10),
-          cs: Sequence[float] = (0.01, 0.1, 1.0)) -> DataFrame:
-    """Training and hold-out accuracy over forest depths and logistic penalties."""
+def _accuracy(predicted: DataFrame) -> float:
+    return class_metrics(predicted).first()["accuracy"]
+
+
+def sweep(df: DataFrame, names: Sequence[str] = FEATURES8, depths: Sequence[int] = DEPTHS,
+          cs: Sequence[float] = PENALTIES, trees: int = SWEEP_TREES) -> DataFrame:
+    """Training and hold-out accuracy over forest depths and logistic penalties.
+
+    Features are filled and packed once; the grids of both learners are fitted side by side.
+    """
     fit, test = hold_out(df)
-    rows_fit = fit.count()
-    rows = []
-    learners = [("forest_depth", float(d), forest(names, maxDepth=d, numTrees=20)) for d in depths]
-    learners += [("logistic_c", c, logistic(rows_fit, names, c)) for c in cs]
-    for kind, value, learner in learners:
-        model = train(fit, names, learner)
-        rows.append((kind, value, *[
-            class_metrics(score(model, part)).first()["accuracy"] for part in (fit, test)]))
+    ready = with_weights(_typed(fit, names))
+    packed = _stages(names).fit(ready)
+    parts = [packed.transform(ready).persist(), packed.transform(_typed(test, names)).persist()]
+    try:
+        rows_fit = parts[0].count()
+        deep, flat = _forest(numTrees=trees), _logistic()
+        grids = [
+            ("forest_depth", deep, depths, ParamGridBuilder().addGrid(deep.maxDepth, list(depths)).build()),
+            ("logistic_c", flat, cs, ParamGridBuilder().addGrid(flat.regParam, [_penalty(c, rows_fit) for c in cs]).build())]
+
+        def one(kind: str, learner, value: float, settings: dict) -> tuple:
+            model = learner.fit(parts[0], settings)
+            return kind, float(value), *[_accuracy(model.transform(part)) for part in parts]
+
+        rows = at_once([
+            lambda kind=kind, learner=learner, value=value, settings=settings: one(kind, learner, value, settings)
+            for kind, learner, values, grid in grids for value, settings in zip(values, grid)])
+    finally:
+        for part in parts:
+            part.unpersist()
     return df.sparkSession.createDataFrame(rows, "setting STRING, value DOUBLE, train_accuracy DOUBLE, test_accuracy DOUBLE")
 
 
 def learning_curve(df: DataFrame, key: str, names: Sequence[str] = FEATURES8,
-                   shares: Sequence[float] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """Hold-out accuracy by the share of training rows used."""
-    fit, test = hold_out(df)
+                   shares: Sequence[float] = SHARES, folds: int = CURVE_FOLDS, **settings) -> DataFrame:
+    """Per share of the training rows used: mean and deviation of both accuracies over all folds."""
     place = F.pmod(F.xxhash64(col(key)), F.lit(1000))
-    rows = []
-    for share in shares:
-        part = fit.where(place < int(share * 1000))
-        model = train(part, names, forest(names, numTrees=20))
-        rows.append((share, part.count(), class_metrics(score(model, test)).first()["accuracy"]))
-    return df.sparkSession.createDataFrame(rows, "share DOUBLE, rows LONG, accuracy DOUBLE")
+    dealt = stratified_folds(df, key, folds).withColumn("__place", place).persist()
+
+    def one(share: float, k: int) -> tuple:
+        part = dealt.where((F.col("fold") != k) & (F.col("__place") < round(share * 1000)))
+        model = train(part, names, forest(names, **settings))
+        seen, unseen = [_accuracy(score(model, rows)) for rows in (part, dealt.where(F.col("fold") == k))]
+        return share, part.count(), seen, unseen
+
+    try:
+        points = at_once([lambda s=s, k=k: one(s, k) for s in shares for k in range(folds)])
+    finally:
+        dealt.unpersist()
+    return df.sparkSession.createDataFrame(
+        points, "share DOUBLE, rows LONG, seen DOUBLE, unseen DOUBLE").groupBy("share").agg(
+        F.avg("rows").alias("rows"), F.avg("seen").alias("train_accuracy"), F.stddev_pop("seen").alias("train_deviation"),
+        F.avg("unseen").alias("accuracy"), F.stddev_pop("unseen").alias("deviation"))
 
 
 def dominance(df: DataFrame, names: Sequence[str] = FEATURES8) -> DataFrame:
     """Accuracy of a shallow tree on each feature alone."""
     fit, test = hold_out(df)
-    rows = []
-    for n in names:
+
+    def one(n: str) -> tuple:
         tree = DecisionTreeClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxDepth=3)
-        model = train(fit, [n], _stages([n], tree))
-        rows.append((n, class_metrics(score(model, test)).first()["accuracy"]))
+        return n, _accuracy(score(train(fit, [n], _stages([n], tree)), test))
+
+    rows = at_once([lambda n=n: one(n) for n in names])
     return df.sparkSession.createDataFrame(rows, "feature STRING, accuracy DOUBLE")
