@@ -2,8 +2,8 @@
 
 Aliases are the connected components over redirect and canonical-link edges: the
 ``rel=canonical`` link and the ``refresh`` target in a page, redirects given as a
-table, and a url's own canonical form (no fragment, no ``utm_`` parameters).  A url
-that a rule allows stays allowed whatever its aliases are; a url without a rule is
+table, and the canonical form (no fragment, no ``utm_`` parameters, no dot segments) of
+each url of a page, a link or a redirect.  A url that a rule allows stays allowed whatever its aliases are; a url without a rule is
 blocked if any alias is blocked by a rule.
 """
 
@@ -28,6 +28,8 @@ CANONICAL_TAG = r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH_TAG = r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+# A target with a scheme of its own.
+ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 TRACKING = r"(?i)([?&])utm_[a-z_]*=[^&]*"
 
 
@@ -55,10 +57,27 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return picked
 
 
+def without_dots(url: Column) -> Column:
+    """The url with ``.`` and ``..`` of its path carried out."""
+    parts = F.split(path_of(url), "/")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    left = F.aggregate(parts, F.array().cast("array<string>"), step)
+    ends_open = F.element_at(parts, -1).isin(".", "..")
+    path = F.array_join(F.when(ends_open, F.concat(left, F.array(F.lit("")))).otherwise(left), "/")
+    head = F.regexp_extract(url, "^.*?://[^/?#]*", 0)
+    tail = F.regexp_extract(after_scheme(url), "^[^?#]*(.*)", 1)
+    return F.when(F.instr(path_of(url), "/.") > 0, F.concat(head, path, tail)).otherwise(url)
+
+
 def canonical_form(url: Column) -> Column:
-    """The url without fragment and ``utm_`` parameters."""
+    """The url without fragment, ``utm_`` parameters and dot segments."""
     bare = F.regexp_replace(F.regexp_extract(url, "^[^#]*", 0), TRACKING, "$1")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "&&+", "&"), r"\?&+", "?"), "[?&]+$", "")
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "&&+", "&"), r"\?&+", "?"), "[?&]+$", "")
+    return without_dots(cut)
 
 
 def _target(html: Column, tag: str, attribute: str) -> Column:
@@ -67,32 +86,47 @@ def _target(html: Column, tag: str, attribute: str) -> Column:
 
 
 def resolved(target: Column, url: Column) -> Column:
-    """A link target as an absolute url; null for null or where the page's url has no ``://``."""
+    """A link target as an absolute url; null for null or where the page's url has no ``://``.
+
+    Dot segments stay for ``canonical_form``.
+    """
     scheme = F.regexp_extract(url, "^(.*?)://", 1)
     site = F.concat(scheme, F.lit("://"), F.regexp_extract(after_scheme(url), "^[^/?#]*", 0))
-    folder = F.regexp_replace(path_of(url), "[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    absolute = F.when(F.instr(target, "://") > 0, target)
+    path = path_of(url)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    absolute = F.when(target.rlike(ABSOLUTE), target)
     relative = (
         F.when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
         .when(F.startswith(target, F.lit("/")), F.concat(site, target))
-        .otherwise(F.concat(site, folder, target))
+        .when(F.startswith(target, F.lit("#")), F.concat(F.regexp_extract(url, "^[^#]*", 0), target))
+        .when(F.startswith(target, F.lit("?")),
+              F.concat(site, F.when(path == "", F.lit("/")).otherwise(path), target))
+        .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), target))
     )
     return F.coalesce(absolute, F.when(F.instr(url, "://") > 0, relative))
 
 
+def _both(*pairs: tuple[Column, Column]) -> Column:
+    return F.explode(F.array(*[F.struct(a.alias("src"), b.alias("dst")) for a, b in pairs])).alias("e")
+
+
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """``(src, dst)`` urls that stand for the same document."""
-    url = F.col("url")
-    targets = F.array(
-        canonical_form(url),
-        resolved(_target(F.col("html"), CANONICAL_TAG, HREF), url),
-        resolved(_target(F.col("html"), REFRESH_TAG, REFRESH_URL), url),
-    )
-    edges = pages.where("url IS NOT NULL").select(url.alias("src"), F.explode(targets).alias("dst"))
+    """``(src, dst)`` urls that stand for the same document.
+
+    A link's target and both ends of a redirect are tied to their own canonical forms.
+    """
+    url, canonical, refresh = F.col("url"), F.col("canonical"), F.col("refresh")
+    linked = pages.where("url IS NOT NULL").select(
+        "url", resolved(_target(F.col("html"), CANONICAL_TAG, HREF), url).alias("canonical"),
+        resolved(_target(F.col("html"), REFRESH_TAG, REFRESH_URL), url).alias("refresh"))
+    edges = linked.select(_both(
+        (url, canonical_form(url)), (url, canonical), (canonical, canonical_form(canonical)),
+        (url, refresh), (refresh, canonical_form(refresh))))
     if redirects is not None:
-        edges = edges.union(redirects.select(F.col("source").alias("src"), F.col("target").alias("dst")))
-    return edges.where("dst IS NOT NULL AND src IS NOT NULL AND src <> dst")
+        source, target = F.col("source"), F.col("target")
+        edges = edges.union(redirects.select(_both(
+            (source, target), (source, canonical_form(source)), (target, canonical_form(target)))))
+    return edges.select("e.src", "e.dst").where("dst IS NOT NULL AND src IS NOT NULL AND src <> dst")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES,
@@ -139,8 +173,19 @@ _HOST = ("translate(regexp_extract(CASE WHEN instr({0}, '://') > 0 THEN substr({
          "ELSE '' END, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 _PATH = ("regexp_extract(CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) "
          "ELSE '' END, '^[^/?#]*([^?#]*)', 1)")
-_FORM = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[^#]*'), "
-         "'([?&])utm_[a-z_]*=[^&]*', '\\1', 'gi'), '&&+', '&', 'g'), '\\?&+', '?', 'g'), '[?&]+$', '')")
+_CUT = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract({0}, '^[^#]*'), "
+        "'([?&])utm_[a-z_]*=[^&]*', '\\1', 'gi'), '&&+', '&', 'g'), '\\?&+', '?', 'g'), '[?&]+$', '')")
+
+
+def _sql_forms(source: str) -> str:
+    """``(src, dst)``: the urls ``u`` of a query and their canonical forms."""
+    path = _PATH.format("c")
+    return f"""SELECT u AS src, CASE WHEN instr({path}, '/.') = 0 THEN c ELSE regexp_extract(c, '^.*?://[^/?#]*')
+  || array_to_string(CASE WHEN parts[-1] IN ('.', '..') THEN done || [''] ELSE done END, '/')
+  || regexp_extract(substr(c, instr(c, '://') + 3), '^[^?#]*(.*)', 1) END AS dst
+FROM (SELECT *, list_reduce(list_transform(parts, lambda x: [x]), lambda d, x: CASE x[1] WHEN '.' THEN d
+    WHEN '..' THEN CASE WHEN len(d) > 1 THEN d[:len(d) - 1] ELSE d END ELSE d || x END) AS done
+  FROM (SELECT u, c, string_split({path}, '/') AS parts FROM (SELECT u, {_CUT.format("u")} AS c FROM ({source}) a) b) d) e"""
 
 
 def _sql_link(tag: str, attribute: str) -> str:
@@ -149,18 +194,20 @@ def _sql_link(tag: str, attribute: str) -> str:
              "'&amp;', '&')")
     site = "regexp_extract(url, '^(.*?://[^/?#]*)', 1)"
     path = _PATH.format("url")
-    return (f"SELECT url AS src, CASE WHEN instr(t, '://') > 0 THEN t WHEN instr(url, '://') = 0 THEN NULL "
+    return (f"SELECT url AS src, CASE WHEN regexp_matches(t, '{ABSOLUTE}') THEN t WHEN instr(url, '://') = 0 THEN NULL "
             f"WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?)://', 1) || ':' || t "
-            f"WHEN starts_with(t, '/') THEN {site} || t ELSE {site} || coalesce(nullif("
+            f"WHEN starts_with(t, '/') THEN {site} || t WHEN starts_with(t, '#') THEN regexp_extract(url, '^[^#]*') || t "
+            f"WHEN starts_with(t, '?') THEN {site} || coalesce(nullif({path}, ''), '/') || t ELSE {site} || coalesce(nullif("
             f"regexp_replace({path}, '[^/]*$', ''), ''), '/') || t END AS dst "
             f"FROM (SELECT url, {found} AS t FROM pages)")
 
 
 OP1_SQL = f"""
-WITH RECURSIVE edges AS (
-    SELECT url AS src, {_FORM} AS dst FROM pages
-    UNION {_sql_link(CANONICAL_TAG, HREF)}
-    UNION {_sql_link(REFRESH_TAG, REFRESH_URL)}),
+WITH RECURSIVE links AS (
+    {_sql_link(CANONICAL_TAG, HREF)} UNION {_sql_link(REFRESH_TAG, REFRESH_URL)}),
+edges AS (
+    SELECT src, dst FROM links WHERE dst IS NOT NULL
+    UNION {_sql_forms("SELECT url AS u FROM pages UNION SELECT dst FROM links WHERE dst IS NOT NULL")}),
 both_ways AS (
     SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
 reach AS (

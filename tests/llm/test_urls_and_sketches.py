@@ -85,6 +85,63 @@ def test_url_parts(spark):
     assert list(one.first()) == ["http://h/a/x", "http://h/x", "http://y/x", "z://x"]
 
 
+BASE = "http://h.net/a/b/c?q=1"
+TARGETS = ["x", "./x", "../x", "../../../x", "/p/./q/../r", "?page=2", "#top", "../", "..", ".", "x/..", "/.well-known/y",
+           "//o.net/u/../v", "https://safe.net/x/../y?z#w", "/login?next=http://o.net/", "é/../ü"]
+
+
+def test_targets_resolve_like_the_library(spark):
+    """The forms of resolved targets are those of the standard library, less the fragment."""
+    from urllib.parse import urldefrag, urljoin, urlsplit
+
+    def plain(target):
+        whole = urldefrag(urljoin(BASE, target))[0]
+        # The library carries out the dots of relative targets only.
+        return urljoin(whole, urlsplit(whole)._replace(scheme="", netloc="").geturl())
+
+    one = spark.createDataFrame([(t,) for t in TARGETS], "t STRING")
+    got = {r.t: r.c for r in one.select("t", canonical_form(resolved(F.col("t"), F.lit(BASE))).alias("c")).collect()}
+    assert got == {t: plain(t) for t in TARGETS}
+
+
+def test_blocks_reach_the_canonical_forms_of_targets_and_sql_agrees(spark):
+    """A blocked page that names an alias in any spelling blocks the alias."""
+    import duckdb
+
+    from dqspark.llm.url_filter import OP1_SQL
+
+    rows, want = [], {}
+    for k, (written, plain) in enumerate({
+        "https://safe.net/x#top": "https://safe.net/x", "https://safe.net/y?utm_source=a": "https://safe.net/y",
+        "https://safe.net/a/./x": "https://safe.net/a/x", "https://safe.net/a/../z": "https://safe.net/z",
+    }.items()):
+        rows += [(10 * k, f"http://shop{k}.com/de/{k}", page(canonical(written))), (10 * k + 1, plain, None)]
+        want[10 * k + 1] = ("block", "alias")
+    for k, (target, plain) in enumerate({
+        "?page=2": "http://shop.com/de/7/8?page=2", "./n": "http://shop.com/de/7/n", "../n": "http://shop.com/de/n"}.items()):
+        rows += [(100 + k, "http://other.net/k%d" % k, page(canonical(plain))),
+                 (200 + k, "http://shop.com/de/7/8", page(refresh(target)))]
+        want[100 + k] = ("block", "alias")
+    rows += [(300, "http://clean.net/a/../b", page(canonical("#x"))), (301, "http://clean.net/b", None)]
+    want |= {300: ("allow", "default"), 301: ("allow", "default")}
+    frame = spark.createDataFrame(rows, PAGE)
+    got = judge(frame).collect()
+    verdicts = {r.page_id: (r.verdict, r.via) for r in got}
+    assert {k: verdicts[k] for k in want} == want
+    con = duckdb.connect()
+    con.register("pages", frame.toPandas())
+    assert sorted(map(tuple, con.execute(OP1_SQL).fetchall()), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_both_ends_of_a_redirect_have_their_forms(spark):
+    moved = spark.createDataFrame(
+        [("http://s.net/from?utm_a=1", "http://b.example.org/es/1#f"), ("http://t.net/x", "http://u.net/to/./y#z")],
+        "source STRING, target STRING")
+    rows = [(1, "http://s.net/from", None), (2, "http://u.net/to/y", page(canonical("http://t.com/de/1"))), (3, "http://t.net/x", None)]
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, PAGE), redirects=moved).collect()}
+    assert got == {1: "block", 2: "block", 3: "block"}
+
+
 def test_no_pages(spark):
     assert judge(spark.createDataFrame([], PAGE)).count() == 0
 
