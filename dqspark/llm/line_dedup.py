@@ -15,18 +15,22 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
+def _hashes(docs: DataFrame, min_chars: int) -> Column:
+    """One 128-bit hash per line, null where the key is too short to count.
+
+    Step by step over the whole array, so that each step is made once per line: what a
+    lambda mentions twice is made twice.
+    """
+    def lowered(line: Column) -> Column:
+        # Where all is ASCII the plain function does the same, much faster.
+        plain = F.octet_length(line) == F.char_length(line)
+        return F.when(F.char_length(line) >= min_chars, F.when(plain, F.lower(line)).otherwise(ascii_lower(line)))
 
+    def hashed(key: Column) -> Column:
+        return F.when(key.isNotNull(), F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
 
-def _hashes(docs: DataFrame, min_chars: int) -> Column:
-    """One 128-bit hash per line, null where the key is too short to count."""
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.char_length(key) >= min_chars,
-                      F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
-    return F.transform(F.split(F.col("text"), "\n", -1), one)
+    trimmed = F.transform(F.split(F.col("text"), "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)))
+    return F.transform(F.transform(trimmed, lowered), hashed)
 
 
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
