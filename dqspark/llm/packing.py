@@ -190,7 +190,8 @@ def packed(found: DataFrame, window: int = WINDOW) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = tally.select(F.col("length").alias("l"), F.col("part").alias("p"),
                          F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    ranked = found.join(keep(shift, "shift"), (F.col("length") == F.col("l")) & (F.col("part") == F.col("p")))
+    # As many rows as partitions times lengths, which grows with the table: merged, not broadcast.
+    ranked = found.join(keep(shift, "shift").hint("merge"), (F.col("length") == F.col("l")) & (F.col("part") == F.col("p")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
