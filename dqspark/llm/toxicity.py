@@ -7,8 +7,8 @@ are harmless alone can count together.
 
 The model is fitted on a bounded sample of labelled rows, and only buckets that
 enough sampled texts hold get a weight, which bounds the model; scoring covers the
-whole text of every document.  Terms that tell only beside another are found among
-the pairs of those rows that a first model gets wrong; they get a vector and no weight.
+whole text of every document.  Terms that tell only beside another stand out among the
+rows that a first model gets wrong; they get a vector and no weight.
 """
 
 from __future__ import annotations
@@ -93,55 +93,35 @@ def telling(sample: DataFrame) -> np.ndarray:
     return np.sort(found.select("bucket").toArrow().column(0).to_numpy().astype(np.int64))
 
 
-def telling_pairs(sample: DataFrame, model: Model) -> np.ndarray:
-    """Buckets of the pairs that say more about the label than ``model`` does, of ``sample(label, buckets)``.
+def telling_in_error(sample: DataFrame, model: Model) -> np.ndarray:
+    """Buckets that stand out among the texts which ``model`` gets wrong, of ``sample(label, buckets)``.
 
-    A pair counts if ``LEAST_TEXTS`` or more texts that the model gets wrong hold it, and
-    the toxic ones among all its texts are ``LEAST_DEVIATION`` standard deviations from
-    the sum of their scores.  Texts with equal buckets and label count once.
+    Two terms that tell only together both come up more often among the errors than
+    their share of all texts gives: a bucket counts if ``LEAST_TEXTS`` or more errors of
+    one kind (missed, or wrongly called toxic) hold it, ``LEAST_DEVIATION`` standard
+    deviations above that share.  One count per bucket, combined inside tasks, so this
+    grows with the sample's terms even where labels cannot be learned.  Texts with equal
+    buckets and label count once.
     """
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [np.asarray(b.values, np.int64) for b in batch.column(1)]
-            score = pa.array([model.score_of(h) for h in held], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], ["label", "buckets", "score"])
-
-    def paired(held: np.ndarray) -> np.ndarray:
-        one, two = np.triu_indices(len(held), 1)
-        return held[one] * BUCKETS + held[two]
-
-    def all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in batch.column(0):
-                held = np.asarray(b.values, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(paired(held[np.isin(held, often)]))], ["pair"])
-
-    def met_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for label, b, score in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                held = np.asarray(b.values, np.int64)
-                met = paired(held[np.isin(held, members)])
-                met = met[np.isin(met, pairs)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(met, pa.int64()), pa.array(np.full(len(met), label)), pa.array(np.full(len(met), score))],
-                    ["pair", "label", "score"])
+            score = [model.score_of(np.asarray(b.values, np.int64)) for b in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], ["label", "buckets", "score"])
 
     rows = keep(sample.select("label", "buckets").distinct().mapInArrow(
         judged, "label DOUBLE, buckets ARRAY<INT>, score DOUBLE"), "judged")
-    wrong = rows.where((F.col("score") >= 0.5) != (F.col("label") >= 0.5)).select("buckets")
-    enough = F.col("n") >= LEAST_TEXTS
-    often = wrong.select(F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n")).where(
-        enough).select("b").toArrow().column(0).to_numpy()
-    if not len(often):
+    kinds = {"missed": "label >= 0.5 AND score < 0.5", "called": "label < 0.5 AND score >= 0.5"}
+    marked = rows.select("buckets", *[F.expr(test).cast("int").alias(k) for k, test in kinds.items()])
+    n, *shares = marked.agg(F.count("*"), *[F.avg(k) for k in kinds]).first()
+    if not n:
         return np.empty(0, np.int64)
-    pairs = np.sort(wrong.mapInArrow(all_pairs, "pair LONG").groupBy("pair").agg(F.count("*").alias("n")).where(
-        enough).select("pair").toArrow().column(0).to_numpy())
-    members = np.unique(np.concatenate([pairs // BUCKETS, pairs % BUCKETS]))
-    expected, spread = F.sum("score"), F.sum(F.col("score") * (1 - F.col("score")))
-    found = rows.mapInArrow(met_pairs, "pair LONG, label DOUBLE, score DOUBLE").groupBy("pair").agg(
-        F.abs(F.sum("label") - expected).alias("off"), F.sqrt(spread + 1e-12).alias("usual")).where(
-        F.col("off") >= LEAST_DEVIATION * F.col("usual")).select("pair").toArrow().column(0).to_numpy()
-    return np.unique(np.concatenate([found // BUCKETS, found % BUCKETS])).astype(np.int64)
+    counts = marked.select(*kinds, F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
+        F.count("*").alias("n"), *[F.sum(k).alias(k) for k in kinds])
+    stands_out = F.lit(False)
+    for kind, share in zip(kinds, shares):
+        usual = F.sqrt(F.col("n") * share * (1 - share) + 1e-12)
+        stands_out |= (F.col(kind) >= LEAST_TEXTS) & (F.col(kind) - F.col("n") * share >= LEAST_DEVIATION * usual)
+    return np.sort(counts.where(stands_out).select("bucket").toArrow().column(0).to_numpy().astype(np.int64))
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, seed: int = 7,
@@ -204,9 +184,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents that are not held out.
 
-    What comes to the driver are the buckets that tell, alone or in a pair, the pairs in
-    question, and per sampled row which of these buckets it holds.  Rows with a null id or label are left out; a document with several
-    labels counts once for each.
+    What comes to the driver are the buckets that tell, alone or among the errors of a
+    first fit, and per sampled row which of these it holds.  Rows with a null id or label
+    are left out; a document with several labels counts once for each.
     """
     chosen = keep(
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -225,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     sample = keep(met.mapInArrow(run, "doc_id LONG, label DOUBLE, buckets ARRAY<INT>"), "sample")
     tells = telling(sample)
     model = _fit_on(sample, tells, tells)
-    beside = telling_pairs(sample, model)
+    beside = telling_in_error(sample, model)
     return _fit_on(sample, np.union1d(tells, beside), tells) if len(np.setdiff1d(beside, tells)) else model
 
 

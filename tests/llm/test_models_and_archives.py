@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -70,6 +71,18 @@ def test_group_at_the_base_rate_counts_beside_a_mild_word(spark, documents):
     assert max(model.score(text + f" {w}".encode()) for w in (one, two)) < 0.5
 
 
+def test_labels_that_cannot_be_learned_bring_few_terms(spark, documents):
+    """Long texts with labels by lot: terms are counted one by one, so neither time nor model explodes."""
+    draw = random.Random(8)
+    words = [f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}" for i in range(2000)]
+    rows = [(k, " ".join(draw.choices(words, k=800))) for k in range(500)]
+    labels = [(k, int(draw.random() < 0.4)) for k in range(500)]
+    start = time.monotonic()
+    model = toxicity.train(documents(*rows), spark.createDataFrame(labels, "doc_id LONG, toxic INT"))
+    assert time.monotonic() - start < 60
+    assert len(model.buckets) < 100
+
+
 def test_score_is_the_sum_over_all_pairs():
     texts, labels = invented(500, 3)
     model = fitted(texts, labels)
