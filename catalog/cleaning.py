@@ -17,18 +17,25 @@ from dqspark.operators import clean as K, explore, schema
 # -- types -------------------------------------------------------------------
 
 
-@query("""
-SELECT CAST(i AS INTEGER) AS position, n AS "column", t AS logical_type, s AS side FROM (VALUES
-  (0, 'l_orderkey', 'integer', 'numeric'), (1, 'l_partkey', 'integer', 'numeric'),
-  (2, 'l_suppkey', 'integer', 'numeric'), (3, 'l_linenumber', 'integer', 'numeric'),
-  (4, 'l_quantity', 'float', 'numeric'), (5, 'l_extendedprice', 'float', 'numeric'),
-  (6, 'l_discount', 'float', 'numeric'), (7, 'l_tax', 'float', 'numeric'),
-  (8, 'l_returnflag', 'categorical', 'categorical'), (9, 'l_linestatus', 'categorical', 'categorical'),
-  (10, 'l_shipdate', 'datetime', 'categorical')) v(i, n, t, s)
-""")
+_LINE_TYPES = {
+    "l_orderkey": ("integer", "numeric"), "l_partkey": ("integer", "numeric"), "l_suppkey": ("integer", "numeric"),
+    "l_linenumber": ("integer", "numeric"), "l_quantity": ("float", "numeric"), "l_extendedprice": ("float", "numeric"),
+    "l_discount": ("float", "numeric"), "l_tax": ("float", "numeric"), "l_returnflag": ("categorical", "categorical"),
+    "l_linestatus": ("categorical", "categorical"), "l_shipdate": ("datetime", "categorical"),
+}
+# Cells that are taken out, by column.
+_LINE_GAPS = {"l_quantity": "l_orderkey % 7 = 3", "l_returnflag": "l_partkey % 5 = 1", "l_shipdate": "l_linenumber = 2"}
+
+
+@query(union([
+    f"""SELECT {i} AS position, '{n}' AS "column", '{kind}' AS logical_type, '{side}' AS side,
+  count({f"CASE WHEN NOT ({_LINE_GAPS[n]}) THEN 1 END" if n in _LINE_GAPS else n}) AS known FROM lineitem"""
+    for i, (n, (kind, side)) in enumerate(_LINE_TYPES.items())]))
 def type_table(spark, folder):
-    return schema.type_table(schema.drop_internal(
-        table(spark, folder, "lineitem").withColumn("_is_outlier", F.lit(False))))
+    lines = table(spark, folder, "lineitem").select(*_LINE_TYPES)
+    gappy_lines = lines.select(*[
+        F.when(~F.expr(_LINE_GAPS[n]), F.col(n)).alias(n) if n in _LINE_GAPS else F.col(n) for n in _LINE_TYPES])
+    return schema.type_counts(schema.drop_internal(gappy_lines.withColumn("_is_outlier", F.lit(False))))
 
 
 # The time formats of the library in the form DuckDB reads.

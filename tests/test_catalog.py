@@ -14,7 +14,8 @@ CHECKED = [
     "drop_duplicate_rows", "fingerprint", "infer_report", "coercion_report", "clean_smart", "impute_forward",
     "quality_scores", "sanity_checks", "verdict", "viewer_score", "histogram_auto", "pie_other", "box_summary",
     "corrupt_mixed", "corrupt_near_duplicates", "features8_by_dataset", "features8_of_cells", "feedback_cap",
-    "retrain_points", "stream_feedback",
+    "retrain_points", "stream_feedback", "type_table", "infer_time_formats", "histogram_heavy_tail", "deep_natural_page",
+    "deep_page_of_missing", "intensity_ladder_features", "features_augmented", "clean_fitted_on_sample", "corrupt_mixed_realistic",
 ]
 
 
