@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
 def settle(result: DataFrame) -> DataFrame:
-    """Keep a result table that several later steps read; whoever settles it unpersists it."""
-    return result.persist(StorageLevel.MEMORY_AND_DISK)
+    """Work a small result table out once; later steps read it as a local table and start no job on the data."""
+    return result.sparkSession.createDataFrame(result.toArrow(), result.schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -17,7 +17,7 @@ from dqspark.operators.charts import chart_plan
 
 @dataclass
 class Certificate:
-    """Result tables of a run.  The cleaned table and what was settled stay cached until ``release``."""
+    """Result tables of a run.  The cleaned table stays cached until ``release``."""
 
     scout: DataFrame
     cleaned: DataFrame
@@ -32,11 +32,9 @@ class Certificate:
     checks: DataFrame
     dimensions: DataFrame
     verdict: DataFrame
-    settled: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
-        for kept in (self.cleaned, *self.settled):
-            kept.unpersist()
+        self.cleaned.unpersist()
 
 
 def scout(df: DataFrame, row_id: str, approx: bool = False) -> DataFrame:
@@ -67,13 +65,12 @@ def _samples(rows: list[dict[str, str | None]]) -> Column:
 def certify(df: DataFrame, row_id: str, profile_: K.CleaningProfile = K.CleaningProfile(), *,
             classifier: PipelineModel | None = None, approx: bool = False,
             trend: bool = True) -> Certificate:
-    """Run every stage.  The cleaned table is cached once; later results stay lazy."""
+    """Run every stage.  The cleaned table is cached once; what a stage found is worked out once, as a local table."""
     # Intake and fitting pass over the raw table many times; it is let go before the profile.
     held = df.is_cached
     if not held:
         df.persist(StorageLevel.MEMORY_AND_DISK)
-    report = scout(df, row_id, approx)
-    intake = df.sparkSession.createDataFrame(report.collect(), report.schema)
+    intake = settle(scout(df, row_id, approx))
     plan, staged = K.fit_staged(df, profile_, row_id)
     if not held:
         df.unpersist()
@@ -87,6 +84,7 @@ def certify(df: DataFrame, row_id: str, profile_: K.CleaningProfile = K.Cleaning
     rid = plan.row_id
     data = cleaned.drop(rid)
     numbers = [n for n in schema.numeric_columns(cleaned) if n != rid]
+
     marks = profile.quartiles(cleaned, numbers, approx, rows)
 
     stats = settle(profile.column_stats(
@@ -94,8 +92,8 @@ def certify(df: DataFrame, row_id: str, profile_: K.CleaningProfile = K.Cleaning
     categories = settle(profile.categorical_insights(data))
     pairs = settle(relations.pearson_pairs(data, numbers))
     found = settle(profile.anomalies(cleaned, numbers, rid, fences=profile.fences_from(marks)))
-    charts = chart_plan(data, stats, pairs, categories)
-    words = insights.key_insights(data, stats, pairs, found)
+    charts = settle(chart_plan(data, stats, pairs, categories))
+    words = settle(insights.key_insights(data, stats, pairs, found))
 
     tests = C.sanity_checks(cleaned, rows, len(data.columns), rid)
     tests = tests.unionByName(C.consistency_checks(
@@ -111,9 +109,8 @@ def certify(df: DataFrame, row_id: str, profile_: K.CleaningProfile = K.Cleaning
     tests = settle(tests)
     dimensions = settle(C.dimension_scores(tests))
     return Certificate(
-        intake, cleaned, plan, K.clean_metrics(cleaned, plan), stats, categories, pairs, found,
+        intake, cleaned, plan, settle(K.clean_metrics(cleaned, plan)), stats, categories, pairs, found,
         words, charts, tests, dimensions, C.verdict(tests, dimensions),
-        [stats, categories, pairs, found, tests, dimensions],
     )
 
 
