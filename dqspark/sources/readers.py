@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dqspark.functions.scalars import col
@@ -49,8 +50,14 @@ def record_place() -> Column:
 
 def file_ranks(df: DataFrame) -> DataFrame:
     """``__file, __rank`` of the files behind a scan, in the order of their paths; from the listing alone."""
-    paths = sorted({re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in df.inputFiles()})
-    return df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "__file STRING, __rank BIGINT")
+    return _ranked(df.sparkSession, {re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in df.inputFiles()})
+
+
+def _ranked(spark: SparkSession, paths: set[str]) -> DataFrame:
+    """A local table, so that the planner knows its size: a small one is broadcast and the scan not shuffled."""
+    listed = sorted(paths)
+    return spark.createDataFrame(pa.table({
+        "__file": pa.array(listed, pa.string()), "__rank": pa.array(range(len(listed)), pa.int64())}))
 
 
 def with_file_row_id(df: DataFrame, name: str = "row_id", parquet: bool = False) -> DataFrame:
@@ -170,9 +177,7 @@ def read_json(spark: SparkSession, path: str | Sequence[str], row_id: str | None
     kept, columns, shown = [], [], []
     if row_id is not None:
         # One row per file.
-        ranks = spark.createDataFrame(
-            [(f, k) for k, f in enumerate(sorted([*whole, *lines]))], "__file STRING, __rank BIGINT")
-        items = items.join(ranks, F.col("file") == F.col("__file"))
+        items = items.join(_ranked(spark, {*whole, *lines}), F.col("file") == F.col("__file"))
         kept = [(F.shiftleft(F.col("__rank"), PLACE_BITS) + F.col("place")).alias(row_id)]
         shown = [col(row_id)]
     if fields not in ("VOID", "OBJECT<>"):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dqspark.functions.scratch import scratch_folder
+from dqspark.functions.settle import settle
 from dqspark.operators import clean as K, corrupt as D, explore, features as X, feedback as L, model as M
 from dqspark.plans.retrain import retrain
 from dqspark.sources import readers as R, sinks
@@ -33,6 +34,25 @@ def test_file_row_ids_follow_the_file_over_many_splits(spark, tmp_path):
     assert len({r["row"] for r in got}) == 4000
 
 
+def test_file_row_ids_do_not_shuffle_the_scan(spark, tmp_path):
+    for k in (1, 0):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+    df = spark.read.parquet(str(tmp_path / "part0"), str(tmp_path / "part1"))
+    numbered = R.with_file_row_id(df, parquet=True)
+    plan = numbered._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [r["id"] for r in numbered.orderBy("row_id").collect()] == list(range(20))
+    assert R.file_ranks(spark.range(3)).count() == 0
+
+
+def test_settled_tables_start_no_job_on_the_data(spark):
+    small = settle(spark.range(6).groupBy((F.col("id") % 2).alias("k")).agg(
+        F.collect_list(F.struct("id")).alias("l"), F.lit(None).cast("string").alias("nothing")))
+    assert "LocalRelation" in small._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["k"], len(r["l"]), r["nothing"]) for r in small.collect()) == [(0, 3, None), (1, 3, None)]
+    assert settle(spark.range(0)).collect() == []
+
+
 def test_tolerant_csv(spark, tmp_path):
     f = tmp_path / "bad.csv"
     f.write_bytes("a,b\n1,caf\xe9\n2,y,z,q\n3,w\n".encode("latin-1"))
