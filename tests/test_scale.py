@@ -133,3 +133,37 @@ def test_studies_cover_their_grids(spark):
     assert all(0 <= r["test_accuracy"] <= 1 for r in swept)
     curve = {r["share"]: r for r in model.learning_curve(df, "dataset_id", shares=(0.5, 1.0), folds=3, numTrees=5, maxDepth=3).collect()}
     assert curve[1.0]["rows"] == 40 and curve[0.5]["rows"] < 40 and curve[1.0]["accuracy"] > 0.9
+
+
+def test_variants_of_a_small_file_are_made_by_many_tasks(people):
+    one = people.coalesce(1)
+    assert corrupt.severity_grid(one, "id").rdd.getNumPartitions() > 1
+    assert corrupt.intensity_ladder(one, "id").rdd.getNumPartitions() > 1
+
+
+def test_kept_columns_stay_and_do_not_move_the_damage(people):
+    plans = [corrupt.Variant("gaps", 0, "", (("nulls", 30.0, 1),)), corrupt.Variant("far", 0, "", (("outliers", 30.0, 3),))]
+    kept = corrupt.variants(people.selectExpr("id", "id % 7 AS owner", "x", "t"), "id", plans, keep=["owner"])
+    plain = corrupt.variants(people, "id", plans)
+    assert sorted(map(str, kept.drop("owner").collect())) == sorted(map(str, plain.collect()))
+    assert kept.where("owner <> id % 7 OR owner IS NULL").count() == 0
+
+
+def test_measures_within_a_partitioned_key_move_no_cells(people):
+    rows = people.selectExpr("CASE WHEN id % 9 = 0 THEN NULL ELSE id % 7 END AS owner", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS part",
+                             "CASE WHEN id % 10 = 1 THEN -0.0D WHEN id % 10 = 2 THEN double('nan') ELSE x END AS x", "t").union(
+        spark_rows(people))
+    inside = features.measures(rows.repartition(8, "owner"), "part", within=["owner"])
+    moved = [line for line in inside._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert moved and not any(f"{start}{name}#" in line for line in moved for start in "( " for name in ("number", "text", "x", "t"))
+    named = rows.selectExpr("concat(part, '_', owner) AS dataset_id", "x", "t")
+    both = [features.features8(m).select("name", *features.FEATURES8) for m in (
+        inside.selectExpr("concat(part, '_', owner) AS name", "*").drop("owner", "part"),
+        features.measures(named, "dataset_id").withColumnRenamed("dataset_id", "name"))]
+    first, second = [sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect()) for df in both]
+    assert first == second and len(first) == 14
+
+
+def spark_rows(people):
+    return people.sparkSession.createDataFrame(
+        [(1, "a", 0.0, "t1"), (1, "a", 0.0, "t1"), (2, "b", None, None)], "owner LONG, part STRING, x DOUBLE, t STRING")
