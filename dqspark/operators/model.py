@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.ordering import row_positions
 from dqspark.functions.scalars import col
+from dqspark.functions.scratch import written
 from dqspark.operators.features import FEATURES8
 from dqspark.operators.quality import rating
 
@@ -167,22 +168,24 @@ def stratified_folds(df: DataFrame, key: str, folds: int, seed: int = 42) -> Dat
     return out
 
 
+def dealt_once(df: DataFrame, key: str, folds: int, seed: int = 42) -> DataFrame:
+    """``stratified_folds`` written once: a fit makes many passes, each with as many tasks as the files need."""
+    return written(stratified_folds(df, key, folds, seed), "folds")
+
+
 def cross_validate(df: DataFrame, key: str, names: Sequence[str] = FEATURES8,
                    folds: int | None = None, **settings) -> DataFrame:
     """One row per fold with its metrics; two folds for two classes by default."""
     classes = df.select("label").distinct().count()
     folds = folds or min(5, classes)
-    dealt = stratified_folds(df, key, folds).persist()
+    dealt = dealt_once(df, key, folds)
 
     def one(k: int) -> tuple:
         model = train(dealt.where(F.col("fold") != k), names, forest(names, **settings))
         found = evaluate(score(model, dealt.where(F.col("fold") == k)))
         return (k, *[float(found[m]) for m in METRICS])
 
-    try:
-        rows = at_once([lambda k=k: one(k) for k in range(folds)])
-    finally:
-        dealt.unpersist()
+    rows = at_once([lambda k=k: one(k) for k in range(folds)])
     return df.sparkSession.createDataFrame(rows, "fold INT, " + ", ".join(f"{m} DOUBLE" for m in METRICS))
 
 
@@ -190,7 +193,7 @@ def hold_out(df: DataFrame, key: str = "dataset_id", share: float = 0.2,
              seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Training and test rows; of each label the same share is taken, in hash order of the unique key."""
     parts = round(1 / share)
-    dealt = stratified_folds(df, key, parts, seed)
+    dealt = dealt_once(df, key, parts, seed)
     return dealt.where("fold <> 0").drop("fold"), dealt.where("fold = 0").drop("fold")
 
 
@@ -288,7 +291,7 @@ def learning_curve(df: DataFrame, key: str, names: Sequence[str] = FEATURES8,
                    shares: Sequence[float] = SHARES, folds: int = CURVE_FOLDS, **settings) -> DataFrame:
     """Per share of the training rows used: mean and deviation of both accuracies over all folds."""
     place = F.pmod(F.xxhash64(col(key)), F.lit(1000))
-    dealt = stratified_folds(df, key, folds).withColumn("__place", place).persist()
+    dealt = dealt_once(df, key, folds).withColumn("__place", place)
 
     def one(share: float, k: int) -> tuple:
         part = dealt.where((F.col("fold") != k) & (F.col("__place") < round(share * 1000)))
@@ -296,10 +299,7 @@ def learning_curve(df: DataFrame, key: str, names: Sequence[str] = FEATURES8,
         seen, unseen = [_accuracy(score(model, rows)) for rows in (part, dealt.where(F.col("fold") == k))]
         return share, part.count(), seen, unseen
 
-    try:
-        points = at_once([lambda s=s, k=k: one(s, k) for s in shares for k in range(folds)])
-    finally:
-        dealt.unpersist()
+    points = at_once([lambda s=s, k=k: one(s, k) for s in shares for k in range(folds)])
     return df.sparkSession.createDataFrame(
         points, "share DOUBLE, rows LONG, seen DOUBLE, unseen DOUBLE").groupBy("share").agg(
         F.avg("rows").alias("rows"), F.avg("seen").alias("train_accuracy"), F.stddev_pop("seen").alias("train_deviation"),

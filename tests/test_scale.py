@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import cleaning, learning, tables
 from dqspark.operators import charts, clean, corrupt, explore, features, model
 
 
@@ -167,3 +168,31 @@ def test_measures_within_a_partitioned_key_move_no_cells(people):
 def spark_rows(people):
     return people.sparkSession.createDataFrame(
         [(1, "a", 0.0, "t1"), (1, "a", 0.0, "t1"), (2, "b", None, None)], "owner LONG, part STRING, x DOUBLE, t STRING")
+
+
+def test_folds_are_dealt_once_for_the_many_passes_of_a_fit(spark):
+    rows = [(f"d{i}", i % 2, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "dataset_id STRING, label INT, x DOUBLE")
+    fit, test = model.hold_out(df)
+    for part in (fit, test):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Relation [" in plan
+        # A pass over few rows is a few tasks, whatever the number of shuffle partitions.
+        assert part.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r[0] for r in fit.unionByName(test).collect()) == sorted(r[0] for r in rows)
+    assert {r["label"]: r["count"] for r in test.groupBy("label").count().collect()} == {0: 6, 1: 6}
+
+
+def test_downsampling_reads_saved_features(spark):
+    drawn = learning.features_downsampled(spark, "/root/testdata/sf0.001")
+    assert "l_quantity" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["label"]: r["count"] for r in drawn.groupBy("label").count().collect()} == {1: 10, 0: 15}
+
+
+def test_costly_cells_of_a_small_file_are_made_by_many_tasks(spark):
+    folder = "/root/testdata/sf0.001"
+    plain, dealt = [tables.from_sql(spark, folder, cleaning.TIMES_SQL, "orders", cells=n) for n in (0, 18)]
+    assert dealt.rdd.getNumPartitions() > plain.rdd.getNumPartitions()
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+    plan = cleaning.infer_time_formats(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
