@@ -133,7 +133,7 @@ def _timed(n: str) -> str:
 @query(union([_timed(n) for n in TIME_COLUMNS]))
 def infer_time_formats(spark, folder):
     """A column for every time format, each found by its shape and one parse a cell."""
-    return rounded(schema.infer_report(from_sql(spark, folder, TIMES_SQL, "orders")))
+    return rounded(schema.infer_report(from_sql(spark, folder, TIMES_SQL, "orders", cells=len(TIME_COLUMNS))))
 
 
 @query(f"""
